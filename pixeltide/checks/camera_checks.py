@@ -96,7 +96,7 @@ _W2C_SQL = """[ux, uy, uz, -(ux*ex + uy*ey + uz*ez), -vx, -vy, -vz, vx*ex + vy*e
 
 @query("w2c", f"select frame_id, {_cells_sql(_W2C_SQL)} from {POSE_SQL} b")
 def _(v):
-    return _c2w(motion.with_pose(v.pose)).withColumn("inv", G.affine_inverse("c2w")).select("frame_id", *_cells(F.col("inv")))
+    return G.with_affine_inverse(_c2w(motion.with_pose(v.pose)), "c2w", "inv").select("frame_id", *_cells(F.col("inv")))
 
 
 @query(

@@ -88,23 +88,30 @@ def _at(m, r: int, c: int) -> Column:
     return col(m)[4 * r + c]
 
 
-def affine_inverse(m16) -> Column:
-    """Inverse of an affine row-major 4x4 by 3x3 cofactors; its elements are null where the determinant is 0."""
-    m = [[_at(m16, r, c) for c in range(4)] for r in range(3)]
+def with_affine_inverse(df: DataFrame, m16: str, out: str) -> DataFrame:
+    """Adds the inverse of an affine row-major 4x4 by 3x3 cofactors; its elements are null where the determinant is 0.
+
+    Cofactors and determinant are columns of their own, so generated code computes each of them once.
+    """
+    cells = {f"__m{r}{c}": _at(m16, r, c) for r in range(3) for c in range(4)}
+    m = [[F.col(f"__m{r}{c}") for c in range(4)] for r in range(3)]
 
     def cof(r: int, c: int) -> Column:
         r1, r2 = (r + 1) % 3, (r + 2) % 3
         c1, c2 = (c + 1) % 3, (c + 2) % 3
         return m[r1][c1] * m[r2][c2] - m[r1][c2] * m[r2][c1]
 
-    det = F.nullif(m[0][0] * cof(0, 0) + m[0][1] * cof(0, 1) + m[0][2] * cof(0, 2), F.lit(0.0))
-    inv = [[cof(c, r) / det for c in range(3)] for r in range(3)]
-    t = [-(inv[r][0] * m[0][3] + inv[r][1] * m[1][3] + inv[r][2] * m[2][3]) for r in range(3)]
+    df = df.withColumns(cells)
+    df = df.withColumns({f"__k{r}{c}": cof(r, c) for r in range(3) for c in range(3)})
+    det = m[0][0] * F.col("__k00") + m[0][1] * F.col("__k01") + m[0][2] * F.col("__k02")
+    df = df.withColumn("__det", F.nullif(det, F.lit(0.0)))
+    df = df.withColumns({f"__i{r}{c}": F.col(f"__k{c}{r}") / F.col("__det") for r in range(3) for c in range(3)})
+    inv = [[F.col(f"__i{r}{c}") for c in range(3)] for r in range(3)]
     flat = []
     for r in range(3):
-        flat += [*inv[r], t[r]]
-    flat += [F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
-    return F.array(*flat)
+        flat += [*inv[r], -(inv[r][0] * m[0][3] + inv[r][1] * m[1][3] + inv[r][2] * m[2][3])]
+    df = df.withColumn(out, F.array(*flat, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    return df.drop("__det", *cells, *[f"__{k}{r}{c}" for k in "ki" for r in range(3) for c in range(3)])
 
 
 def rigid_inverse(m16) -> Column:
