@@ -25,8 +25,14 @@ def finite(c: str | Column) -> Column:
 
 
 def rnd(c: str | Column, places: int = 6) -> Column:
-    """Rounded double without negative zero."""
-    return F.round(col(c), places) + F.lit(0.0)
+    """Double rounded half away from zero, without negative zero.
+
+    The built-in round() of doubles goes through BigDecimal; this stays in double arithmetic and is an order of
+    magnitude cheaper.
+    """
+    t = col(c).cast("double") * F.lit(10.0**places)
+    near = F.signum(t) * F.floor(F.abs(t) + 0.5).cast("double")
+    return F.when(F.abs(t) < 9e15, near).otherwise(t) / F.lit(10.0**places) + F.lit(0.0)
 
 
 class Vec(NamedTuple):

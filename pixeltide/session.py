@@ -14,6 +14,8 @@ def local_session(cores: int | str = 8, app: str = "pixeltide") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # The JVM does not compile methods beyond 8000 bytecodes; past that, per-operator code is faster.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
