@@ -227,8 +227,8 @@ _ONE = "(select i, k, hgt from $raster as r where grid_id = 0)"
         join {_ONE} a on a.i = ci and a.k = ck join {_ONE} b on b.i = ci + 1 and b.k = ck join {_ONE} c on c.i = ci and c.k = ck + 1 join {_ONE} d on d.i = ci + 1 and d.k = ck + 1)
       select w.node_id, {r("w.wy + coalesce(dy.dy, 0e0)")} as wy, w.grounded from w left join dy on w.anchor_id = dy.node_id""")
 def _(v):
-    walked = tree.walk(v.nodes)
-    out = tree.ground(walked, v.raster.filter("grid_id = 0").drop("grid_id"), GRID)
+    walked = tree.walk(v.nodes.withColumn("grid_id", F.col("scene_id").cast("bigint")))
+    out = tree.ground(walked, v.raster, GRID, grid_keys=["grid_id"])
     return out.select("node_id", rnd("wy").alias("wy"), "grounded")
 
 
