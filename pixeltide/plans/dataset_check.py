@@ -67,11 +67,13 @@ def validate_dataset(
     folders, missing = scan_folders(root, split)
     if missing:
         return Report(_issues(spark, *missing), scan_folders=folders)
-    parts = [_issues(spark)] if not missing else []
+    parts = [_issues(spark)]
 
     manifest_path = manifest or f"{root}/manifest.json"
     if exists(manifest_path):
-        parts.append(V.manifest_rules(S.read_texts(spark, manifest_path), root, strict, os.getcwd()))
+        text = S.read_texts(spark, manifest_path)
+        empty = spark.createDataFrame([(manifest_path, "")] if text.isEmpty() else [], "path string, text string")
+        parts.append(V.manifest_rules(text.unionByName(empty), root, strict, os.getcwd()))
 
     listing = S.list_files(spark, root)
     if coco is not None:
@@ -126,7 +128,9 @@ def validate_dataset(
     parts.append(V.label_line_rules(lines, limits, path=F.col("path")))
     if check_meta:
         docs = _folder_docs(spark, root, "*_meta.json", r"_meta\.json$", folders).join(here.select("split", "stem"), ["split", "stem"], "left_semi")
-        parts.append(V.meta_rules(docs))
+        hollow = scanned.filter((F.col("length") == 0) & F.col("name").endswith("_meta.json")).select("split", "stem", "path", F.lit("").alias("text"))
+        hollow = hollow.join(here.select("split", "stem"), ["split", "stem"], "left_semi")
+        parts.append(V.meta_rules(docs.select("path", "text").unionByName(hollow.select("path", "text"))))
     labels = V.countable_labels(lines).select(F.col("class_id").alias("category_id"))
     histogram = A.class_histogram(cats, boxes, labels)
     return Report(V.union_issues(parts), histogram, V.validation_stats(images, resolved), cats, coco_path, folders)

@@ -279,11 +279,13 @@ def _not_finite_positions(v: Column, label) -> Column:
     return F.filter(marked, lambda x: x.isNotNull())
 
 
-def _object_issues(ob: Column, i: Column) -> Column:
+def _object_issues(entry: Column, i: Column) -> Column:
+    """Issues of one objects[] entry, given as struct(v, ok) with ok = it is an object."""
+    ob, ok = entry["v"], entry["ok"]
     at = F.concat(F.lit("objects["), i.cast("string"), F.lit("]"))
     matrix = J.field(ob, "local_to_world_row_major")
-    flags = [F.when(~J.is_object(ob), _bad(F.concat(at, F.lit(" is not an object"))))]
-    flags += [F.when(J.is_object(ob) & J.field(ob, k).isNull(), _bad(F.concat(at, F.lit(f" lacks '{k}'")))) for k in META_OBJECT_REQUIRED]
+    flags = [F.when(~ok, _bad(F.concat(at, F.lit(" is not an object"))))]
+    flags += [F.when(ok & J.field(ob, k).isNull(), _bad(F.concat(at, F.lit(f" lacks '{k}'")))) for k in META_OBJECT_REQUIRED]
     short = F.coalesce(F.size(J.items(matrix)) != 16, F.lit(True))
     flags.append(F.when(matrix.isNotNull() & short, _bad(F.concat(at, F.lit(".local_to_world_row_major is not 16 values")))))
     for k in META_OBJECT_VECTORS:
@@ -291,40 +293,47 @@ def _object_issues(ob: Column, i: Column) -> Column:
         flags.append(F.when(v.isNotNull() & F.coalesce(F.size(J.items(v)) != 3, F.lit(True)), _bad(F.concat(at, F.lit(f".{k} is not 3 values")))))
     here = F.filter(F.array(*flags), lambda x: x.isNotNull())
     cells = F.when(~short, _not_finite_positions(matrix, lambda j: F.concat(at, F.lit(".local_to_world_row_major["), j.cast("string"), F.lit("] is not finite"))))
-    return F.concat(here, F.coalesce(cells, F.array().cast("array<struct<severity:string,code:string,message:string>>")))
+    return F.concat(here, F.coalesce(cells, F.array().cast(_NO_ISSUES)))
 
 
 def meta_rules(docs: DataFrame, text: str = "text", keep: Sequence[str] = (), subject: Column | None = None, path: Column | None = None) -> DataFrame:
-    """Rules on frame metadata texts."""
+    """Rules on frame metadata texts. Members and their types are columns, so a document is taken apart once."""
     subject = (F.col("path") if "path" in docs.columns else F.lit(None)) if subject is None else subject
     path = (F.col("path") if "path" in docs.columns else F.lit(None)) if path is None else path
-    v = F.col("__v")
-    obj = J.is_object(v)
-    ext, intr = J.field(v, "camera_extrinsics"), J.field(v, "camera_intrinsics")
-    short = F.coalesce(F.size(J.items(ext)) != 16, F.lit(True))
-    objects = J.field(v, "objects")
+    d = docs.withColumn("__v", J.parse(text))
+    d = d.withColumns({"__obj": J.is_object(F.col("__v")), **{f"__f_{k}": J.field(F.col("__v"), k) for k in META_REQUIRED}})
+    at = {k: F.col(f"__f_{k}") for k in META_REQUIRED}
+    d = d.withColumns(
+        {
+            **{f"__o_{k}": J.is_object(at[k]) for k in ("camera_intrinsics", "render", "camera", "sun")},
+            "__short": F.coalesce(F.size(J.items(at["camera_extrinsics"])) != 16, F.lit(True)),
+            "__list": J.is_array(at["objects"]),
+            "__objs": F.transform(J.items(at["objects"]), lambda x: F.struct(x.alias("v"), J.is_object(x).alias("ok"))),
+            **{f"__k_{k}": J.field(at["camera_intrinsics"], k) for k in ("fx", "fy", "cx", "cy")},
+        }
+    )
+    v, obj, short = F.col("__v"), F.col("__obj"), F.col("__short")
+    ext, intr, inner = at["camera_extrinsics"], at["camera_intrinsics"], {k: F.col(f"__k_{k}") for k in ("fx", "fy", "cx", "cy")}
+
+    def bad(cond: Column, message: str) -> Column:
+        return issue("error", "meta_schema", cond, message)
+
     rules = [
         issue("error", "meta_json", v.isNull(), "document is not valid JSON"),
-        issue("error", "meta_schema", v.isNotNull() & ~obj, "document root is not an object"),
-        *[issue("error", "meta_schema", obj & J.field(v, k).isNull(), f"missing field '{k}'") for k in META_REQUIRED],
-        issue("error", "meta_schema", obj & ext.isNotNull() & short, "camera_extrinsics is not a list of 16 values"),
-        issue("error", "meta_schema", obj & intr.isNotNull() & ~J.is_object(intr), "camera_intrinsics is not an object"),
-        *[issue("error", "meta_schema", obj & J.is_object(intr) & J.field(intr, k).isNull(), f"camera_intrinsics lacks '{k}'") for k in ("fx", "fy", "cx", "cy")],
-        *[
-            issue("error", "meta_schema", obj & J.field(intr, k).isNotNull() & ~J.is_finite_number(J.field(intr, k)), f"camera_intrinsics.{k} is not a finite number")
-            for k in ("fx", "fy", "cx", "cy")
-        ],
-        *[
-            issue("error", "meta_schema", obj & J.field(v, k).isNotNull() & ~J.integral_number(J.field(v, k)), f"{k} is not an integral number")
-            for k in ("frame_id", "image_width", "image_height")
-        ],
-        issue("error", "meta_schema", obj & J.field(v, "split").isNotNull() & ~J.is_string(J.field(v, "split")), "split is not a string"),
-        *[issue("error", "meta_schema", obj & J.field(v, k).isNotNull() & ~J.is_object(J.field(v, k)), f"'{k}' is not an object") for k in ("render", "camera", "sun")],
-        issue("error", "meta_schema", obj & objects.isNotNull() & ~J.is_array(objects), "objects is not an array"),
-    ]
+        bad(v.isNotNull() & ~obj, "document root is not an object"),
+        *[bad(obj & at[k].isNull(), f"missing field '{k}'") for k in META_REQUIRED],
+        bad(obj & ext.isNotNull() & short, "camera_extrinsics is not a list of 16 values"),
+        bad(obj & intr.isNotNull() & ~F.col("__o_camera_intrinsics"), "camera_intrinsics is not an object"),
+        *[bad(obj & F.col("__o_camera_intrinsics") & c.isNull(), f"camera_intrinsics lacks '{k}'") for k, c in inner.items()],
+        *[bad(obj & c.isNotNull() & ~J.is_finite_number(c), f"camera_intrinsics.{k} is not a finite number") for k, c in inner.items()],
+        *[bad(obj & at[k].isNotNull() & ~J.integral_number(at[k]), f"{k} is not an integral number") for k in ("frame_id", "image_width", "image_height")],
+        bad(obj & at["split"].isNotNull() & ~J.is_string(at["split"]), "split is not a string"),
+        *[bad(obj & at[k].isNotNull() & ~F.col(f"__o_{k}"), f"'{k}' is not an object") for k in ("render", "camera", "sun")],
+        bad(obj & at["objects"].isNotNull() & ~F.col("__list"), "objects is not an array"),
+    ]
     cells = F.when(obj & ~short, _not_finite_positions(ext, lambda i: F.concat(F.lit("camera_extrinsics["), i.cast("string"), F.lit("] is not finite"))))
-    per_object = F.when(obj, F.flatten(F.transform(J.items(objects), _object_issues)))
-    return emit(docs.withColumn("__v", J.parse(text)), rules, subject, path, keep, more=[cells, per_object])
+    per_object = F.when(obj, F.flatten(F.transform("__objs", _object_issues)))
+    return emit(d, rules, subject, path, keep, more=[cells, per_object])
 
 
 # ---------------------------------------------------------------- manifests

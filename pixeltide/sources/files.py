@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from pixeltide.functions import jsonfn as J
 from pixeltide.functions.geometry import intrinsics_mismatch, k_matrix, rows_of_4x4
 from pixeltide.operators.frames import frame_inventory
 from pixeltide.plans.validation import parse_label_tokens, split_label_text
-from pixeltide.sinks.storage import open_read
+from pixeltide.sinks.storage import locate, open_read
 
 META_SCHEMA = (
     "frame_id bigint, split string, image_width bigint, image_height bigint,"
@@ -39,10 +40,33 @@ MANIFEST_SCHEMA = (
 )
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """root, split (folder below the root, '' at the root), name, path, length of every file. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+def _folders(root: str) -> list[tuple[str, bool]]:
+    """The root itself (flat) and its direct subfolders (walked down)."""
+    system, p = locate(root)
+    subs = [f.path for f in system.get_file_info(fs.FileSelector(p)) if f.type == fs.FileType.Directory]
+    scheme = root[: len(root) - len(p)] if root.endswith(p) else ""
+    return [(root, False), *((scheme + s, True) for s in sorted(subs))]
+
+
+def list_files(spark: SparkSession, root: str, batch: int = 10_000) -> DataFrame:
+    """root, split (folder below the root, '' at the root), name, path, length of every file.
+
+    Folders are listed by tasks. Spark's own file sources leave out empty files, and an empty label file is a valid one.
+    """
     clean = root.rstrip("/")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for folder, deep in zip(pdf["folder"], pdf["deep"]):
+                system, p = locate(folder)
+                infos = [f for f in system.get_file_info(fs.FileSelector(p, recursive=bool(deep))) if f.type == fs.FileType.File]
+                for i in range(0, len(infos), batch):
+                    part = infos[i : i + batch]
+                    yield pd.DataFrame({"path": [f.path for f in part], "length": [f.size for f in part]})
+
+    todo = _folders(clean)
+    listed = spark.createDataFrame(todo, "folder string, deep boolean").repartition(len(todo), "folder")
+    files = listed.mapInPandas(walk, "path string, length bigint")
     rel = F.substring_index("path", clean + "/", -1)
     return files.select(
         F.lit(clean).alias("root"),
@@ -59,7 +83,7 @@ def scan_frames(spark: SparkSession, root: str, strict: bool = True) -> DataFram
 
 
 def read_texts(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """path, text of whole files."""
+    """path, text of whole files. Empty files give no row."""
     reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
