@@ -84,10 +84,10 @@ def scan_frames(spark: SparkSession, root: str, strict: bool = True) -> DataFram
 
 def read_texts(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """path, text of whole files. Empty files give no row."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(paths if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 # ---------------------------------------------------------------- frame metadata
