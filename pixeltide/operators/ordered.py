@@ -158,7 +158,7 @@ def smallest_k(
     room = counts.select(*part, (F.lit(k) - F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__room"), "__n")
     room = room.filter(F.col("__room") > 0).withColumn("__whole", F.col("__n") <= F.col("__room")).drop("__n")
     kept = _join_on(df, room, part, "inner")
-    whole = kept.filter("__whole").drop("__b", "__room", "__whole")
+    # Kept rows number at most k per key plus one bucket, and a bucket is ranked on its own.
     rank = F.row_number().over(Window.partitionBy(*part).orderBy(score, *ties))
-    border = kept.filter("not __whole").withColumn("__rank", rank).filter(F.col("__rank") <= F.col("__room"))
-    return whole.unionByName(border.drop("__b", "__room", "__whole", "__rank"))
+    ranked = kept.withColumn("__rank", rank).filter(F.col("__whole") | (F.col("__rank") <= F.col("__room")))
+    return ranked.drop("__b", "__room", "__whole", "__rank")

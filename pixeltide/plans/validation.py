@@ -41,10 +41,10 @@ _NO_ISSUES = "array<struct<severity:string,code:string,message:string>>"
 def emit(df: DataFrame, issues: Sequence[Column], subject: Column, path: Column, keep: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
     """Explode conditional issues (and ``more``: arrays of issues) into issue rows.
 
-    Nulls are dropped after the explode, not by a higher-order filter before it: explode of array(...) stays in
-    generated code, and no predicate on the array exists that would be pushed down and evaluate the rules twice.
+    The array is compacted before the explode, so a clean row yields one row and not one per rule. The outer explode
+    keeps the optimizer from inferring a size predicate that would be pushed down and evaluate the rules twice.
     """
-    found = F.array(*issues)
+    found = F.array_compact(F.array(*issues))
     for m in more:
         found = F.concat(found, F.coalesce(m, F.array().cast(_NO_ISSUES)))
     rows = df.select(
