@@ -295,3 +295,22 @@ def _(v):
 @query("sorted_report", f"select category_id, cast(count(*) as bigint) as n from {_DIMS} a group by 1 order by 1")
 def _(v):
     return dims(v).groupBy("category_id").agg(F.count(F.lit(1)).alias("n")).orderBy("category_id")
+
+
+def _simple_rule(code, sql, issues):
+    query(f"rule_{code}", sql)(lambda v: issues(v).filter(F.col("code") == code).groupBy("subject").agg(F.count(F.lit(1)).alias("n")))
+
+
+_simple_rule("png_not_in_coco", f"select file_name as subject, cast(count(*) as bigint) as n from {_PAIR} p where not known group by 1", _pair_issues)
+_simple_rule("path_ambiguous", f"select file_name as subject, cast(count(*) as bigint) as n from {_RES} r where hits > 1 group by 1", _image_issues)
+_simple_rule("coco_image_missing", f"select file_name as subject, cast(count(*) as bigint) as n from {_RES} r where hits <> 1 group by 1", _image_issues)
+_simple_rule(
+    "coco_duplicate_fname",
+    "select cast(image_id as string) as subject, cast(count(*) as bigint) as n from (select image_id, lag(image_id) over (partition by file_name order by pos) as prev_id from $img as i) q where prev_id <> image_id group by 1",
+    lambda v: V.duplicate_name_rule(images(v)),
+)
+_simple_rule(
+    "coco_orphan_ann",
+    "select concat('image_id=', cast(image_id as string), ' ann_id=', cast(ann_seq as string)) as subject, cast(count(*) as bigint) as n from $ann as a where not exists (select 1 from $img as i where i.image_id = a.image_id) group by 1",
+    lambda v: V.annotation_entry_rules(annotations(v), images(v)),
+)

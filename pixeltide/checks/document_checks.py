@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from pixeltide.checks import fixtures
 from pixeltide.checks.camera_checks import POSE_SQL, _c2w
 from pixeltide.checks.core import query, r
+from pixeltide.functions import jsonfn as J
 from pixeltide.functions.columns import rnd
 from pixeltide.operators import annotations as A
 from pixeltide.operators import motion, pixels
@@ -189,3 +190,10 @@ def _(v):
     from pixeltide.functions import jsonfn as J
 
     return v.ann.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", J.finite_array(F.array("x", "y", "w", "h"), 4).alias("ok"))
+
+
+query(
+    "integral_number",
+    "select doc_id, coalesce(json_type(text, '\x00.frame_id') = 'UBIGINT', false) as integral from (select doc_id, case when json_valid(text) then text else '{}' end as text from $meta as m) d",
+)(lambda v: v.meta.select("doc_id", J.integral_number(J.field(J.parse("text"), "frame_id")).alias("integral")))
+_dollar("integral_number")
