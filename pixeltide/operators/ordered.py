@@ -143,15 +143,18 @@ def running_sums(
 
 
 def smallest_k(
-    df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], k: int, buckets: int = 256
+    df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], k: int, per_octave: int = 64
 ) -> DataFrame:
     """The k rows with the smallest score in [0, 1) per keys, exactly, without sorting a whole key.
 
-    Bucket counts say in which score bucket the k-th row of each key lies. Lower buckets are kept whole, the
-    border bucket is ranked, higher buckets are never shuffled for ranking. The counting pass is a
-    map-side-combined aggregate, so a huge key costs ``buckets`` rows per task.
+    Scores fall into buckets whose width is a fixed share of the score. Bucket counts say in which bucket the k-th
+    row of each key lies: lower buckets hold fewer than k rows and are kept whole, and for even scores the border bucket
+    holds about k / per_octave rows however large the key is; only that one is ranked. The counting pass is a
+    map-side-combined aggregate of at most 53 * per_octave rows per key and task.
     """
-    df = df.withColumn("__b", F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1)).cast("int"))
+    lowest = 2.0**-53
+    octave = F.log2(F.greatest(F.col(score), F.lit(lowest))) + 53.0
+    df = df.withColumn("__b", F.floor(octave * float(per_octave)).cast("int"))
     part = [*keys, "__b"]
     counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -87,6 +87,12 @@ def walk(nodes: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
     return out
 
 
+def unreached(nodes: DataFrame, walked: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """Nodes no root leads to (unknown parent, or a cycle). walk() has no row for them."""
+    ids = [*keys, "node_id"]
+    return nodes.join(walked.select(*ids), ids, "left_anti")
+
+
 def ground(walked: DataFrame, raster: DataFrame, grid: Grid, keys: Sequence[str] = ("scene_id",), grid_keys: Sequence[str] = ()) -> DataFrame:
     """Puts grounded nodes on the height field and shifts their subtrees; adds the normal (tnx, tny, tnz).
 

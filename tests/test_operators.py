@@ -41,7 +41,7 @@ def test_smallest_k_is_exact_with_a_hot_key(spark):
     want = []
     for k in {d[0] for d in data}:
         want += sorted((s, i) for kk, s, i in data if kk == k)[:50]
-    got = ordered.smallest_k(df, ["k"], "score", ["id"], 50, buckets=8)
+    got = ordered.smallest_k(df, ["k"], "score", ["id"], 50, per_octave=4)
     assert rows(got, "score", "id") == sorted(want)
 
 
@@ -211,6 +211,8 @@ def test_tree_ids_paths_and_grounding(spark):
     ras = spark.createDataFrame([(i, k, 5.0) for i in range(3) for k in range(3)], "i int, k int, hgt double")
     g = {r["node_id"]: r["wy"] for r in tree.ground(walked, ras, raster.Grid(-9.0, 9.0, -9.0, 9.0, 2, 2)).collect()}
     assert g == pytest.approx({1: 0.0, 2: 5.0, 3: 6.0, 4: 5.0, 5: 6.0})
+    lost = nodes.unionByName(spark.createDataFrame([node(8, 9, 0, "a"), node(9, 8, 0, "a")], cols))
+    assert rows(tree.unreached(lost, tree.walk(lost)), "node_id") == [(8,), (9,)]
     assets = spark.createDataFrame([("a", 0)], "name string, asset_ord int")
     assert rows(tree.unknown_asset_refs(nodes, assets), "node_id") == [(1,), (4,)]
 
