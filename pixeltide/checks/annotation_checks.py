@@ -108,7 +108,7 @@ def _(v):
 _ORDER = ["shard_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x", "w", "h", "l_shipdate"]
 
 
-@query("coco_renumber_annotations", f"select {_ANN_SQL}, row_number() over (order by {', '.join(_ORDER)}) as new_id from (select *, case when isnan(w) then 1 else 0 end as z from $ann as b) a".replace("order by shard_id", "order by shard_id"))
+@query("coco_renumber_annotations", f"select {_ANN_SQL}, row_number() over (order by {', '.join(_ORDER)}) as new_id from $ann as a")
 def _(v):
     return A.renumber(v.ann, _ORDER).select(*_ANN, "new_id")
 

@@ -145,9 +145,6 @@ def _(v):
     return out.select("g", *[rnd(a).alias(a) for a in ("px", "py", "pz")])
 
 
-_PT = "case when u < 0e0 then 0e0 when u > 1e0 then 1e0 else u end"
-
-
 def _height(px, pz, src="$pts as p"):
     """Bilinear height by four corner subqueries joined on the grid."""
     loc = f"""(select *, least(3, cast(floor(fx) as int)) as ci, least(3, cast(floor(fz) as int)) as ck from (
