@@ -101,8 +101,17 @@ def validate_dataset(
     scanned = listing.filter(F.col("split").isin(folders)).withColumns(
         {"stem": F.regexp_replace("name", r"(_meta\.json|\.png|\.txt)$", ""), "file_name": F.col("name")}
     )
-    # Catalogue names may be any file of the scanned folders; frame checks take strict four-digit image names.
-    catalogue = scanned.select("split", "file_name", "path", F.col("length").alias("size_bytes"))
+    # Catalogue names are paths relative to a scanned folder; frame checks take strict four-digit names directly in it.
+    whole = F.concat_ws("/", F.nullif("split", F.lit("")), "name")
+    inside = [
+        F.when(
+            F.lit(f == "") | whole.startswith(f"{f}/"),
+            F.struct(F.lit(f).alias("split"), (whole if f == "" else F.substring(whole, len(f) + 2, 1 << 30)).alias("file_name")),
+        )
+        for f in folders
+    ]
+    catalogue = listing.select(F.explode_outer(F.array(*inside)).alias("c"), "path", F.col("length").alias("size_bytes"))
+    catalogue = catalogue.filter(F.col("c").isNotNull()).select("c.split", "c.file_name", "path", "size_bytes")
     headed = S.image_dims(catalogue.filter(F.lower("file_name").endswith(".png")))
     files = catalogue.join(headed.select("path", "hdr_w", "hdr_h"), "path", "left")
     resolved = A.resolve_images(images, files)

@@ -158,6 +158,16 @@ def test_files_in_two_splits_and_bad_headers(spark, tmp_path):
     assert codes(check(spark, b)) == [("error", "image_small"), ("warning", "png_ihdr")]
 
 
+def test_image_names_may_carry_a_subfolder(spark, tmp_path):
+    a = trees.good(tmp_path / "a")
+    trees.frame(a / "train" / "sub", "frame_0000")
+    doc = trees.coco(images=[IMG, {**IMG, "id": 2, "file_name": "sub/frame_0000.png"}, {**IMG, "id": 3, "file_name": "sub/none.png"}])
+    (a / "annotations_coco.json").write_text(json.dumps(doc))
+    report = check(spark, a)
+    assert codes(report) == [("error", "coco_image_missing")]
+    assert report.stats.first()["coco_images_checked_existing"] == 2
+
+
 def test_report_files(spark, tmp_path):
     from pixeltide.sinks.manifests import write_report
 
