@@ -16,8 +16,8 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 BITS = 4
-#: Rows of one side of a block comparison.
-BLOCK = 1024
+#: Rows, and shingle hashes, of one side of a block comparison.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Standard errors of the estimate below the threshold at which a candidate is still confirmed on its full set.
 SLACK = 5.0
 
@@ -174,33 +174,60 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("shared") >= percent * (F.size("in_a") + F.size("in_b") - F.col("shared"))).select("a", "b")
 
 
-def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components inside buckets, compared block against block.
+def _block_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links that join different components inside groups of candidates, compared block against block.
 
-    members: (band, n, id, comp, signature). A bucket of n rows is dealt into n / BLOCK blocks; each task holds two blocks and
-    compares packed bits as matrices, so a large bucket is many small tasks and only likely pairs come out.
+    members: (leader, id, comp, n_shingles, signature, shingles). A group is dealt into blocks of about BLOCK rows and
+    BLOCK_SHINGLES hashes; each task holds two of them, compares packed bits as matrices and confirms likely pairs on the full sets,
+    the likeliest first, as long as the two still belong to different components. So at most one link per row comes out,
+    and no pair that is not joined otherwise stays unchecked.
     """
     floor = estimate_floor(percent)
-    dealt = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    groups = members.groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("hashes") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.join(groups.filter("x <> y").select("leader", blocks.alias("blocks")), "leader")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, comps = (group.column(c).to_numpy() for c in ("id", "comp"))
+        ids, comps, mine, lo, hi = (group.column(c).to_numpy() for c in ("id", "comp", "mine", "lo", "hi"))
         sigs = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint64).reshape(len(ids), -1)
-        left = np.flatnonzero(group.column("mine").to_numpy() == group.column("lo").to_numpy())
-        right = np.flatnonzero(group.column("mine").to_numpy() == group.column("hi").to_numpy())
+        lists = group.column("shingles").combine_chunks()
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        size = np.diff(at)
+        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
         found = []
         for i in left:
             near = right[(comps[right] != comps[i]) & (ids[right] != ids[i])]
-            near = near[similarity(sigs[i], sigs[near]) >= floor]
-            found.append(np.stack([np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])]))
-        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+            # No two sets are more alike than their sizes.
+            near = near[100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i])]
+            likely = similarity(sigs[i], sigs[near])
+            found.append(np.stack([np.full(len(near), i), near, likely])[:, likely >= floor])
+        pairs = np.concatenate(found, axis=1) if found else np.empty((3, 0))
+        parent = {int(c): int(c) for c in comps}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        links = []
+        for k in np.argsort(-pairs[2], kind="stable"):
+            i, j = int(pairs[0, k]), int(pairs[1, k])
+            x, y = root(int(comps[i])), root(int(comps[j]))
+            if x == y:
+                continue
+            shared = len(np.intersect1d(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], assume_unique=True))
+            if 100 * shared >= percent * (size[i] + size[j] - shared):
+                parent[max(x, y)] = min(x, y)
+                links.append((int(ids[i]), int(ids[j])))
+        a, b = zip(*links, strict=True) if links else ([], [])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = dealt.select("band", "lo", "hi", "mine", "id", "comp", "signature")
-    return dealt.groupBy("band", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    dealt = dealt.select("leader", "lo", "hi", "mine", "id", "comp", "signature", "shingles")
+    return dealt.groupBy("leader", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -210,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Equal sets collapse onto their smallest id by a 128-bit digest, so copies are never paired.
     2. Each band bucket links its members to its smallest member: likely by estimate, confirmed on the sets.
-    3. Buckets that still hold several components compare the rest in blocks, by packed bits.
+    3. Buckets that still hold several components compare the rest in blocks, by packed bits, then on the sets.
     4. Components of all links; every copy takes its representative's.
 
     Null, empty and white-space texts have no shingles and stay alone. A row with a null id comes back with a null component,
@@ -242,10 +269,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     comp = components(links)
     labelled = placed.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    # Only buckets of three and more can hold a pair that the leader has not settled.
-    mixed = labelled.filter("n > 2").groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-    rest = labelled.filter("n > 2").join(mixed.select("band"), "band", "left_semi").filter("id <> leader").join(one_sig, "id")
-    more = stored(_confirmed(_block_pairs(rest.select("band", "n", "id", "comp", "signature"), percent), sets, percent))
+    # Only buckets of three and more can hold a pair that the leader has not settled. Buckets of one leader overlap: one group.
+    labelled = labelled.filter("n > 2")
+    mixed = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
+    rest = labelled.join(mixed, "band", "left_semi").filter("id <> leader").select("leader", "id", "comp").distinct()
+    rest = rest.join(one_sig, "id").join(sets, "id").withColumn("n_shingles", F.size("shingles"))
+    more = stored(_block_links(rest, percent))
     own = member.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
     # A repeated id with several texts joins their classes.
     several = own.filter("rep <> last").select("id", F.col("rep").alias("a")).join(member, "id").select("a", F.col("rep").alias("b"))
