@@ -118,9 +118,9 @@ _LOWER_CODE = _BYTE_CODE.copy()
 _LOWER_CODE[65:91] = _BYTE_CODE[97:123]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without ASCII white space) and, per text, the index of its first word."""
-    solid = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without bytes that stand ``between``: ASCII white space) and each text's first word."""
+    solid = ~between[data]
     first, last = solid.copy(), solid.copy()
     if len(data):
         first[1:] &= ~solid[:-1]

@@ -5,17 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pixeltide.llm.common import table
+from pixeltide.llm.decontaminate import matches
 from pixeltide.llm.minhash import near_duplicates
+from pixeltide.llm.repeats import drop_repeats
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op5_decontamination": op5_decontamination,
+    "op9_suffix_array": op9_suffix_array,
 }
 
 ORACLES: dict[str, str] = {}
