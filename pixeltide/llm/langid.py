@@ -163,8 +163,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     lang_pred is the language that most letters are labelled with (of equal ones the first by name), score its share of all
     letters. Null texts, texts without letters and every text under a model without languages give ``und``, 0 and no spans.
+    Columns of docs that are named like a new one are replaced.
     """
-    keep = list(docs.columns) if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "spans")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = "array<struct<begin:long,end:long,lang:string>>"
     source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))

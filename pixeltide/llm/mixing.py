@@ -20,7 +20,7 @@ TARGETS = {"high": 0.90, "low": 0.09, "toxic": 0.01}
 TRAIN_DOCS = 800
 BUCKET_BITS = 14
 SHAPES = 6
-STEPS, TOLERANCE = 60, 1e-9
+STEPS, TOLERANCE = 25, 1e-6
 
 
 @dataclass
@@ -154,33 +154,39 @@ def _rate(moves: list[np.ndarray]):
 def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> tuple[list[np.ndarray], dict[str, float]]:
     """Steps whose ``_rate`` makes the expected tokens per domain meet their targets, and the totals reached.
 
-    Least squares over rates >= 0, started at 1: each step sums rate * tokens * shares over all documents (a handful of numbers
-    reach the driver), and moves every document against the gradient, in the scale of the domains' Gram matrix, so the unconstrained
-    step is exact and only the projection needs more. Steps depend on totals alone; a document's rate follows from its shares.
+    Least squares over rates >= 0, started at 1. A step sums rate * tokens * shares over all documents (a handful of numbers
+    reach the driver) and moves every document against the gradient, scaled by the domains' Gram matrix over the documents that are
+    not held at 0, so it would be exact if no further document reached 0. A step that brings the totals no nearer is followed by one scaled by
+    all documents, which never overshoots. Steps depend on totals alone; a document's rate follows from its shares.
     """
     k = len(DOMAINS)
     share = [F.col("shares")[i] for i in range(k)]
     tokens = F.col("n_tokens").cast("double")
-    gram_of = members.agg(*[F.sum(tokens * share[i] * share[j]) for i in range(k) for j in range(k)], F.sum(tokens)).first()
-    gram = np.array([x or 0.0 for x in gram_of[: k * k]]).reshape(k, k)
-    goal = np.array([targets[d] for d in DOMAINS]) * (gram_of[k * k] or 0.0)
-    inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
     moves: list[np.ndarray] = []
+    whole, before = None, np.inf
     while True:
-        total = members.agg(*[F.sum(_rate(moves) * tokens * s) for s in share]).first()
-        reached = np.array([x or 0.0 for x in total])
-        if len(moves) >= steps or np.abs(reached - goal).max(initial=0) <= TOLERANCE * max(goal.sum(), 1):
+        rated = members.withColumn("rate", _rate(moves))
+        free = F.when(F.col("rate") > 0, tokens).otherwise(0.0)
+        sums = [F.sum(F.col("rate") * tokens * s) for s in share] + [F.sum(free * a * b) for a in share for b in share] + [F.sum(tokens)]
+        row = np.array([x or 0.0 for x in rated.agg(*sums).first()])
+        reached, gram, total = row[:k], row[k:-1].reshape(k, k), row[-1]
+        whole = gram if whole is None else whole
+        miss = reached - np.array([targets[d] for d in DOMAINS]) * total
+        off = np.abs(miss).max()
+        if len(moves) >= steps or off <= TOLERANCE * max(total, 1.0):
             return moves, dict(zip(DOMAINS, reached.tolist(), strict=True))
-        moves.append(inverse @ (reached - goal))
+        moves.append(np.linalg.pinv(gram if off < before else whole, rcond=1e-12, hermitian=True) @ miss)
+        before = off
 
 
 def mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS) -> DataFrame:
     """All columns of docs, and n_tokens, shares (posteriors of DOMAINS) and rate (expected uses of the document, >= 0).
 
     Every row is kept, with a rate of 0 where the mixture has no use for it. Null and empty texts have no tokens and the rate
-    of their posterior; repeated rows get equal rates, null ids are no labelled rows. An empty input gives no rows.
+    of their posterior; repeated rows get equal rates, null ids are no labelled rows. An empty input gives no rows. Columns of docs
+    that are named like a new one are replaced.
     """
     classifier = fit_classifier(docs, labels, id_col, text_col)
     narrow = stored(memberships(docs, classifier, [], text_col))
     moves, _ = fit_rates(narrow, targets)
-    return memberships(docs, classifier, list(docs.columns), text_col).withColumn("rate", _rate(moves))
+    return memberships(docs, classifier, [c for c in docs.columns if c not in ("n_tokens", "shares", "rate")], text_col).withColumn("rate", _rate(moves))

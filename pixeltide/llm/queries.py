@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixeltide.llm import langid, mincut, mixing, privacy, tokencount, urlfilter
+from pixeltide.llm.cells import near_vectors
 from pixeltide.llm.common import table
 from pixeltide.llm.decontaminate import matches
 from pixeltide.llm.minhash import near_duplicates
@@ -17,19 +19,60 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mixture(docs, table(spark, sf_dir, "labels"))
+    shares = [mixed.shares[k].alias(f"share_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate")
+
+
+def op4_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.report(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.length_histogram(tokencount.encoded_lengths(table(spark, sf_dir, "documents")))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id"))
+    model = langid.learn(docs.filter("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"]).drop("spans")
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = drop_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = mincut.main_texts(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_url_filter": op2_url_filter,
+    "op3_mixing": op3_mixing,
+    "op4_embedding_cells": op4_embedding_cells,
     "op5_decontamination": op5_decontamination,
+    "op6_privacy": op6_privacy,
+    "op7_token_counts": op7_token_counts,
+    "op8_language": op8_language,
     "op9_suffix_array": op9_suffix_array,
+    "op10_html": op10_html,
 }
 
 ORACLES: dict[str, str] = {}
