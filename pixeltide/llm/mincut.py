@@ -215,7 +215,7 @@ def _label(block: Block) -> int | None:
     return 1 if cues & 0b00101 else None
 
 
-def fit_costs(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES, pull: float = 20.0) -> np.ndarray:
+def fit_costs(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES, pull: float = 200.0) -> np.ndarray:
     """Weights of a logistic block classifier.
 
     Blocks that plain markup decides (inside article or main, inside nav, footer, form, adverts, ...) of about ``train_pages`` pages

@@ -96,18 +96,18 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 at += len(n)
 
     rows = sample.mapInArrow(run, "id long, domain int, keys binary, counts binary, shapes binary, n long").collect()
+    if not rows:
+        return Classifier(weights)
     rows.sort(key=lambda r: (r.id, r.domain, r.n))
     y = np.array([r.domain for r in rows])
     keys = [np.frombuffer(r.keys, np.int32) for r in rows]
     size = np.array([len(k) for k in keys])
-    own, flat = np.repeat(np.arange(len(rows)), size), np.concatenate([*keys, np.zeros(0, np.int32)])
-    value = np.concatenate([*[np.frombuffer(r.counts, np.float32) for r in rows], np.zeros(0, np.float32)]) / np.repeat(
-        np.sqrt([max(r.n, 1) for r in rows]), size
-    )
+    own, flat = np.repeat(np.arange(len(rows)), size), np.concatenate(keys)
+    value = np.concatenate([np.frombuffer(r.counts, np.float32) for r in rows]) / np.repeat(np.sqrt([max(r.n, 1) for r in rows]), size)
     shapes = np.array([np.frombuffer(r.shapes) for r in rows]).reshape(len(rows), SHAPES)
-    target = np.eye(len(DOMAINS))[y] if len(rows) else np.zeros((0, len(DOMAINS)))
+    target = np.eye(len(DOMAINS))[y]
     squares = np.full_like(weights, 1e-8)
-    for _ in range(80 if len(rows) else 0):
+    for _ in range(80):
         z = np.stack([np.bincount(own, value * weights[flat, k], len(rows)) for k in range(len(DOMAINS))], axis=1)
         error = (_softmax(z + shapes @ weights[1 << BUCKET_BITS : -1] + weights[-1]) - target) / len(rows)
         slope = np.concatenate(
