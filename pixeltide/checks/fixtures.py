@@ -75,7 +75,7 @@ from (select case when o_orderkey % 61 = 0 then o_orderkey + 1000000 else o_orde
 # Label lines as text, some malformed.
 VIEWS["yolo"] = """
 select l_orderkey as frame_id, l_linenumber, l_partkey, l_suppkey, l_shipdate,
-       case when l_partkey % 100 = 1 then 'not five tokens here'
+       case when l_partkey % 100 = 1 then 'class and box missing'
             when l_partkey % 100 = 2 then 'x 0.5 0.5 0.1 0.1'
             when l_partkey % 100 = 3 then '1 0.5 abc 0.1 0.1'
             when l_partkey % 100 = 4 then '1 nan 0.5 0.1 0.1'

@@ -24,8 +24,8 @@ def file_listing(v):
 @query(
     "scan_frames",
     """select split, replace(file_name, '.png', '') as stem, true as has_png, bool_or(has_txt) as has_txt, bool_or(has_meta) as has_meta, max(size_bytes) as size_bytes,
-              cast(max(substr(file_name, 7, 4)) as bigint) as frame_id
-       from $files as f where length(file_name) = 14 group by 1, 2""",
+              max(cast(regexp_extract(file_name, 'frame_(\\d+)', 1) as bigint)) as frame_id
+       from $files as f group by 1, 2""",
 )
 def _(v):
     inv = frames.frame_inventory(file_listing(v))
@@ -53,16 +53,16 @@ def _(v):
 
 @query(
     "stem_parse",
-    """select file_name, case when length(file_name) = 14 then 'frame' end as kind, case when length(file_name) = 14 then cast(substr(file_name, 7, 4) as bigint) end as idx,
-              cast(regexp_extract(file_name, 'frame_(\\d+)', 1) as bigint) as idx_open from (select distinct file_name from $files as f) q""",
+    """select file_name, 'frame' as kind, cast(regexp_extract(file_name, 'frame_(\\d+)', 1) as bigint) as idx,
+              case when length(file_name) = 14 then cast(substr(file_name, 7, 4) as bigint) end as idx_four from (select distinct file_name from $files as f) q""",
 )
 def _(v):
     f = v.files.select("file_name").distinct()
-    p, o = text.parse_stem("file_name"), text.parse_stem("file_name", K.IMAGE_NAME_OPEN)
-    return f.select("file_name", p["kind"].alias("kind"), p["index"].alias("idx"), o["index"].alias("idx_open"))
+    p, four = text.parse_stem("file_name"), text.parse_stem("file_name", K.IMAGE_NAME_STRICT)
+    return f.select("file_name", p["kind"].alias("kind"), p["index"].alias("idx"), four["index"].alias("idx_four"))
 
 
-_INV = """(select split, replace(file_name, '.png', '') as stem, bool_or(has_txt) as has_txt, bool_or(has_meta) as has_meta from $files as f where length(file_name) = 14 group by 1, 2)"""
+_INV = """(select split, replace(file_name, '.png', '') as stem, bool_or(has_txt) as has_txt, bool_or(has_meta) as has_meta from $files as f group by 1, 2)"""
 
 
 @query(

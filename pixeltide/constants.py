@@ -22,7 +22,7 @@ COCO_DEFAULT_NAMES = ("annotations_coco.json", "scenario_coco.json")
 # Sidecar suffixes of one frame.
 SIDECAR_SUFFIXES = (".png", "_spatial.exr", "_meta.json", ".txt")
 
-# Frame-name patterns: quality checks and indexing take exactly four digits, packing four or more.
+# Frame-name patterns. Numbers are padded to four digits and grow beyond; the strict form takes exactly four.
 IMAGE_NAME_STRICT = r"^(frame|sfrm)_(\d{4})\.png$"
 IMAGE_NAME_OPEN = r"^(frame|sfrm)_(\d{4,})\.png$"
 META_NAME_STRICT = r"^(frame|sfrm)_(\d{4})_meta\.json$"

@@ -19,7 +19,7 @@ def sidecar_path(split, stem, suffix: str) -> Column:
     return F.concat(col(split), F.lit("/"), col(stem), F.lit(suffix))
 
 
-def parse_stem(name, pattern: str = K.IMAGE_NAME_STRICT) -> dict[str, Column]:
+def parse_stem(name, pattern: str = K.IMAGE_NAME_OPEN) -> dict[str, Column]:
     """kind and index of a frame file name; null where the pattern does not match."""
     hit = col(name).rlike(pattern)
     return {

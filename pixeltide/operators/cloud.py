@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixeltide.functions import masks
 from pixeltide.functions.columns import Vec, dbl, finite, hash_uniform, vec
 from pixeltide.functions.geometry import pixel_ray, project_camera_point
-from pixeltide.operators.ordered import smallest_k
 
 
 def camera_to_world_ray(ray: Vec, u: Vec, v: Vec, w: Vec) -> Vec:
@@ -42,6 +41,8 @@ def subsample(
 ) -> DataFrame:
     """At most k points per frame, uniform without replacement, same rows under any partitioning.
 
+    The engine keeps the k best rows of each frame before the shuffle as long as k is at most
+    spark.sql.optimizer.windowGroupLimitThreshold; raise that setting with k.
     ``portable`` draws from MD5 so that another engine can repeat the choice; the default hash is faster.
     """
     ids = [*keys, *row_keys]
@@ -50,7 +51,8 @@ def subsample(
     else:
         h = F.xxhash64(F.lit(seed), *ids)
         score = F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
-    return smallest_k(points.withColumn("__score", score), list(keys), "__score", list(row_keys), k).drop("__score")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__score", *row_keys))
+    return points.withColumn("__score", score).withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__score", "__rank")
 
 
 def foreground_probe(pixels: DataFrame, k: int = 8, seed: int = 0, keys=("frame_id",), row_keys=("px_row", "px_col"), portable: bool = False) -> DataFrame:

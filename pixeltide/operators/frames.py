@@ -64,10 +64,11 @@ def select_split(df: DataFrame, split: str = "both", column: str = "split") -> D
     return df.filter(F.col(column) == split)
 
 
-def frame_inventory(listing: DataFrame, strict: bool = True, root_keys: Sequence[str] = ("root",)) -> DataFrame:
+def frame_inventory(listing: DataFrame, strict: bool = False, root_keys: Sequence[str] = ("root",)) -> DataFrame:
     """One row per frame from a file listing (root, split, name, length): which sidecars exist, image size.
 
-    Suffixes are turned into flags by one conditional aggregate; other files drop out.
+    Suffixes are turned into flags by one conditional aggregate; other files drop out. Names carry four or more digits; strict takes
+    exactly four.
     """
     digits = r"\d{4}" if strict else r"\d{4,}"
     stem = F.regexp_extract("name", rf"^((?:frame|sfrm)_{digits})(\.png|_spatial\.exr|_meta\.json|\.txt)$", 1)
@@ -106,12 +107,22 @@ def stem_family(listing: DataFrame, root_keys: Sequence[str] = ("root",)) -> Dat
 
 def frame_index(frames: DataFrame, root_keys: Sequence[str] = ("root",), width: int = ordered.CHUNK) -> DataFrame:
     """Dense 0-based sample index per root in (split, frame id) order."""
-    return ordered.number_by_position(frames, list(root_keys), ["split"], "frame_id", "sample_index", width=width)
+    ties = [c for c in ("stem",) if c in frames.columns]
+    return ordered.number_by_position(frames, list(root_keys), ["split"], "frame_id", "sample_index", width=width, ties=ties)
+
+
+def loader_index(listing: DataFrame, root_keys: Sequence[str] = ("root",), width: int = ordered.CHUNK) -> DataFrame:
+    """What a loader of a dataset folder sees: frames of the folder's stem family that have metadata, numbered from 0."""
+    found = frame_inventory(listing, root_keys=root_keys).filter(F.col("has_meta") & F.col("split").isin("train", "val"))
+    family = stem_family(listing, root_keys)
+    own = found.join(family, list(root_keys)).filter(F.col("kind") == F.col("family")).drop("family")
+    return frame_index(own, root_keys, width)
 
 
 def shard_pack_index(frames: DataFrame, frames_per_shard: int, root_keys: Sequence[str] = ("root",), width: int = ordered.CHUNK) -> DataFrame:
-    """Global pack order (train before val, then frame id) and the shard each sample goes to."""
-    out = ordered.number_by_position(frames, list(root_keys), ["split"], "frame_id", "pack_index", width=width)
+    """Global pack order (train before val, then frame id, then stem) and the shard each sample goes to."""
+    ties = [c for c in ("stem",) if c in frames.columns]
+    out = ordered.number_by_position(frames, list(root_keys), ["split"], "frame_id", "pack_index", width=width, ties=ties)
     return out.withColumn("pack_shard", F.floor(F.col("pack_index") / F.lit(float(frames_per_shard))).cast("bigint"))
 
 

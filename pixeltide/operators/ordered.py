@@ -41,10 +41,11 @@ def number_by_position(
     out: str,
     start: int = 0,
     width: int = CHUNK,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Consecutive numbers per keys in the order (leading..., position).
+    """Consecutive numbers per keys in the order (leading..., position, ties...).
 
-    position is an integer, unique within (keys, leading), so a chunk holds at most ``width`` rows and the only
+    position is an integer, unique within (keys, leading, ties), so with few ties a chunk holds about ``width`` rows and the only
     sequence walked by one task is the list of chunk counts.
     """
     df = df.withColumn("__chunk", chunk_of(position, width))
@@ -52,7 +53,7 @@ def number_by_position(
     counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(*leading, "__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0).cast("bigint")).alias("__off"))
-    local = F.row_number().over(Window.partitionBy(*part).orderBy(position))
+    local = F.row_number().over(Window.partitionBy(*part).orderBy(position, *ties))
     numbered = df.withColumn("__local", local)
     return (
         _join_on(numbered, offsets, part)
@@ -140,28 +141,3 @@ def running_sums(
         {n: F.when(F.col(f"__c_{n}").isNull(), F.col(f"__s_{n}")).otherwise(F.col(f"__s_{n}") + F.col(f"__c_{n}")) for n in sums}
     )
     return joined.drop("__chunk", *[f"__s_{n}" for n in sums], *[f"__c_{n}" for n in sums])
-
-
-def smallest_k(
-    df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], k: int, per_octave: int = 64
-) -> DataFrame:
-    """The k rows with the smallest score in [0, 1) per keys, exactly, without sorting a whole key.
-
-    Scores fall into buckets whose width is a fixed share of the score. Bucket counts say in which bucket the k-th
-    row of each key lies: lower buckets hold fewer than k rows and are kept whole, and for even scores the border bucket
-    holds about k / per_octave rows however large the key is; only that one is ranked. The counting pass is a
-    map-side-combined aggregate of at most 53 * per_octave rows per key and task.
-    """
-    lowest = 2.0**-53
-    octave = F.log2(F.greatest(F.col(score), F.lit(lowest))) + 53.0
-    df = df.withColumn("__b", F.floor(octave * float(per_octave)).cast("int"))
-    part = [*keys, "__b"]
-    counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    room = counts.select(*part, (F.lit(k) - F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__room"), "__n")
-    room = room.filter(F.col("__room") > 0).withColumn("__whole", F.col("__n") <= F.col("__room")).drop("__n")
-    kept = _join_on(df, room, part, "inner")
-    # Kept rows number at most k per key plus one bucket, and a bucket is ranked on its own.
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy(score, *ties))
-    ranked = kept.withColumn("__rank", rank).filter(F.col("__whole") | (F.col("__rank") <= F.col("__room")))
-    return ranked.drop("__b", "__room", "__whole", "__rank")

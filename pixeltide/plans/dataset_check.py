@@ -101,7 +101,7 @@ def validate_dataset(
     scanned = listing.filter(F.col("split").isin(folders)).withColumns(
         {"stem": F.regexp_replace("name", r"(_meta\.json|\.png|\.txt)$", ""), "file_name": F.col("name")}
     )
-    # Catalogue names are paths relative to a scanned folder; frame checks take strict four-digit names directly in it.
+    # Catalogue names are paths relative to a scanned folder; frame checks take frame names directly in it.
     whole = F.concat_ws("/", F.nullif("split", F.lit("")), "name")
     inside = [
         F.when(
@@ -121,7 +121,7 @@ def validate_dataset(
         F.bool_or(F.col("name") == F.concat("stem", F.lit(".txt"))).alias("has_txt"),
         F.bool_or(F.col("name") == F.concat("stem", F.lit("_meta.json"))).alias("has_meta"),
     )
-    frames = files.filter(F.col("file_name").rlike(K.IMAGE_NAME_STRICT)).withColumn("stem", F.regexp_replace("file_name", r"\.png$", ""))
+    frames = files.filter(F.col("file_name").rlike(K.IMAGE_NAME_OPEN)).withColumn("stem", F.regexp_replace("file_name", r"\.png$", ""))
     frames = frames.join(side, ["split", "stem"], "left")
 
     parts += [
@@ -146,9 +146,10 @@ def validate_dataset(
 
 
 def _folder_docs(spark: SparkSession, root: str, glob: str, suffix: str, folders: list[str]) -> DataFrame:
-    docs = S.read_texts(spark, root, glob)
-    rel = F.substring_index("path", root + "/", -1)
-    docs = docs.withColumns({"split": F.regexp_extract(rel, r"^(.*)/[^/]*$", 1), "stem": F.regexp_replace(F.regexp_extract(rel, r"([^/]*)$", 1), suffix, "")})
+    """Texts directly in the chosen folders; only those folders are read."""
+    docs = S.read_texts(spark, [f"{root}/{f}" if f else root for f in folders], glob, deep=False)
+    rel = S.below_root(F.col("path"), root)
+    docs = docs.withColumns({"split": F.regexp_extract(rel, r"(?s)^(.*)/[^/]*$", 1), "stem": F.regexp_replace(F.regexp_extract(rel, r"([^/]*)$", 1), suffix, "")})
     return docs.filter(F.col("split").isin(folders))
 
 

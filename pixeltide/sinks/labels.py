@@ -22,7 +22,7 @@ def _one_decimal(c: Column) -> Column:
 def coco_lines(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """(section, ord, value) lines of an annotation document, one element per line.
 
-    Ids start at 1 and follow document order. Boxes print with one decimal.
+    Ids follow document order; the first of a section has no comma before it, whatever its id. Boxes print with one decimal.
     """
     lit = F.lit
 
@@ -33,20 +33,23 @@ def coco_lines(images: DataFrame, annotations: DataFrame, categories: DataFrame)
     def comma(first: Column) -> Column:
         return F.when(first, lit("")).otherwise(lit(","))
 
-    im = images.select(
+    def with_low(df: DataFrame, key: str) -> DataFrame:
+        """Adds the smallest id, which opens its section: a one-row side, whatever the ids start with."""
+        low = df.agg(F.min(key).alias("__low"))
+        return df.join(F.broadcast(low), F.col(key) >= F.col("__low"))
+
+    im = with_low(images, "image_id").select(
         lit(1).alias("section"), F.col("image_id").cast("bigint").alias("ord"),
-        F.concat(comma(F.col("image_id") == 1), F.to_json(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height"))).alias("value"),
+        F.concat(comma(F.col("image_id") == F.col("__low")), F.to_json(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height"))).alias("value"),
     )
     box = F.concat(lit("["), F.concat_ws(",", *[_one_decimal(F.col(c)) for c in ("bx", "by", "bw", "bh")]), lit("]"))
     head = F.format_string('{"id":%d,"image_id":%d,"category_id":%d,"bbox":', F.col("ann_id"), F.col("image_id"), F.col("category_id"))
     tail = F.to_json(F.struct(lit(0).alias("iscrowd"), F.col("area").cast("bigint").alias("area"), "instance_id", "label"))
-    an = annotations.select(
+    an = with_low(annotations, "ann_id").select(
         lit(3).alias("section"), F.col("ann_id").cast("bigint").alias("ord"),
-        F.concat(comma(F.col("ann_id") == 1), head, box, lit(","), F.substring(tail, 2, 1 << 30)).alias("value"),
+        F.concat(comma(F.col("ann_id") == F.col("__low")), head, box, lit(","), F.substring(tail, 2, 1 << 30)).alias("value"),
     )
-    # One-row side: the smallest category id, which opens the list.
-    low = categories.agg(F.min("category_id").alias("__low"))
-    ca = categories.join(F.broadcast(low), F.col("category_id") >= F.col("__low")).select(
+    ca = with_low(categories, "category_id").select(
         lit(5).alias("section"), F.col("category_id").cast("bigint").alias("ord"),
         F.concat(comma(F.col("category_id") == F.col("__low")), F.to_json(F.struct(F.col("category_id").alias("id"), "name"))).alias("value"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pixeltide.operators.frames import select_split, shard_pack_index
 from pixeltide.sinks.storage import exists, open_read, replacing
-from pixeltide.sources.files import scan_frames
+from pixeltide.sources.files import scan_frames, spread
 
 # Archive entry extension and file suffix, in archive order (fixed values).
 _ENTRIES = (("exr", "_spatial.exr"), ("json", "_meta.json"), ("png", ".png"), ("txt", ".txt"))
@@ -21,7 +21,7 @@ _ENTRIES = (("exr", "_spatial.exr"), ("json", "_meta.json"), ("png", ".png"), ("
 
 def pack_plan(spark: SparkSession, root: str, split: str = "both", frames_per_shard: int = 1000) -> DataFrame:
     """Frames with metadata in pack order: stem, folder and shard number. Stems may have more than four digits."""
-    frames = select_split(scan_frames(spark, root, strict=False).filter("has_meta"), split)
+    frames = select_split(scan_frames(spark, root).filter("has_meta"), split)
     plan = shard_pack_index(frames, frames_per_shard)
     return plan.select("pack_shard", "pack_index", "stem", F.concat_ws("/", F.lit(root.rstrip("/")), "split").alias("folder"))
 
@@ -35,7 +35,9 @@ def write_webdataset(spark: SparkSession, root: str, out: str, split: str = "bot
     plan = pack_plan(spark, root, split, frames_per_shard)
     ext = ".tar.gz" if compress else ".tar"
     base = out.rstrip("/")
-    placed = plan.repartition("pack_shard").sortWithinPartitions("pack_shard", "pack_index")
+    # An explicit count keeps adaptive execution from merging the small plan into one task that would read every frame.
+    shards = (plan.agg(F.max("pack_shard")).first()[0] or 0) + 1
+    placed = plan.repartition(min(int(shards), 4 * spread(spark)), "pack_shard").sortWithinPartitions("pack_shard", "pack_index")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, made = None, []

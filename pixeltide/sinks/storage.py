@@ -5,13 +5,20 @@ from __future__ import annotations
 import re
 import uuid
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyarrow import fs
 
 
 def locate(path: str) -> tuple[fs.FileSystem, str]:
-    plain = re.sub(r"^file:(//)?(?=/)", "", path)
-    if plain.startswith("/"):
+    """Filesystem and the path on it. Plain paths are taken as they are; file: URIs may be escaped; other URIs go to Arrow."""
+    if path.startswith("/"):
+        return fs.LocalFileSystem(), path
+    if local := re.match(r"file:(?://)?(?=/)", path):
+        plain = path[local.end() :]
+        # Spark escapes what it reports; a path that exists as written is not one of those.
+        if "%" in plain and fs.LocalFileSystem().get_file_info(plain).type == fs.FileType.NotFound:
+            plain = unquote(plain)
         return fs.LocalFileSystem(), plain
     return fs.FileSystem.from_uri(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pixeltide.functions import jsonfn as J
 from pixeltide.functions.geometry import intrinsics_mismatch, k_matrix, rows_of_4x4
 from pixeltide.operators.frames import frame_inventory
 from pixeltide.plans.validation import parse_label_tokens, split_label_text
+from pixeltide.session import cut
 from pixeltide.sinks.storage import locate, open_read
 
 META_SCHEMA = (
@@ -40,54 +42,78 @@ MANIFEST_SCHEMA = (
 )
 
 
-def _folders(root: str) -> list[tuple[str, bool]]:
-    """The root itself (flat) and its direct subfolders (walked down)."""
-    system, p = locate(root)
-    subs = [f.path for f in system.get_file_info(fs.FileSelector(p)) if f.type == fs.FileType.Directory]
-    scheme = root[: len(root) - len(p)] if root.endswith(p) else ""
-    return [(root, False), *((scheme + s, True) for s in sorted(subs))]
-
-
 def list_files(spark: SparkSession, root: str, batch: int = 10_000) -> DataFrame:
     """root, split (folder below the root, '' at the root), name, path, length of every file.
 
-    Folders are listed by tasks. Spark's own file sources leave out empty files, and an empty label file is a valid one.
+    Folders are listed by tasks, level by level: what a task finds to be a folder is another task's work, and the rows of each level
+    are kept on the checkpoint folder. Spark's own file sources leave out empty files, and an empty label file is a valid one.
+    ``path`` is the root as given, with the scheme it has, and the place below it.
     """
     clean = root.rstrip("/")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = locate(clean)
+        base = base.rstrip("/")
         for pdf in batches:
-            for folder, deep in zip(pdf["folder"], pdf["deep"]):
-                system, p = locate(folder)
-                infos = [f for f in system.get_file_info(fs.FileSelector(p, recursive=bool(deep))) if f.type == fs.FileType.File]
+            for below in pdf["rel"]:
+                infos = system.get_file_info(fs.FileSelector(base + below, allow_not_found=True))
                 for i in range(0, len(infos), batch):
-                    part = infos[i : i + batch]
-                    yield pd.DataFrame({"path": [f.path for f in part], "length": [f.size for f in part]})
-
-    todo = _folders(clean)
-    listed = spark.createDataFrame(todo, "folder string, deep boolean").repartition(len(todo), "folder")
-    files = listed.mapInPandas(walk, "path string, length bigint")
-    rel = F.substring_index("path", clean + "/", -1)
-    return files.select(
+                    part = [f for f in infos[i : i + batch] if f.type in (fs.FileType.File, fs.FileType.Directory)]
+                    yield pd.DataFrame(
+                        {
+                            "rel": [f"{below}/{f.base_name}" for f in part],
+                            "length": [0 if f.size is None else f.size for f in part],
+                            "folder": [f.type == fs.FileType.Directory for f in part],
+                        }
+                    )
+
+    listed = spark.createDataFrame([], "rel string, length bigint")
+    todo = spark.createDataFrame([("",)], "rel string")
+    while True:
+        found = cut(todo.mapInPandas(walk, "rel string, length bigint, folder boolean"))
+        listed = listed.union(found.filter("not folder").select("rel", "length"))
+        n = found.filter("folder").count()
+        if not n:
+            break
+        todo = found.filter("folder").select("rel").repartition(min(n, spread(spark)))
+    return listed.select(
         F.lit(clean).alias("root"),
-        F.when(F.contains(rel, F.lit("/")), F.regexp_extract(rel, r"^(.*)/[^/]*$", 1)).otherwise(F.lit("")).alias("split"),
-        F.regexp_extract(rel, r"([^/]*)$", 1).alias("name"),
-        "path",
+        F.regexp_extract("rel", r"(?s)^/(.*)/[^/]*$", 1).alias("split"),
+        F.regexp_extract("rel", r"([^/]*)$", 1).alias("name"),
+        F.concat(F.lit(clean), "rel").alias("path"),
         "length",
     )
 
 
-def scan_frames(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
-    """Frames below a root with their sidecars; flat layouts have split ''."""
+def spread(spark: SparkSession) -> int:
+    """Tasks for work that is bound by opening files: some per core, however few rows there are."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def scan_frames(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
+    """Frames below a root with their sidecars; flat layouts have split ''. strict takes names of exactly four digits only."""
     return frame_inventory(list_files(spark, root).filter(F.col("split").isin("", "train", "val")), strict)
 
 
-def read_texts(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """path, text of whole files. Empty files give no row."""
-    reader = spark.read.option("recursiveFileLookup", "true")
+def read_texts(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None, deep: bool = True) -> DataFrame:
+    """path, text of whole files, in all folders below unless ``deep`` is off. Empty files give no row."""
+    reader = spark.read.option("recursiveFileLookup", str(deep).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    texts = reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
+    return texts.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+
+
+def plain_path(path: Column) -> Column:
+    """A file path as Spark reports it (escaped, with a scheme) in the form that listings give local ones."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "/")
+
+
+def below_root(path: Column, root: str) -> Column:
+    """What follows ``root`` in a path of plain_path form; null elsewhere."""
+    prefix = re.sub("^file:/+", "/", root.rstrip("/")) + "/"
+    return F.when(F.startswith(path, F.lit(prefix)), F.substring(path, len(prefix) + 1, 1 << 30))
 
 
 # ---------------------------------------------------------------- frame metadata
@@ -175,30 +201,36 @@ def read_coco(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFram
     listed = [paths] if isinstance(paths, str) else list(paths)
     docs = read_texts(spark, listed)
     # Shard order is the order the paths are given in.
-    order = F.lit(0)
-    for i, p in enumerate(listed):
-        order = F.when(F.col("path").endswith(p.removeprefix("file:")), F.lit(i)).otherwise(order)
-    return coco_tables(parse_coco(docs.withColumn("shard_order", order)), ["shard_order"])
+    order = spark.createDataFrame([(re.sub("^file:/+", "/", p), i) for i, p in enumerate(listed)], "path string, shard_order int")
+    return coco_tables(parse_coco(docs.join(order, "path")), ["shard_order"])
 
 
 def read_coco_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of a document written one element per line (sinks.labels.write_coco).
 
     The text source splits such a file, so a document of any size is read in parallel. Positions come from the ids, which the
-    writer numbers in document order.
+    writer numbers in document order. A line that is neither an element nor the writer's frame around the sections fails the job,
+    so a document in another layout is refused, not read in part; read_coco takes it.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"^,|,\s*$", "").alias("t")).filter(F.col("t").startswith("{") & F.col("t").endswith("}"))
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"^,|,\s*$", "")).alias("t"))
+    frame = F.col("t").rlike(r'^[\[\]{}]*$|^\{?"(images|annotations|categories)":\s*\[\]?$|^\],?"(images|annotations|categories)":\s*\[\]?$')
+    element = F.startswith(F.col("t"), F.lit("{")) & F.endswith(F.col("t"), F.lit("}")) & F.json_object_keys("t").isNotNull()
+    has = lambda key: F.array_contains(F.json_object_keys("t"), key)
+    kind = (
+        F.when(frame, "frame").when(element & has("image_id"), "annotation").when(element & has("file_name"), "image").when(element & has("name"), "category")
+    )
+    refused = F.raise_error(F.concat(F.lit("line is no element of this layout: "), F.substring("t", 1, 80))).cast("string")
+    lines = lines.withColumn("kind", F.coalesce(kind, refused))
     im = F.from_json("t", "id bigint, file_name string, width int, height int")
     an = F.from_json("t", "id bigint, image_id bigint, category_id bigint, bbox array<double>, area double, iscrowd int, instance_id bigint, label string")
     ca = F.from_json("t", "id bigint, name string")
-    is_ann = F.contains(F.col("t"), F.lit('"image_id":'))
-    is_img = F.contains(F.col("t"), F.lit('"file_name":')) & ~is_ann
-    images = lines.filter(is_img).select(im.alias("r")).select(F.col("r.id").alias("pos"), F.lit(True).alias("is_object"), F.col("r.id").alias("image_id"), "r.file_name", "r.width", "r.height")
-    anns = lines.filter(is_ann).select(an.alias("r")).select(
+    of = lambda k, r: lines.filter(F.col("kind") == k).select(r.alias("r"))
+    images = of("image", im).select(F.col("r.id").alias("pos"), F.lit(True).alias("is_object"), F.col("r.id").alias("image_id"), "r.file_name", "r.width", "r.height")
+    anns = of("annotation", an).select(
         F.col("r.id").alias("pos"), F.lit(True).alias("is_object"), F.col("r.id").alias("ann_id"), "r.image_id", "r.category_id",
         F.col("r.bbox").isNotNull().alias("bbox_is_list"), "r.bbox", "r.area", "r.iscrowd", "r.instance_id", "r.label",
     )
-    cats = lines.filter(~is_img & ~is_ann).select(ca.alias("r")).select(F.col("r.id").alias("pos"), F.col("r.id").alias("category_id"), "r.name")
+    cats = of("category", ca).select(F.col("r.id").alias("pos"), F.col("r.id").alias("category_id"), "r.name")
     return images, anns, cats.filter(F.col("category_id").isNotNull())
 
 
@@ -261,7 +293,8 @@ def image_dims(files: DataFrame, path: str = "path") -> DataFrame:
             pdf = pdf.assign(hdr_w=pd.array([d[0] for d in dims], dtype="Int64"), hdr_h=pd.array([d[1] for d in dims], dtype="Int64"))
             yield pdf
 
-    return files.mapInPandas(read, schema)
+    # Opening files is the work: spread it, however few partitions the listing has.
+    return files.repartition(spread(files.sparkSession)).mapInPandas(read, schema)
 
 
 def frame_samples(index: DataFrame, meta: DataFrame, pixels: DataFrame, images: DataFrame, keys: Sequence[str] = ("split", "frame_id"), strict: bool = True) -> DataFrame:

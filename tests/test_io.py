@@ -49,15 +49,23 @@ def test_coco_parts_assemble_to_a_document_and_read_back(spark, tmp_path):
         assert sorted((r["ann_id"], r["image_id"], tuple(r["bbox"]), r["label"]) for r in anns.collect())[1] == (2, 1, (0.0, 1.0, 4.0, 2.0), "dog")
 
 
+def test_line_reader_refuses_other_layouts(spark, tmp_path):
+    for name, indent in (("compact", None), ("indented", 2)):
+        (tmp_path / name).write_text(json.dumps(trees.coco(), indent=indent))
+        with pytest.raises(Exception, match="no element of this layout"):
+            for table in S.read_coco_lines(spark, str(tmp_path / name)):
+                table.collect()
+
+
 def test_shard_documents_merge_in_given_order(spark, tmp_path):
     names = []
     for i, fn in enumerate(("b", "a")):
-        p = tmp_path / f"{fn}.json"
+        p = tmp_path / f"{fn} 1.json"
         p.write_text(json.dumps(trees.coco(images=[{"id": 1, "file_name": f"f{i}.png"}], annotations=[{"id": 9, "image_id": 1, "category_id": 2, "bbox": [0, 0, 1, 1]}])))
         names.append(str(p))
     images, anns, cats = A.merge_shards(*S.read_coco(spark, names))
     assert sorted((r["new_id"], r["file_name"]) for r in images.collect()) == [(1, "f0.png"), (2, "f1.png")]
-    assert sorted((r["new_id"], r["new_image_id"]) for r in anns.collect()) == [(1, 1), (2, 2)] and cats.count() == 1
+    assert sorted((r["new_id"], r["new_image_id"]) for r in anns.collect()) == [(1, 1), (2, 2)] and cats.count() == 2
 
 
 def test_boxes_as_csv_and_json(spark, tmp_path):
@@ -104,6 +112,12 @@ def test_packing(spark, tmp_path):
     val = write_webdataset(spark, str(root), str(tmp_path / "gz"), split="val", compress=True)
     assert [p[-21:] for p in val] == ["shard-000000.tar.gz"[-21:]] or val[0].endswith("shard-000000.tar.gz")
     assert gzip.open(val[0]).read(9) == b"frame_000"
+    many = dataset(tmp_path / "many")
+    for i in range(40):
+        trees.frame(many / "train", f"frame_1{i:04d}", None, trees.meta())
+    plan = pack_plan(spark, str(many), frames_per_shard=2)
+    assert [(r["pack_index"], r["pack_shard"]) for r in plan.orderBy("pack_index").collect()] == [(i, i // 2) for i in range(44)]
+    assert len(write_webdataset(spark, str(many), str(tmp_path / "more"), frames_per_shard=2)) == 22
     (tmp_path / "empty" / "train").mkdir(parents=True)
     assert write_webdataset(spark, str(tmp_path / "empty"), str(tmp_path / "none")) == []
     with pytest.raises(ValueError):
@@ -113,7 +127,12 @@ def test_packing(spark, tmp_path):
 def test_scan_stem_family_and_headers(spark, tmp_path):
     root = dataset(tmp_path / "d")
     inv = {(r["split"], r["stem"]): r for r in S.scan_frames(spark, str(root)).collect()}
-    assert set(inv) == {("train", "frame_0000"), ("train", "frame_0002"), ("train", "frame_0007"), ("val", "frame_0001")}
+    assert set(inv) == {("train", "frame_0000"), ("train", "frame_0002"), ("train", "frame_0007"), ("val", "frame_0001"), ("val", "frame_12345")}
+    assert len(S.scan_frames(spark, str(root), strict=True).collect()) == 4
+    as_uri = {(r["split"], r["stem"], r["has_meta"]) for r in S.scan_frames(spark, f"file://{root}").collect()}
+    assert as_uri == {(*k, r["has_meta"]) for k, r in inv.items()}
+    listed = [r["path"] for r in S.list_files(spark, f"file://{root}").collect()]
+    assert all(p.startswith(f"file://{root}/") for p in listed) and len(listed) == 14
     assert inv["train", "frame_0000"]["has_txt"] and not inv["train", "frame_0007"]["has_meta"]
     trees.frame(root / "train", "sfrm_0001", None, trees.meta())
     assert frames.stem_family(S.list_files(spark, str(root))).first()["family"] == "frame"
@@ -122,7 +141,7 @@ def test_scan_stem_family_and_headers(spark, tmp_path):
     assert frames.stem_family(S.list_files(spark, str(lone))).first()["family"] == "sfrm"
     pngs = S.image_dims(S.list_files(spark, str(root)).filter("name like '%.png'"))
     dims = {r["name"]: (r["hdr_w"], r["hdr_h"]) for r in pngs.collect()}
-    assert dims["frame_0000.png"] == (1, 1) and dims["frame_0007.png"] == (None, None)
+    assert dims["frame_0000.png"] == (6, 4) and dims["frame_0007.png"] == (None, None)
     found = S.coco_discover(S.list_files(spark, str(trees.good(tmp_path / "g")))).first()
     assert found["coco_path"].endswith("annotations_coco.json") and found["code"] is None
 

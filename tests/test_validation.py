@@ -25,37 +25,45 @@ def test_good_tree_passes(spark, tmp_path):
     report = check(spark, trees.good(tmp_path), check_meta=True, strict=True)
     assert codes(report) == []
     assert report.exit_code(strict=True) == 0
-    assert {r["category_id"]: (r["n"], r["name"]) for r in report.histogram.collect()} == {2: (2, "cube")}
+    assert {r["category_id"]: (r["n"], r["name"]) for r in report.histogram.collect()} == {5: (2, "crate")}
     s = report.stats.first()
     assert (s["coco_images_referenced"], s["coco_images_checked_existing"]) == (1, 1)
 
 
+def full_bleed(root):
+    """A good tree whose one box is the whole image."""
+    trees.good(root)
+    trees.frame(root / "train", label="5 0.5 0.5 1.0 1.0\n")
+    (root / "annotations_coco.json").write_text(json.dumps(trees.coco(annotations=[{**ANN, "bbox": [0, 0, 6, 4]}])))
+    return root
+
+
 def test_full_bleed_box_warns_by_default(spark, tmp_path):
-    report = check(spark, trees.good(tmp_path), limits=Limits())
+    report = check(spark, full_bleed(tmp_path), limits=Limits())
     assert codes(report) == [("warning", "coco_bbox_huge_frac"), ("warning", "yolo_huge_frac")]
     assert (report.exit_code(), report.exit_code(strict=True)) == (0, 1)
 
 
-IMG = {"id": 1, "file_name": "frame_0000.png", "width": 1, "height": 1}
-ANN = {"id": 1, "image_id": 1, "category_id": 2, "bbox": [0, 0, 1, 1]}
+IMG = {"id": 7, "file_name": "frame_0000.png", "width": 6, "height": 4}
+ANN = {"id": 12, "image_id": 7, "category_id": 5, "bbox": [1, 0, 4, 3]}
 
 DOCUMENTS = [
     (dict(), []),
     (dict(annotations=[ANN, {**ANN, "image_id": 9}]), [("error", "coco_orphan_ann")]),
-    (dict(annotations=[{**ANN, "image_id": "1"}]), [("error", "coco_orphan_ann")]),
+    (dict(annotations=[{**ANN, "image_id": "7"}]), [("error", "coco_orphan_ann")]),
     (dict(annotations=[ANN, 5]), [("warning", "coco_ann_dtype")]),
     (dict(annotations=[{**ANN, "bbox": "x"}]), [("error", "coco_bbox_type")]),
-    (dict(annotations=[{**ANN, "bbox": [0, 0, "a", 1]}]), [("error", "coco_bbox_values")]),
-    (dict(annotations=[{**ANN, "bbox": ["0", 0, " 1 ", 1]}]), []),
-    (dict(annotations=[{**ANN, "bbox": [0, 0, 1]}]), [("error", "coco_bbox_len")]),
-    (dict(annotations=[{**ANN, "bbox": [0, 0, float("nan"), float("inf")]}]), [("error", "coco_bbox_nan")] * 2),
-    (dict(annotations=[{**ANN, "bbox": [0, 0, 0, 1]}]), [("error", "coco_bbox_nonpos_wh"), ("error", "coco_bbox_small_area")]),
-    (dict(annotations=[{**ANN, "bbox": [1, 0, 1, 1]}]), [("warning", "coco_bbox_oob")]),
+    (dict(annotations=[{**ANN, "bbox": [1, 0, "wide", 3]}]), [("error", "coco_bbox_values")]),
+    (dict(annotations=[{**ANN, "bbox": ["1", 0, " 4 ", 3]}]), []),
+    (dict(annotations=[{**ANN, "bbox": [1, 0, 4]}]), [("error", "coco_bbox_len")]),
+    (dict(annotations=[{**ANN, "bbox": [1, 0, float("nan"), float("inf")]}]), [("error", "coco_bbox_nan")] * 2),
+    (dict(annotations=[{**ANN, "bbox": [1, 0, 0, 3]}]), [("error", "coco_bbox_nonpos_wh"), ("error", "coco_bbox_small_area")]),
+    (dict(annotations=[{**ANN, "bbox": [3, 0, 4, 3]}]), [("warning", "coco_bbox_oob")]),
     (dict(images=[{**IMG, "width": 0}]), [("error", "coco_image_dim")]),
-    (dict(images=[{"id": 1, "file_name": "frame_0000.png"}]), []),
+    (dict(images=[{"id": 7, "file_name": "frame_0000.png"}]), []),
     (dict(images=[IMG, {"id": "x"}]), [("error", "coco_image_schema")]),
     (dict(images=[IMG, {"id": 2}]), [("error", "coco_image_fname")]),
-    (dict(images=[{**IMG, "id": 7}, IMG]), [("warning", "coco_duplicate_fname")]),
+    (dict(images=[{**IMG, "id": 8}, IMG]), [("warning", "coco_duplicate_fname")]),
     (dict(images=[IMG, {**IMG, "id": 3, "file_name": "frame_0009.png"}]), [("error", "coco_image_missing")]),
 ]
 
@@ -64,7 +72,7 @@ def test_annotation_document_defects(spark):
     """Many documents in one table, told apart by a document key."""
     docs = spark.createDataFrame([(i, json.dumps(trees.coco(**c))) for i, (c, _) in enumerate(DOCUMENTS)], "doc int, text string")
     images, anns, _ = S.coco_tables(S.parse_coco(docs), ["doc"])
-    files = docs.select("doc", F.lit("train").alias("split"), F.lit("frame_0000.png").alias("file_name"), F.lit(9).cast("bigint").alias("size_bytes"), F.lit(1).alias("hdr_w"), F.lit(1).alias("hdr_h"))
+    files = docs.select("doc", F.lit("train").alias("split"), F.lit("frame_0000.png").alias("file_name"), F.lit(9).cast("bigint").alias("size_bytes"), F.lit(6).alias("hdr_w"), F.lit(4).alias("hdr_h"))
     resolved = A.resolve_images(images, files, ["doc"])
     boxes = A.annotation_dims(anns.filter("is_object"), resolved, ["doc"])
     issues = V.union_issues(
@@ -81,7 +89,7 @@ def test_annotation_document_defects(spark):
 
 LABELS = [
     ("", []),
-    ("not five tokens here\n", ["yolo_bad_line"]),
+    ("crate, left half\n", ["yolo_bad_line"]),
     ("x 0.5 0.5 1 1", ["yolo_class"]),
     ("2.0 0.5 0.5 1 1", ["yolo_class"]),
     ("2 0.5 0.5f 1 1", ["yolo_parse"]),
@@ -121,11 +129,29 @@ def test_meta_defects(spark):
     assert got == {i: n for i, (_, n) in enumerate(METAS)}
 
 
+def broken_late_frame(root):
+    """A good tree whose frame 10000 has a broken label and broken metadata."""
+    trees.good(root)
+    trees.frame(root / "train", "frame_10000", label="five is not\n", doc="{")
+    return root
+
+
+def test_late_frames_escaped_roots_and_uris_are_checked_alike(spark, tmp_path):
+    want = [("error", "meta_json"), ("error", "yolo_bad_line"), ("warning", "png_not_in_coco")]
+    plain = broken_late_frame(tmp_path / "plain")
+    spaced = broken_late_frame(tmp_path / "my data+x %41")
+    assert codes(check(spark, plain, check_meta=True)) == want
+    assert codes(check(spark, f"file://{plain}", check_meta=True)) == want
+    assert codes(check(spark, spaced, check_meta=True)) == want
+    again = broken_late_frame(tmp_path / "plain" / "nested" / "plain")
+    assert codes(check(spark, again, check_meta=True)) == want
+
+
 def test_pairing_discovery_and_manifest(spark, tmp_path):
     a = trees.good(tmp_path / "a")
     trees.frame(a / "train", "frame_0001", label=None)
     trees.frame(a / "train", "frame_12345", label=None)
-    assert codes(check(spark, a)) == [("error", "yolo_missing"), ("warning", "png_not_in_coco")]
+    assert codes(check(spark, a)) == [("error", "yolo_missing")] * 2 + [("warning", "png_not_in_coco")] * 2
     b = trees.good(tmp_path / "b")
     trees.frame(b / "val", "frame_0001", label="")
     assert codes(check(spark, b, check_meta=True)) == [("error", "meta_missing"), ("warning", "png_not_in_coco")]
@@ -171,7 +197,7 @@ def test_image_names_may_carry_a_subfolder(spark, tmp_path):
 def test_report_files(spark, tmp_path):
     from pixeltide.sinks.manifests import write_report
 
-    report = check(spark, trees.good(tmp_path / "a"), limits=Limits())
+    report = check(spark, full_bleed(tmp_path / "a"), limits=Limits())
     code = write_report(report.issues, report.histogram, report.stats.first().asDict(), str(tmp_path / "report"))
     summary = json.loads((tmp_path / "report" / "summary.json").read_text())
     assert code == summary["exit_code"] == 0 and len(summary["issue_counts"]) == 2
