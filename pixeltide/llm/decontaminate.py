@@ -139,12 +139,14 @@ class Block:
         row = np.searchsorted(first, hit, "right") - 1
         good = (self.keys[pos] == hashes[hit]) & (hit + SEED <= first[row + 1])
         hit, pos, row = hit[good], pos[good], row[good]
+        if not len(hit):
+            return {}
         n = self.key_first[pos + 1] - self.key_first[pos]
         item = self.key_items[np.repeat(self.key_first[pos] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
         hit, row = np.repeat(hit, n), np.repeat(row, n)
         o = np.lexsort((hit, item, row))
         hit, row, item = hit[o], row[o], item[o]
-        cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])]) if len(hit) else np.zeros(0, int)
+        cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
         ends = np.r_[cut[1:], len(hit)]
         return {(int(row[a]), int(item[a])): hit[a:b] for a, b in zip(cut, ends, strict=True)}
 
