@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +220,14 @@ def test_decontamination_catches_reordered_passages_and_leaves_the_rest(spark):
     assert decontaminate.matches(docs.filter("false"), bench).collect() == []
 
 
+def test_seeds_that_only_look_alike_find_nothing(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_FILTER_BITS", 1)
+    rng = random.Random(8)
+    block = decontaminate.Block.of([1], [prose(rng, 30)])
+    for _, words, first in decontaminate.tokens(pa.array([prose(rng, 50), "", prose(rng, 9)])):
+        assert block.candidates(words, first) == {}
+
+
 def test_decontamination_in_several_blocks(spark, monkeypatch):
     rng = random.Random(8)
     items = [(k, prose(rng, 30)) for k in range(12)]
