@@ -85,7 +85,7 @@ _CLASSNAMES = "(select c.id as category_id, concat('class_', cast(c.id as string
     f"""select h.category_id, cast(count(*) as bigint) as n, max(c.name) as name from (
           select cast(category_id as bigint) as category_id from {_DIMS} a
           union all
-          select cast(split_part(trim(line), ' ', 1) as bigint) from $yolo as y where not (line like 'not%' or line like 'x %')) h
+          select cast(split_part(trim(line), ' ', 1) as bigint) from $yolo as y where not (line like 'class%' or line like 'x %')) h
         left join {_CLASSNAMES} c on h.category_id = c.category_id group by 1""",
 )
 def _(v):

@@ -263,6 +263,33 @@ def _(v):
     return pts.select(*_CLOUD_KEYS, *[rnd(F.col(a) / F.greatest("depth", F.lit(1.0))).alias(a) for a in "xyz"])
 
 
+# Pixels of frame arrays; frames stay arrays on the Spark side until their camera has joined them.
+_EPX = """(select vec_id as frame_id, cast(pos % 8 as int) as px_col, cast(floor(pos / 8e0) as int) as px_row, abs(cast(depth as double)) * 2e1 + 1e0 as depth
+           from (select vec_id, generate_subscripts(embedding, 1) - 1 as pos, unnest(embedding) as depth from @embeddings@) e) p"""
+
+
+def _frame_arrays(v):
+    emb = v.spark.read.parquet(f"{v.sf_dir}/embeddings.parquet")
+    return emb.select(F.col("vec_id").alias("frame_id"), F.lit(8).alias("width"), F.transform("embedding", lambda x: F.abs(x.cast("double")) * 2e1 + 1e0).alias("depth"))
+
+
+_FRAME_FLOW = _FLOW.replace("$px as p", _EPX).replace("$fcam", "$ecam")
+
+
+@query("frame_flow", f"select frame_id, px_row, px_col, {r('flow_x', 3)} as flow_x, {r('flow_y', 3)} as flow_y from {_FRAME_FLOW} f")
+def _(v):
+    cams = motion.previous_camera(motion.with_pose(v.ecam), motion.POSE)
+    return _rounded(motion.frame_flow(_frame_arrays(v), cams), ["frame_id", "px_row", "px_col"], ["flow_x", "flow_y"], 3)
+
+
+_FRAME_CLOUD = _CLOUD.replace("$px as p", _EPX).replace("$fcam", "$ecam")
+
+
+@query("frame_cloud", f"select frame_id, px_row, px_col, {r('x', 5)} as x, {r('y', 5)} as y, {r('z', 5)} as z from {_FRAME_CLOUD} c")
+def _(v):
+    return _rounded(cloud.frame_cloud(_frame_arrays(v), motion.with_pose(v.ecam)), ["frame_id", "px_row", "px_col"], ["x", "y", "z"], 5)
+
+
 _EXT = [f"{a}_{m}" for a in "xyz" for m in ("min", "max")]
 
 
@@ -316,6 +343,36 @@ def _(v):
     return cloud.foreground_probe(px, 8, 0, row_keys=_ROW_KEYS, portable=True).select("frame_id", *_ROW_KEYS)
 
 
+# Stored poses, some with a moved origin, a stretched axis or a wrong focal length.
+_STORED = f"""(select *, ex + case when frame_id % 7 = 1 then 5e-1 else 0e0 end as qx, ux * case when frame_id % 11 = 2 then 11e-1 else 1e0 end as sux,
+                      uz * case when frame_id % 11 = 2 then 11e-1 else 1e0 end as suz, fx + case when frame_id % 13 = 3 then 2e0 else 0e0 end as sfx from {POSE_SQL} b)"""
+# In the matrix's own axes (right and down are orthogonal to the view, and stay so when right is stretched).
+_AHEAD = """(select *, ((qx - ex) * sux + 0e0) / (sux * sux + suz * suz) as pr, -((qx - ex) * vx) as pd, 5e0 - (qx - ex) * wx as pz from """ + _STORED + " s)"
+_AUDIT = f"""(select frame_id, case when pz > 1e-9 then sqrt((sfx * pr / pz) * (sfx * pr / pz) + (fy * pd / pz) * (fy * pd / pz)) end as centre_err, abs(qx - ex) as origin_err,
+                     greatest(abs(sux * sux + suz * suz - 1e0), abs(vx * vx + vy * vy + vz * vz - 1e0), abs(wx * wx + wy * wy + wz * wz - 1e0),
+                              abs(sux * vx + suz * vz), abs(sux * wx + suz * wz), abs(vx * wx + vy * wy + vz * wz)) as basis_err, abs(sfx - fx) as focal_err from {_AHEAD} a)"""
+
+
+@query(
+    "pose_audit",
+    f"""select frame_id, {r("centre_err", 5)} as centre_err, {r("origin_err", 5)} as origin_err, {r("basis_err", 5)} as basis_err, {r("focal_err", 5)} as focal_err,
+               coalesce(centre_err <= 5e-1 and origin_err <= 1e-4 and basis_err <= 1e-4 and focal_err <= 1e-3, false) as ok from {_AUDIT} q""",
+)
+def _(v):
+    p = motion.with_pose(v.pose)
+    one = F.when(F.col("frame_id") % 11 == 2, 1.1).otherwise(1.0)
+    u = Vec(F.col("ux") * one, F.col("uy") * one, F.col("uz") * one)
+    p = p.withColumns(
+        {
+            "c2w": G.c2w_array(u, vec("v"), vec("w"), vec("e")),
+            "lookfrom": F.array(F.col("ex") + F.when(F.col("frame_id") % 7 == 1, 0.5).otherwise(0.0), "ey", "ez"),
+            "fx": F.col("fx") + F.when(F.col("frame_id") % 13 == 3, 2.0).otherwise(0.0),
+        }
+    )
+    out = cloud.pose_audit(p)
+    return out.select("frame_id", *[rnd(c, 5).alias(c) for c in ("centre_err", "origin_err", "basis_err", "focal_err")], "ok")
+
+
 @query(
     "projection_audit",
     f"""select c.frame_id, true as centre_ok, cast(coalesce(s.n, 0) as bigint) as samples, true as ok from $fcam as c

@@ -45,6 +45,13 @@ select frame_id, cast(floor(frame_id / 5e1) as bigint) as run_id, frame_id % 50
 from (select cast(floor(o_orderkey / 64e0) as bigint) as frame_id, max(o_custkey) + min(o_custkey) as k
       from @orders@ group by cast(floor(o_orderkey / 64e0) as bigint)) f"""
 
+# One camera per embedding, 50 frames per run; a frame is 8 x 8 pixels in the corner of the image.
+VIEWS["ecam"] = """
+select vec_id as frame_id, cast(floor(vec_id / 5e1) as bigint) as run_id, vec_id % 50 as g,
+       cast(320 as int) as w, cast(180 as int) as h, 3e1 + (vec_id % 11) as vfov,
+       14e0 + (vec_id % 7) as ex, 7e0 + (vec_id % 4) as ey, 2e1 + (vec_id % 9) as ez, 0e0 as ax, 12e-1 as ay, 0e0 as az
+from @embeddings@"""
+
 # Images of an annotation document; every 50th shares a name, every 500th has height 0.
 VIEWS["img"] = """
 select o_orderkey as pos, o_orderkey as image_id, o_orderkey % 4 as shard_id,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pixeltide.functions import masks
 from pixeltide.functions.columns import Vec, dbl, finite, hash_uniform, vec
-from pixeltide.functions.geometry import pixel_ray, project_camera_point
+from pixeltide.functions.geometry import apply_point, intrinsics, pixel_ray, project_camera_point, translation, with_affine_inverse
+from pixeltide.operators.pixels import explode_frames
 
 
 def camera_to_world_ray(ray: Vec, u: Vec, v: Vec, w: Vec) -> Vec:
@@ -36,6 +37,15 @@ def point_cloud(pixels: DataFrame, cams: DataFrame, keys=("frame_id",), mask: Co
     return joined.withColumns(p.as_columns("")).select(*pixels.columns, "x", "y", "z")
 
 
+def frame_cloud(frames: DataFrame, cams: DataFrame, keys=("frame_id",), mask: Column | None = None, v_axis: str = "t_up") -> DataFrame:
+    """point_cloud from frame arrays (width, depth): the camera joins the frame's row, pixels unfold after it and are not shuffled."""
+    keys = list(keys)
+    given = ["fx", "fy", "cx", "cy", *[p + a for p in "euvw" for a in "xyz"]]
+    joined = frames.select(*keys, "width", "depth").join(cams.select(*keys, *given), keys)
+    px = explode_frames(joined, channels=("depth",), keep=[*keys, *given]).filter(masks.cloud() if mask is None else mask)
+    return px.withColumns(world_point("depth", "px_col", "px_row", v_axis).as_columns("")).select(*keys, "px_row", "px_col", "depth", "x", "y", "z")
+
+
 def subsample(
     points: DataFrame, k: int, seed: int = 0, keys=("frame_id",), row_keys=("px_row", "px_col"), portable: bool = False
 ) -> DataFrame:
@@ -77,6 +87,35 @@ def point_extent(points: DataFrame, keys, x="x", y="y", z="z") -> DataFrame:
     return points.groupBy(*keys).agg(*aggs)
 
 
+def pose_audit(
+    cams: DataFrame, keys=("frame_id",), centre_depth: float = 5.0, pixel_tol: float = 0.5, origin_tol: float = 1e-4, basis_tol: float = 1e-4, focal_tol: float = 1e-3
+) -> DataFrame:
+    """Stored poses against each other: keys, centre_err, origin_err, basis_err, focal_err, ok.
+
+    cams: c2w (16 values), lookfrom (3 values), fx, fy, cx, cy, w, h, vfov, all as stored. A point ahead of ``lookfrom`` along
+    the matrix's viewing axis goes through the general inverse of the matrix and the stored intrinsics and must meet the principal point; the
+    matrix's origin must be ``lookfrom``, its axes a rotation, and the focal lengths those of the field of view. A singular matrix
+    or a point behind the camera has no centre_err and is not ok.
+    """
+    d = with_affine_inverse(cams, "c2w", "__w2c")
+    ahead = Vec(*[F.col("c2w")[4 * r + 2] for r in range(3)]).unit()
+    eye = Vec(*[F.col("lookfrom")[r].cast("double") for r in range(3)])
+    seen = project_camera_point(apply_point("__w2c", eye.plus(ahead.times(F.lit(centre_depth)))), "fx", "fy", "cx", "cy")
+    axes = [Vec(*[F.col("c2w")[4 * r + c] for r in range(3)]) for c in range(3)]
+    uneven = [F.abs(axes[i].dot(axes[j]) - F.lit(float(i == j))) for i in range(3) for j in range(i, 3)]
+    derived = intrinsics("w", "h", "vfov")
+    d = d.withColumns(
+        {
+            "centre_err": F.hypot(seen["u"] - dbl("cx"), seen["v"] - dbl("cy")),
+            "origin_err": eye.minus(translation("c2w")).length(),
+            "basis_err": F.greatest(*uneven),
+            "focal_err": F.greatest(F.abs(derived["fx"] - dbl("fx")), F.abs(derived["fy"] - dbl("fy"))),
+        }
+    )
+    ok = (F.col("centre_err") <= pixel_tol) & (F.col("origin_err") <= origin_tol) & (F.col("basis_err") <= basis_tol) & (F.col("focal_err") <= focal_tol)
+    return d.select(*keys, "centre_err", "origin_err", "basis_err", "focal_err", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
 def roundtrip_error(depth, column, row) -> dict[str, Column]:
     """Pixel error of unproject followed by project through the same camera.
 

@@ -12,6 +12,7 @@ from pixeltide.functions import masks
 from pixeltide.functions.columns import Vec, dbl, vec
 from pixeltide.functions.geometry import with_camera_basis, with_intrinsics
 from pixeltide.operators import ordered
+from pixeltide.operators.pixels import explode_frames
 
 POSE = [p + a for p in ("e", "u", "v", "w") for a in "xyz"]
 
@@ -74,6 +75,19 @@ def optical_flow(pixels: DataFrame, cams: DataFrame, keys=("frame_id",)) -> Data
     return joined.withColumns(flow).select(*pixels.columns, "flow_x", "flow_y")
 
 
+def frame_flow(frames: DataFrame, cams: DataFrame, keys=("frame_id",)) -> DataFrame:
+    """optical_flow from frame arrays (width, depth): keys, px_row, px_col, depth, flow_x, flow_y.
+
+    The camera joins the frame's row and the pixels unfold after it, so whatever the size of the camera table, no pixel is shuffled.
+    """
+    keys = list(keys)
+    side = cams.select(*keys, "w", "h", "fx", "fy", "cx", "cy", *POSE, *[F.col(f"prev.{n}").alias(f"p{n}") for n in POSE])
+    given = [c for c in side.columns if c not in keys]
+    px = explode_frames(frames.select(*keys, "width", "depth").join(side, keys), channels=("depth",), keep=[*keys, *given])
+    flow = flow_columns("depth", "px_col", "px_row", vec("pe"), vec("pu"), vec("pv"), vec("pw"))
+    return px.withColumns(flow).select(*keys, "px_row", "px_col", "depth", "flow_x", "flow_y")
+
+
 def flow_coverage(pixels: DataFrame, keys=("frame_id",), magnitude: float = 0.1, floor: float = 0.10) -> DataFrame:
     """Share of non-sky pixels that move more than ``magnitude``; null share where all is sky."""
     visible = ~masks.sky(threshold=K.SKY_DEPTH_COVERAGE)

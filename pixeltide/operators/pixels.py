@@ -78,6 +78,19 @@ def pixel_class(pixels: DataFrame, objects: DataFrame, keys=("frame_id",), order
     return joined.withColumn("class_id", F.coalesce("class_id", F.lit(0)).cast("int")).drop("__id")
 
 
+def frame_classes(frames: DataFrame, objects: DataFrame, keys=("frame_id",), order: str = "ord") -> DataFrame:
+    """Adds the array class_id to frames with an instance_id array: pixel_class at the level of frames.
+
+    A frame's registry becomes one map on the frame's row, so the join moves frames and never pixels.
+    """
+    keys = list(keys)
+    known = last_entry(objects, [*keys, "instance_id"], ["class_id"], order)
+    entry = F.struct(F.col("instance_id").cast("bigint").alias("id"), F.col("class_id").cast("int").alias("class_id"))
+    maps = known.filter("instance_id is not null").groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("__classes"))
+    of = lambda x: F.coalesce(F.try_element_at("__classes", F.bround(x.cast("double")).cast("bigint")), F.lit(0))
+    return frames.join(maps, keys, "left").withColumn("class_id", F.transform("instance_id", of)).drop("__classes")
+
+
 def boxes_from_mask(pixels: DataFrame, keys=("frame_id",), row="px_row", column="px_col") -> DataFrame:
     """Tight inclusive box per frame and instance; id 0 is background. Depth plays no part."""
     return (

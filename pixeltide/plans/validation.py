@@ -1,7 +1,7 @@
 """Dataset validation: every rule as rows of one issue table.
 
-Rules over one table are evaluated in one pass: an array of conditional issue structs is built per row and
-exploded, so a new rule adds an expression and not another scan. Issue columns: severity, code, subject, message,
+Rules over one table are evaluated in one pass: a bit per rule and row, issue structs where a bit is set, so a new
+rule adds an expression and not another scan. Issue columns: severity, code, subject, message,
 path (plus document keys).
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,23 +31,39 @@ class Limits:
     min_image_bytes: int = K.MIN_IMAGE_BYTES
 
 
-def issue(severity: str, code: str, cond: Column, message: Column | str) -> Column:
-    text = F.lit(message) if isinstance(message, str) else message
-    return F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), text.alias("message")))
+class Issue(NamedTuple):
+    severity: str
+    code: str
+    cond: Column
+    message: Column
+
+    def row(self) -> Column:
+        return F.struct(F.lit(self.severity).alias("severity"), F.lit(self.code).alias("code"), self.message.alias("message"))
+
+
+def issue(severity: str, code: str, cond: Column, message: Column | str) -> Issue:
+    return Issue(severity, code, cond, F.lit(message) if isinstance(message, str) else message)
 
 
 _NO_ISSUES = "array<struct<severity:string,code:string,message:string>>"
 
 
-def emit(df: DataFrame, issues: Sequence[Column], subject: Column, path: Column, keep: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+def emit(df: DataFrame, issues: Sequence[Issue], subject: Column, path: Column, keep: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
     """Explode conditional issues (and ``more``: arrays of issues) into issue rows.
 
-    The array is compacted before the explode, so a clean row yields one row and not one per rule. The outer explode
-    keeps the optimizer from inferring a size predicate that would be pushed down and evaluate the rules twice.
+    A row's rules are first one number, a bit per rule; texts and structs are built for rows with a bit set only. The outer explode
+    between the two keeps the optimizer from pushing the test for bits below the columns it is made of and evaluating them twice.
     """
-    found = F.array_compact(F.array(*issues))
-    for m in more:
-        found = F.concat(found, F.coalesce(m, F.array().cast(_NO_ISSUES)))
+    bits = [F.when(r.cond, F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, r in enumerate(issues)]
+    extra = reduce(F.concat, [F.coalesce(m, F.array().cast(_NO_ISSUES)) for m in more]) if more else None
+    if extra is not None:
+        df = df.withColumn("__more", extra)
+        bits.append(F.when(F.size("__more") > 0, F.lit(1 << len(issues))).otherwise(F.lit(0)).cast("bigint"))
+    df = df.withColumn("__bits", reduce(Column.bitwiseOR, bits))
+    df = df.withColumn("__hit", F.explode_outer(F.when(F.col("__bits") != 0, F.array("__bits")))).filter(F.col("__hit").isNotNull())
+    found = F.array_compact(F.array(*[F.when(F.col("__hit").bitwiseAND(1 << k) != 0, r.row()) for k, r in enumerate(issues)]))
+    if extra is not None:
+        found = F.concat(found, "__more")
     rows = df.select(
         *keep, subject.cast("string").alias("__subject"), path.cast("string").alias("__path"), F.explode_outer(found).alias("__i")
     ).filter(F.col("__i").isNotNull())
