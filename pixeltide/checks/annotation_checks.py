@@ -126,24 +126,22 @@ def _(v):
 
 @query(
     "merge_coco",
-    f"""select a.*, b.new_image_id, c.name from
-        (select {_ANN_SQL}, category_id, row_number() over (order by {', '.join(_ORDER)}) as new_id from $ann as a) a
-        join (select {_ANN_SQL}, n.new_id as new_image_id from $ann as a join
-              (select shard_id, image_id, row_number() over (order by shard_id, pos) as new_id from $img as i) n
-              on a.shard_id = n.shard_id and a.image_id = n.image_id) b
-          on a.image_id = b.image_id and a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber and a.l_partkey = b.l_partkey and a.l_suppkey = b.l_suppkey
+    f"""select {", ".join("a." + c for c in _ANN)}, a.category_id, a.new_id, n.new_id as new_image_id, c.name, case when n.new_id is null then 'coco_orphan_ann' end as issue from
+        (select {_ANN_SQL}, shard_id as s_, category_id, row_number() over (order by {', '.join(_ORDER)}) as new_id from $ann as a) a
+        left join (select shard_id, image_id, row_number() over (order by shard_id, pos) as new_id from $img as i) n on a.s_ = n.shard_id and a.image_id = n.image_id
         left join (select category_id, name from (select category_id, concat('s', cast(shard_id as string), '_', cast(category_id as string)) as name,
                      row_number() over (partition by category_id order by shard_id) as rn from (select distinct shard_id, category_id from $ann as a) d) q where rn = 1) c
           on a.category_id = c.category_id""",
 )
 def _(v):
+    """The merge with every row; annotations of unknown images carry their issue."""
     cats = v.ann.select(F.col("shard_id").alias("shard_order"), "category_id").distinct().withColumn("pos", F.col("category_id"))
     cats = cats.withColumn("name", F.concat(F.lit("s"), F.col("shard_order").cast("string"), F.lit("_"), F.col("category_id").cast("string")))
     im = v.img.withColumnRenamed("shard_id", "shard_order")
     an = v.ann.withColumnRenamed("shard_id", "shard_order")
     _, merged, first = A.merge_shards(im, an, cats, ann_order=["shard_order", *_ORDER[1:]], strict=False)
-    merged = merged.filter(F.col("new_image_id").isNotNull())
-    return merged.select(*_ANN, "category_id", "new_id", "new_image_id").join(first, "category_id", "left")
+    merged = merged.withColumn("issue", F.when(F.col("new_image_id").isNull(), F.lit("coco_orphan_ann")))
+    return merged.select(*_ANN, "category_id", "new_id", "new_image_id", "issue").join(first, "category_id", "left")
 
 
 # ---------------------------------------------------------------- rules

@@ -100,6 +100,52 @@ def _(v):
     return C.resolved_json(C.resolve_config(v.cfg)).select("config_id", "resolved_config", "resolved_config_sha256")
 
 
+_NODES = """(select config_id, 0 as scenario, 'scenarios[0].root_nodes[0]' as path, cast(null as string) as parent, 0 as ord, 'a' as name, 'crate' as asset,
+           cast(config_id % 9 as double) as lx, 0e0 as ry, case when config_id % 2 = 0 then 2e0 else 3e0 end as sz, false as grounded from $scfg as c
+    union all select config_id, 0, 'scenarios[0].root_nodes[0].children[0]', 'scenarios[0].root_nodes[0]', 0, 'b', '', 0e0, cast(config_id % 7 as double), 1e0, false from $scfg as c
+    union all select config_id, 0, 'scenarios[0].root_nodes[0].children[1]', 'scenarios[0].root_nodes[0]', 1, 'c', 'crate', 0e0, 0e0, 1e0, true from $scfg as c
+    union all select config_id, 0, 'scenarios[0].root_nodes[1]', null, 1, 'd', 'crate', 0e0, 0e0, 1e0, false from $scfg as c
+    union all select config_id, 1, 'scenarios[1].root_nodes[0]', null, 0, 'e', '', 0e0, 0e0, 1e0, false from $scfg as c)"""
+
+
+@query("scene_nodes", f"select * from {_NODES} n")
+def _(v):
+    nodes = C.scene_nodes(C.config_objects(v.scfg))
+    up = nodes.select("config_id", F.col("node_id").alias("parent_id"), F.col("path").alias("parent"))
+    nodes = nodes.join(up, ["config_id", "parent_id"], "left")
+    return nodes.select("config_id", "scenario", "path", "parent", "ord", "name", "asset", "lx", "ry", "sz", "grounded")
+
+
+@query(
+    "config_keyframes",
+    """select config_id, 0 as scenario, k as pos, cast(k as double) as t, case when k = 0 then 4e0 else 1e0 end as px, case when k = 0 then 6e0 else 3e0 end as pz
+       from (select config_id, unnest([0, 1]) as k from $scfg as c where config_id % 3 = 0) q""",
+)
+def _(v):
+    return C.config_keyframes(C.resolve_config(v.scfg)).select("config_id", "scenario", "pos", "t", "px", "pz")
+
+
+@query(
+    "scenario_objects",
+    """select config_id, scenario, instance_id, name, x, grounded from (
+         select config_id, 0 as scenario, 1 as instance_id, 'a' as name, cast(config_id % 9 as double) as x, false as grounded from $scfg as c
+         union all select config_id, 0, 2, 'c', cast(config_id % 9 as double), true from $scfg as c
+         union all select config_id, 0, 3, 'd', 0e0, false from $scfg as c) q""",
+)
+def _(v):
+    nodes = C.scene_nodes(C.config_objects(v.scfg))
+    objects = GEN.scenario_objects(nodes, C.asset_catalog(v.scfg))
+    return objects.select("config_id", "scenario", F.explode("objects").alias("o")).select(
+        "config_id", "scenario", F.col("o.instance_id").cast("int").alias("instance_id"), F.col("o.name").alias("name"), F.col("o.position")[0].alias("x"),
+        F.col("o.grounding_constraint").alias("grounded"),
+    )
+
+
+@query("scene_lint", "select config_id, 'error' as severity, 'bad_type' as code, 'scenarios[1].root_nodes[0].position' as path from $scfg as c where config_id % 5 = 0")
+def _(v):
+    return C.lint(v.scfg)
+
+
 def _plan_inputs(v):
     o = v.spark.read.parquet(f"{v.sf_dir}/orders.parquet")
     plan = o.select(F.floor(F.col("o_custkey") / 1e1).cast("bigint").alias("config_id"), F.col("o_orderkey").alias("g"))

@@ -181,6 +181,17 @@ select event_id as config_id,
 from @events@"""
 
 
+# Scenario configurations: two or three root nodes, one with children, scalar and vector scales, some with keyframes.
+VIEWS["scfg"] = """
+select c_custkey as config_id,
+       concat('{"assets":[{"path":"m.obj","name":"crate"}],"scenarios":[{"name":"s0","root_nodes":[{"name":"a","asset":"crate","position":[', cast(c_custkey % 9 as string),
+              ',0,1],"scale":', case when c_custkey % 2 = 0 then '2' else '[1,2,3]' end, ',"children":[{"name":"b","rotation":[0,', cast(c_custkey % 7 as string),
+              ',0]},{"name":"c","asset":"crate","grounding_constraint":true}]},{"name":"d","asset":"crate"}]',
+              case when c_custkey % 3 = 0 then ',"camera":{"trajectory":[{"t":1,"pos":[1,2,3]},{"t":0,"pos":[4,5,6]}]}' else '' end, '},{"name":"s1","root_nodes":[{"name":"e","position":',
+              case when c_custkey % 5 = 0 then '"left"' else '[0,0,0]' end, '}]}]}') as doc
+from @customer@"""
+
+
 def expand(sql: str, engine: str, sf_dir: str = "") -> str:
     """Replace $views and @tables@ in a query text for one engine."""
 

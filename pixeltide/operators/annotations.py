@@ -131,6 +131,15 @@ def remap_image_ids(annotations: DataFrame, images: DataFrame, shard: str = "sha
     return out
 
 
+def unresolved(merged: DataFrame) -> DataFrame:
+    """Issue rows of annotations whose image id no shard defines (remap_image_ids with strict=False)."""
+    subject = F.format_string("shard=%s image_id=%s", F.col("shard_order").cast("string"), F.col("image_id").cast("string"))
+    return merged.filter(F.col("new_image_id").isNull()).select(
+        F.lit("error").alias("severity"), F.lit("coco_orphan_ann").alias("code"), subject.alias("subject"),
+        F.lit("annotation refers to an unknown image").alias("message"), F.lit(None).cast("string").alias("path"),
+    )
+
+
 def first_category_per_id(categories: DataFrame, order: Sequence[str] = ("shard_order", "pos")) -> DataFrame:
     """First definition per category id over all shards, sorted by id."""
     return (

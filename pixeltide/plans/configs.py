@@ -124,6 +124,53 @@ def config_objects(configs: DataFrame) -> DataFrame:
     return flat
 
 
+def scene_nodes(objects: DataFrame) -> DataFrame:
+    """Scene nodes of all scenarios (of config_objects) as operators.tree takes them, keyed by config_id and scenario.
+
+    node_id is a hash of the node's place in the document, parent_id that of its parent's (null for a root), ord its position
+    among its siblings. Scales are a number or three; position and rotation default to 0, scale to 1. A member of the wrong type reads as its
+    default and is what ``lint`` reports.
+    """
+    v = F.col("v")
+    rows = objects.filter((F.col("kind") == "node") & J.is_object(v))
+    parent = F.regexp_extract("path", r"^(.*)\.children\[\d+\]$", 1)
+    factor = J.number(J.field(v, "scale"))
+    scale = F.coalesce(J.vec3(J.field(v, "scale")), F.when(factor.isNotNull(), F.array(factor, factor, factor)), F.array(*[F.lit(1.0)] * 3))
+    rows = rows.withColumns(
+        {
+            "__p": _vec_or(J.field(v, "position"), [0.0] * 3), "__r": _vec_or(J.field(v, "rotation"), [0.0] * 3), "__s": scale,
+            "name": F.coalesce(J.text_of(J.field(v, "name")), F.lit("")), "asset": F.coalesce(J.text_of(J.field(v, "asset")), F.lit("")),
+            "grounded": F.coalesce(F.try_variant_get(J.field(v, "grounding_constraint"), "$", "boolean"), F.lit(False)),
+            "y_offset": F.coalesce(J.number(J.field(v, "y_offset")), F.lit(0.0)),
+        }
+    )
+    return rows.select(
+        "config_id",
+        F.regexp_extract("path", r"^scenarios\[(\d+)\]", 1).cast("int").alias("scenario"),
+        F.xxhash64("path").alias("node_id"),
+        F.when(parent != "", F.xxhash64(parent)).alias("parent_id"),
+        F.regexp_extract("path", r"\[(\d+)\]$", 1).cast("int").alias("ord"),
+        "path", "name", "asset", *[F.col(f"__{g}")[i].alias(f"{n}{a}") for g, n in (("p", "l"), ("r", "r"), ("s", "s")) for i, a in enumerate("xyz")],
+        "grounded", "y_offset",
+    )
+
+
+def config_keyframes(resolved: DataFrame) -> DataFrame:
+    """(config_id, scenario, pos, t, px, py, pz): camera keyframes of resolved configurations in time order.
+
+    scenario is null for the configuration's own camera; a scenario without keyframes of its own has those.
+    """
+    tracks = F.concat(
+        F.array(F.struct(F.lit(None).cast("int").alias("scenario"), F.col("camera.trajectory").alias("track"))),
+        F.coalesce(
+            F.transform("scenarios", lambda s, i: F.struct(i.cast("int").alias("scenario"), s["camera"]["trajectory"].alias("track"))),
+            F.array().cast("array<struct<scenario:int,track:array<struct<t:double,ord:int,pos:array<double>>>>>"),
+        ),
+    )
+    rows = resolved.select("config_id", F.explode(tracks).alias("k")).select("config_id", "k.scenario", F.posexplode("k.track").alias("pos", "f"))
+    return rows.select("config_id", "scenario", "pos", "f.t", *[F.col("f.pos")[i].alias(f"p{a}") for i, a in enumerate("xyz")])
+
+
 def config_keys(objects: DataFrame) -> DataFrame:
     """(config_id, path, kind, key) of every known object."""
     keys = F.json_object_keys(F.to_json("v"))
@@ -189,8 +236,30 @@ def _emit(df: DataFrame, found: list[Column]) -> DataFrame:
     return rows.select("config_id", "i.*")
 
 
+def _is_scale(v: Column) -> Column:
+    return J.is_number(v) | J.vec3(v).isNotNull()
+
+
+def _is_vec3(v: Column) -> Column:
+    return J.vec3(v).isNotNull()
+
+
+_NUMBER, _TEXT, _FLAG, _VECTOR = ("number", J.is_number), ("text", J.is_string), ("boolean", J.is_bool), ("vector", _is_vec3)
+# Members that hold one plain value, by the object they stand in (ranges and references are checked on their own).
+SCALAR_TYPES = {
+    "render": {k: _NUMBER for k in ("width", "height", "spp", "max_depth", "exposure", "sky_gain", "seed")} | {"preview": _FLAG},
+    "terrain": {k: _NUMBER for k in ("amp", "scale", "nx", "nz", "xmin", "xmax", "zmin", "zmax")},
+    "bounds": {k: _NUMBER for k in ("xmin", "xmax", "zmin", "zmax")},
+    "asset": {k: _NUMBER for k in ("weight", "scale", "class_id", "y_offset")}
+    | {k: _TEXT for k in ("name", "path", "color", "label", "albedo_map", "normal_map", "roughness_map", "metallic_map")},
+    "hdr": {"path": _TEXT, "intensity": _NUMBER},
+    "dataset": {"root": _TEXT, "train_split": _NUMBER},
+    "node": {"name": _TEXT, "asset": _TEXT, "position": _VECTOR, "rotation": _VECTOR, "scale": ("number or vector", _is_scale), "y_offset": _NUMBER, "grounding_constraint": _FLAG},
+}
+
+
 def semantic_lint(configs: DataFrame, objects: DataFrame, strict: bool = True) -> DataFrame:
-    """Everything but key spelling: documents, ranges, assets, references, names, environment, trajectories.
+    """Everything but key spelling: documents, types, ranges, assets, references, names, environment, trajectories.
 
     One pass over the documents, one over their objects, and an anti-join for asset references.
     """
@@ -205,6 +274,9 @@ def semantic_lint(configs: DataFrame, objects: DataFrame, strict: bool = True) -
             per_object.append(_found("bad_range", (kind == k) & J.field(v, n).isNotNull() & J.scalar_range(J.field(v, n)).isNull(), sub(n)))
     for n, read in (("lookat", J.vec3), ("up", J.vec3), ("lookfrom", J.vec3_range)):
         per_object.append(_found("bad_range", (kind == "camera") & J.field(v, n).isNotNull() & read(J.field(v, n)).isNull(), sub(n)))
+    for k, kinds in SCALAR_TYPES.items():
+        for n, (what, good) in kinds.items():
+            per_object.append(_found("bad_type", (kind == k) & J.is_object(v) & J.field(v, n).isNotNull() & ~F.coalesce(good(J.field(v, n)), F.lit(False)), sub(n)))
     track = J.field(v, "trajectory")
     per_object.append(_found("bad_trajectory", (kind == "camera") & track.isNotNull() & ~J.is_array(track), sub("trajectory")))
     no_time = ~J.is_number(J.field(v, "t")) | J.vec3(J.field(v, "pos")).isNull()

@@ -16,7 +16,9 @@ from pixeltide.functions.geometry import focus_distance
 from pixeltide.functions.columns import vec
 from pixeltide.operators import frames as FR
 from pixeltide.operators.placement import weighted_choice
+from pixeltide.operators.raster import Grid
 from pixeltide.operators.trajectories import normalized_time, trajectory_interp
+from pixeltide.operators.tree import ground, preorder_ids, walk
 
 # Sink depth of a grounded object (fixed values).
 SINK_MIN, SINK_MAX = 0.01, 0.05
@@ -119,3 +121,33 @@ def frame_objects(frames: DataFrame, heights: DataFrame | None = None, keys: Seq
         F.array("nx", "ny", "nz").alias("terrain_normal"),
     )
     return frames.withColumn("objects", F.array(obj)).drop("height", "nx", "ny", "nz")
+
+
+def scenario_objects(nodes: DataFrame, assets: DataFrame, raster: DataFrame | None = None, grid: Grid | None = None, keys: Sequence[str] = ("config_id", "scenario")) -> DataFrame:
+    """(keys, objects): all nodes of a scenario that carry an asset, in pre-order with ids from 1, in the nested form of frame metadata.
+
+    nodes: configs.scene_nodes. Class and material come from the asset of that name, the first one if a name repeats. With a height
+    field, grounded nodes stand on it and take its normal. The list is as long as a scenario has objects; join it to the
+    scenario's frames.
+    """
+    keys = list(keys)
+    placed = walk(nodes, keys)
+    flat = {"tnx": F.lit(0.0), "tny": F.lit(1.0), "tnz": F.lit(0.0)}
+    placed = ground(placed, raster, grid, keys) if raster is not None and grid is not None else placed.withColumns(flat)
+    numbered = preorder_ids(placed, keys)
+    payload = ["label", "class_id", "roughness", "metallic"]
+    first = assets.groupBy("config_id", "name").agg(F.min_by(F.struct(*payload), "asset_ord").alias("__a"))
+    found = numbered.join(first.withColumnRenamed("name", "asset"), ["config_id", "asset"], "left")
+    obj = F.struct(
+        F.col("instance_id").cast("bigint").alias("instance_id"),
+        F.coalesce("__a.class_id", F.lit(0).cast("bigint")).alias("class_id"),
+        F.coalesce(F.col("__a.label"), F.col("name")).alias("label"),
+        "name",
+        F.array("wx", F.col("wy") + F.col("y_offset"), "wz").alias("position"),
+        F.array("wrx", "wry", "wrz").alias("rotation_deg"),
+        F.array("wsx", "wsy", "wsz").alias("scale"),
+        *[F.coalesce((F.col(f"__a.{m}.min") + F.col(f"__a.{m}.max")) / 2.0, F.lit(d)).alias(m) for m, d in (("roughness", 0.5), ("metallic", 0.0))],
+        F.col("grounded").alias("grounding_constraint"),
+        F.array("tnx", "tny", "tnz").alias("terrain_normal"),
+    )
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(obj)).alias("objects"))

@@ -11,6 +11,7 @@ from pixeltide import constants as K
 from pixeltide.functions import masks
 from pixeltide.functions.columns import Vec, col, vec
 from pixeltide.functions.geometry import intrinsics, object_matrix, transform_supervision
+from pixeltide.operators import annotations as A
 from pixeltide.sinks.storage import open_read, replacing
 from pixeltide.sinks.textfiles import write_text_files
 
@@ -69,6 +70,51 @@ def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     lines.orderBy("section", "ord").select("value").write.mode("overwrite").text(path)
 
 
+def merged_lines(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(section, ord, value) lines of one document from shard elements (sources.files.read_coco_members), and issue rows.
+
+    Images and annotations are numbered anew from 1 in (shard, position) order and references follow; the first definition of a
+    category counts. Every other member of an element stays as it is. Annotations of unknown images become issues, not lines.
+    """
+    of = lambda s: members.filter(F.col("section") == s)
+    im = A.renumber(of("images").withColumnRenamed("image_id", "__none").withColumnRenamed("id", "image_id"), ["shard_order", "pos"])
+    an = A.remap_image_ids(A.renumber(of("annotations"), ["shard_order", "pos"]), im, strict=False)
+    cats = of("categories").filter("id is not null").groupBy("id").agg(F.min_by("members", F.struct("shard_order", "pos")).alias("members"))
+
+    def text(**new: str) -> Column:
+        # A new number takes the old one's place, so an element keeps the order it was written in.
+        numbers = {k: F.parse_json(F.col(c).cast("string")) for k, c in new.items()}
+
+        def value(key: Column, old: Column) -> Column:
+            for k, n in numbers.items():
+                old = F.when(key == k, n).otherwise(old)
+            return old
+
+        return F.to_json(F.transform_values("members", value))
+
+    parts = [
+        (1, im.select(F.col("new_id").alias("ord"), text(id="new_id").alias("t"))),
+        (3, an.filter("new_image_id is not null").select(F.col("new_id").alias("ord"), text(id="new_id", image_id="new_image_id").alias("t"))),
+        (5, cats.select(F.col("id").alias("ord"), F.to_json("members").alias("t"))),
+    ]
+    spark = members.sparkSession
+    fixed = spark.createDataFrame([(0, 0, '{"images":['), (2, 0, '],"annotations":['), (4, 0, '],"categories":['), (6, 0, "]}")], "section int, ord bigint, value string")
+    for section, rows in parts:
+        # A one-row side: the smallest number of the section, which opens it.
+        low = rows.agg(F.min("ord").alias("__low"))
+        opened = rows.join(F.broadcast(low), F.col("ord") >= F.col("__low"))
+        value = F.concat(F.when(F.col("ord") == F.col("__low"), F.lit("")).otherwise(F.lit(",")), "t")
+        fixed = fixed.unionByName(opened.select(F.lit(section).alias("section"), F.col("ord").cast("bigint").alias("ord"), value.alias("value")))
+    return fixed, A.unresolved(an)
+
+
+def write_merged(members: DataFrame, path: str) -> DataFrame:
+    """Writes the merged document as ordered text parts (see assemble) and returns the issue rows."""
+    lines, issues = merged_lines(members)
+    lines.orderBy("section", "ord").select("value").write.mode("overwrite").text(path)
+    return issues
+
+
 def assemble(folder: str, target: str, block: int = 1 << 20) -> None:
     """Concatenate the part files of a local or Arrow-readable folder, block by block."""
     from pyarrow import fs

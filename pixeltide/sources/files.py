@@ -205,6 +205,20 @@ def read_coco(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFram
     return coco_tables(parse_coco(docs.join(order, "path")), ["shard_order"])
 
 
+def read_coco_members(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(shard_order, section, pos, id, image_id, members) of every object element of several documents.
+
+    members keeps all of an element as a map of variants in document order, so what no column names is not lost.
+    """
+    order = spark.createDataFrame([(re.sub("^file:/+", "/", p), i) for i, p in enumerate(paths)], "path string, shard_order int")
+    docs = parse_coco(read_texts(spark, list(paths)).join(order, "path"))
+    sections = F.array(*[F.struct(F.lit(s).alias("section"), F.col(s).alias("items")) for s in ("images", "annotations", "categories")])
+    rows = docs.select("shard_order", F.explode(sections).alias("s")).select("shard_order", "s.section", F.posexplode("s.items").alias("pos", "t"))
+    rows = rows.withColumns({"members": F.from_json("t", "map<string,variant>"), "e": F.try_parse_json("t")}).filter(J.is_object(F.col("e")))
+    whole = lambda key: F.try_variant_get(J.field(F.col("e"), key), "$", "bigint")
+    return rows.select("shard_order", "section", F.col("pos").cast("bigint").alias("pos"), whole("id").alias("id"), whole("image_id").alias("image_id"), "members")
+
+
 def read_coco_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of a document written one element per line (sinks.labels.write_coco).
 

@@ -68,6 +68,23 @@ def test_shard_documents_merge_in_given_order(spark, tmp_path):
     assert sorted((r["new_id"], r["new_image_id"]) for r in anns.collect()) == [(1, 1), (2, 2)] and cats.count() == 2
 
 
+def test_merged_document_keeps_every_member(spark, tmp_path):
+    names = []
+    for i in range(2):
+        ann = {"bbox": [0, 0, 1, 1], "id": 9, "segmentation": [[0.5, 1, 2]], "image_id": 7, "category_id": 5, "note": {"k": None}}
+        doc = trees.coco(annotations=[ann, {"id": 3, "image_id": 99}], categories=[{"id": 5, "name": f"n{i}", "supercategory": "s"}])
+        (tmp_path / f"s{i}.json").write_text(json.dumps(doc))
+        names.append(str(tmp_path / f"s{i}.json"))
+    issues = L.write_merged(S.read_coco_members(spark, names), str(tmp_path / "parts"))
+    assert [r["code"] for r in issues.collect()] == ["coco_orphan_ann"] * 2
+    L.assemble(str(tmp_path / "parts"), str(tmp_path / "all.json"))
+    doc = json.loads((tmp_path / "all.json").read_text())
+    assert [i["id"] for i in doc["images"]] == [1, 2] and doc["categories"] == [{"id": 5, "name": "n0", "supercategory": "s"}]
+    assert [(a["id"], a["image_id"], a["segmentation"], a["note"], list(a)[0]) for a in doc["annotations"]] == [
+        (1, 1, [[0.5, 1, 2]], {"k": None}, "bbox"), (3, 2, [[0.5, 1, 2]], {"k": None}, "bbox"),
+    ]
+
+
 def test_boxes_as_csv_and_json(spark, tmp_path):
     L.write_boxes_csv(boxes(spark), str(tmp_path / "csv"), F.lit(10), F.lit(20))
     got = spark.read.option("header", "true").csv(str(tmp_path / "csv"))
