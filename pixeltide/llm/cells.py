@@ -132,6 +132,9 @@ def _compared(shown: DataFrame, threshold: float, kind: str) -> DataFrame:
         keep = (out_n > 0) | (roots != out_ids)
         return pa.table({"id": out_ids[keep], "n": out_n[keep].astype(np.int64), "root": roots[keep]})
 
+    # Dealt by all four: partitioned by cell alone, as the join leaves it, all blocks of a large cell would be one task's.
+    tasks = int(shown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "dim", "cell", "left", "right")
     return dealt.groupBy("dim", "cell", "left", "right").applyInArrow(compare, "id long, n long, root long")
 
 
