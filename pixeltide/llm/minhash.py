@@ -227,6 +227,9 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     dealt = dealt.select("leader", "lo", "hi", "mine", "id", "comp", "signature", "shingles")
+    # Dealt by all three: partitioned by leader alone, as the join leaves it, all blocks of a large group would be one task's.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "leader", "lo", "hi")
     return dealt.groupBy("leader", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
