@@ -319,7 +319,8 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     if length <= GRAM:
         raise ValueError(f"length must exceed {GRAM}")
     everything = stored(_all_stretches(docs, length))
-    shared = everything.groupBy("gram").count().filter("count > 1").select("gram")
+    # Stored, so that the join reads two plain exchanges, of which adaptive execution splits the partition of a very common gram.
+    shared = stored(everything.groupBy("gram").count().filter("count > 1").select("gram"))
     shared = stored(everything.join(shared, "gram", "left_semi"))
     place = F.struct(*_PLACE_NAMES)
     classes = stored(shared.groupBy("gram", "hash_a", "hash_b").agg(F.count("*").alias("weight"), F.min(place).alias("place")))
