@@ -12,6 +12,7 @@ from pixeltide import constants as K
 from pixeltide.functions import jsonfn as J
 from pixeltide.operators import annotations as A
 from pixeltide.plans import validation as V
+from pixeltide.session import cut
 from pixeltide.sinks.storage import exists, locate
 from pixeltide.sources import files as S
 
@@ -89,7 +90,8 @@ def validate_dataset(
             return Report(V.union_issues(parts), scan_folders=folders)
         coco_path = f"{root}/{hits[0]}"
 
-    parsed = S.parse_coco(S.read_texts(spark, coco_path))
+    # Read once: parsed documents, image headers and label lines are kept on the checkpoint folder, and every rule starts from there.
+    parsed = cut(S.parse_coco(S.read_texts(spark, coco_path)))
     usable = parsed.select("readable", (F.col("images").isNotNull() & F.col("annotations").isNotNull()).alias("arrays")).first()
     if usable is None or not usable["readable"] or not usable["arrays"]:
         code = "coco_schema" if usable is not None and usable["readable"] else "coco_io"
@@ -113,7 +115,7 @@ def validate_dataset(
     catalogue = listing.select(F.explode_outer(F.array(*inside)).alias("c"), "path", F.col("length").alias("size_bytes"))
     catalogue = catalogue.filter(F.col("c").isNotNull()).select("c.split", "c.file_name", "path", "size_bytes")
     headed = S.image_dims(catalogue.filter(F.lower("file_name").endswith(".png")))
-    files = catalogue.join(headed.select("path", "hdr_w", "hdr_h"), "path", "left")
+    files = cut(catalogue.join(headed.select("path", "hdr_w", "hdr_h").distinct(), "path", "left"))
     resolved = A.resolve_images(images, files)
     boxes = A.annotation_dims(anns.filter("is_object"), resolved)
 
@@ -133,7 +135,7 @@ def validate_dataset(
         V.pairing_rules(frames, images, check_meta),
     ]
     here = frames.filter("has_txt").select("split", "stem", "hdr_w", "hdr_h")
-    lines = label_lines(spark, root, folders, here)
+    lines = cut(label_lines(spark, root, folders, here))
     parts.append(V.label_line_rules(lines, limits, path=F.col("path")))
     if check_meta:
         docs = _folder_docs(spark, root, "*_meta.json", r"_meta\.json$", folders).join(here.select("split", "stem"), ["split", "stem"], "left_semi")
