@@ -75,4 +75,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-ORACLES: dict[str, str] = {}
+_REACH = """reach(node, root) as (
+    select id, id from vertices union select l.b, r.root from reach r join links l on l.a = r.node where l.b > r.root)"""
+
+ORACLES: dict[str, str] = {
+    # Sets by words, links by counting shared shingles, components by walking links away from each document.
+    "op1_minhash": f"""
+with recursive words as (
+    select doc_id as id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+sets as materialized (
+    select id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                    when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from words),
+vertices as (select id from sets),
+flat as materialized (select id, len(s) as n, unnest(s) as shingle from sets),
+pairs as (select x.id as a, y.id as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as shared from flat x join flat y on x.shingle = y.shingle and x.id < y.id group by 1, 2),
+half as materialized (select a, b from pairs where 100 * shared >= 75 * (na + nb - shared)),
+links as materialized (select a, b from half union all select b, a from half),
+{_REACH}
+select s.id as doc_id, cast(len(s.s) as bigint) as n_shingles, c.root as component_id, cast(c.root = s.id as boolean) as kept
+from sets s join (select node, min(root) as root from reach group by 1) c on c.node = s.id""",
+    "op4_embedding_cells": f"""
+with recursive fine as materialized (
+    select vec_id as id, cast(embedding as double[]) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+vertices as (select vec_id as id from embeddings),
+half as materialized (select x.id as a, y.id as b from fine x join fine y on x.id < y.id and len(x.v) = len(y.v) where list_cosine_similarity(x.v, y.v) >= 0.95),
+links as materialized (select a, b from half union all select b, a from half),
+{_REACH}
+select e.vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, c.root as component_id, cast(c.root = e.vec_id as boolean) as kept
+from embeddings e join (select node, min(root) as root from reach group by 1) c on c.node = e.vec_id
+left join (select a, count(*) as n from links group by 1) n on n.a = e.vec_id""",
+}
