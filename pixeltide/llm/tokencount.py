@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixeltide.llm.common import stored
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Lengths per block of the suffix sums.
 BLOCK = 1024
@@ -49,7 +51,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     per block, so no window grows with the documents. An empty input gives no rows.
     """
     counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
-    counts = counts.withColumns({"block": F.floor(F.col("n_tokens") / BLOCK), "tokens": F.col("n_tokens") * F.col("n_docs")})
+    # Kept, as it is read three times below and stands for all the encoding.
+    counts = stored(counts).withColumns({"block": F.floor(F.col("n_tokens") / BLOCK), "tokens": F.col("n_tokens") * F.col("n_docs")})
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     # One row per block of lengths: as many as the longest document has thousands of tokens.
     above, whole = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
