@@ -24,6 +24,8 @@ _SIGN = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WINDOW = 120
 #: A term reveals an entity if it is seen with it in this many different surroundings, and tells this share of its information.
 SUPPORT, DISCLOSURE = 3, 0.9
+#: Parts that the documents of one word are dealt to when revealing terms are looked up.
+PARTS = 32
 _WORD = r"\p{L}++"
 _SPAN = "struct<kind:string,begin:int,end:int,value:string>"
 
@@ -133,8 +135,8 @@ def _terms(found: DataFrame) -> DataFrame:
     return near.select("id", "text_hash", "entity", "around", F.explode(words).alias("w")).select("id", "text_hash", "entity", "around", "w.*")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """(terms, pairs): every term beside a base span, and the (entity, term) pairs that reveal.
+def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(entity, term, disclosed): the pairs that reveal.
 
     A term tells log2(N n(t, e) / (n(t) n(e))) of the log2(N / n(e)) bits of an entity, N being the words of the corpus, n(t) and n(e)
     how often term and entity occur in it, n(t, e) how often the term stands beside the entity. Copies of a text count everywhere alike,
@@ -153,48 +155,92 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", suppor
     told = F.log2(F.col("n_all") * F.col("n_pair") / (F.col("n_term") * F.col("n_entity")))
     whole = F.log2(F.col("n_all") / F.col("n_entity"))
     rated = rated.withColumn("disclosed", F.least(told / whole, F.lit(1.0)))
-    return terms, rated.filter((whole > 0) & (F.col("disclosed") >= disclosure)).select("entity", "term", "disclosed")
+    return rated.filter((whole > 0) & (F.col("disclosed") >= disclosure)).select("entity", "term", "disclosed")
 
 
-def sensitive_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(real_id, id, text_hash, spans, all_spans) per row: base spans, and base spans followed by the terms that reveal them."""
+def _words(text: Column) -> Column:
+    """The different words of a text, each lower-cased by itself."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))), F.lower))
+
+
+def _occurrences(text: Column, terms: Column, spans: Column) -> Column:
+    """array<struct<kind, begin, end, value>> of the words of a text that are among terms and not part of one of its base spans."""
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    gaps = F.slice(F.split(text, _WORD, -1), F.lit(1), F.size(words))
+    both = F.zip_with(gaps, words, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+
+    def step(state: Column, item: Column) -> Column:
+        begin, word = state["at"] + item["gap"], F.lower(item["value"])
+        end = begin + F.length(item["value"])
+        span = F.struct(F.lit("term").alias("kind"), begin.alias("begin"), end.alias("end"), word.alias("value"))
+        # Only a hit copies the list.
+        found = F.when(F.array_contains(terms, word), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        return F.struct(end.alias("at"), found.alias("spans"))
+
+    every = F.aggregate(both, start, step, lambda state: state["spans"])
+    return F.filter(every, lambda w: ~F.exists(spans, lambda s: (s["begin"] <= w["begin"]) & (w["end"] <= s["end"])))
+
+
+def _revealed(texts: DataFrame, found: DataFrame, pairs: DataFrame, everywhere: bool) -> DataFrame:
+    """(id, text_hash, terms): the revealing terms of each text, whether it holds their entity or not if ``everywhere``."""
+    if not everywhere:
+        held = found.select("id", "text_hash", F.explode(F.array_distinct("sides.entity")).alias("entity")).distinct()
+        return held.join(pairs, "entity").groupBy("id", "text_hash").agg(F.collect_set("term").alias("terms"))
+    # A word that is in most texts is dealt to PARTS tasks, by text.
+    wanted = pairs.select("term").distinct().select("term", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    words = texts.select("id", "text_hash", F.pmod(F.xxhash64("id", "text_hash"), F.lit(PARTS)).cast("int").alias("part"), F.explode(_words(F.col("text"))).alias("term"))
+    return words.join(wanted, ["term", "part"]).groupBy("id", "text_hash").agg(F.collect_set("term").alias("terms"))
+
+
+def sensitive_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, everywhere: bool = False
+) -> DataFrame:
+    """(real_id, id, text_hash, spans, all_spans) per row: base spans, and base spans followed by the terms that reveal.
+
+    A revealing term counts wherever it stands in a text that holds its entity, with ``everywhere`` in every text.
+    """
+    texts = _keyed(docs, id_col, text_col)
     found = stored(detected(docs, id_col, text_col))
-    terms, pairs = disclosing(found, docs, text_col, support, disclosure)
-    per_text = terms.join(pairs, ["entity", "term"]).groupBy("id", "text_hash")
-    per_text = per_text.agg(F.sort_array(F.collect_set(F.struct("begin", "end", "term"))).alias("extra"))
-    extra = F.transform("extra", lambda e: F.struct(F.lit("term").alias("kind"), e["begin"].alias("begin"), e["end"].alias("end"), e["term"].alias("value")))
+    pairs = stored(disclosing(found, docs, text_col, support, disclosure))
+    terms = stored(_revealed(texts, found, pairs, everywhere))
+    extra = texts.join(terms, ["id", "text_hash"]).select("id", "text_hash", _occurrences(F.col("text"), F.col("terms"), base_spans(F.col("text"))).alias("extra"))
     nothing = F.array().cast(f"array<{_SPAN}>")
-    both = found.join(per_text, ["id", "text_hash"], "left").withColumn("all_spans", F.concat("spans", F.coalesce(extra, nothing)))
-    return both.select("real_id", "id", "text_hash", "spans", "all_spans")
+    both = found.join(extra.dropDuplicates(["id", "text_hash"]), ["id", "text_hash"], "left")
+    return both.withColumn("all_spans", F.concat("spans", F.coalesce("extra", nothing))).select("real_id", "id", "text_hash", "spans", "all_spans")
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans) per row.
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", everywhere: bool = False) -> DataFrame:
+    """(id_col, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans) per row; ``everywhere`` as in sensitive_spans.
 
     A null text is empty and has no spans. Repeated rows give equal results, null ids stay null; other columns are not read.
     """
-    rows = sensitive_spans(docs, id_col, text_col)
+    rows = sensitive_spans(docs, id_col, text_col, everywhere=everywhere)
     count = lambda kind: F.size(F.filter("all_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     kinds = [count(kind) for kind in (*PATTERNS, "term")]
     return rows.select(F.col("real_id").alias(id_col), *kinds, F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"))
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitised(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, everywhere: bool = False
+) -> DataFrame:
     """docs with every span of the text replaced by its kind, as in ``[EMAIL]``; all other columns stay.
 
+    Revealing terms go from the texts that hold their entity, with ``everywhere`` from every text.
+
     Spans that overlap are replaced as one, by the kind of the first. Texts without spans, and nulls, are left as they are.
     """
     found = stored(detected(docs, id_col, text_col))
-    terms, pairs = disclosing(found, docs, text_col, support, disclosure)
-    extra = terms.join(pairs, ["entity", "term"]).groupBy("id", "text_hash").agg(F.collect_set(F.struct("begin", "end", "term")).alias("__extra"))
+    pairs = stored(disclosing(found, docs, text_col, support, disclosure))
+    terms = stored(_revealed(_keyed(docs, id_col, text_col), found, pairs, everywhere))
     unknown = F.lit(-(1 << 63)).cast("long")
     text = F.col(text_col).cast("string")
     keys = {"__id": F.coalesce(F.col(id_col).cast("long"), unknown), "__hash": F.xxhash64(F.coalesce(text, F.lit("")))}
-    own = docs.withColumns(keys).join(extra.withColumnsRenamed({"id": "__id", "text_hash": "__hash"}), ["__id", "__hash"], "left")
+    own = docs.withColumns(keys).join(terms.withColumnsRenamed({"id": "__id", "text_hash": "__hash", "terms": "__terms"}), ["__id", "__hash"], "left")
     place = lambda s, kind: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), kind.alias("kind"))
-    base = F.transform(base_spans(text), lambda s: place(s, s["kind"]))
-    more = F.coalesce(F.transform("__extra", lambda s: place(s, F.lit("term"))), F.array().cast("array<struct<begin:int,end:int,kind:string>>"))
-    spans = F.sort_array(F.concat(base, more))
+    every = F.transform("__base", lambda s: place(s, s["kind"]))
+    more = F.when(F.col("__terms").isNotNull(), F.transform(_occurrences(text, F.col("__terms"), F.col("__base")), lambda s: place(s, s["kind"])))
+    spans = F.sort_array(F.concat(every, F.coalesce(more, F.array().cast("array<struct<begin:int,end:int,kind:string>>"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state: Column, s: Column) -> Column:
@@ -206,5 +252,5 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     finish = lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
     clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, finish)).otherwise(text)
-    out = own.withColumn("__spans", spans).withColumn(text_col, clean)
+    out = own.withColumn("__base", base_spans(text)).withColumn("__spans", spans).withColumn(text_col, clean)
     return out.select(*docs.columns)

@@ -39,7 +39,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.report(table(spark, sf_dir, "documents"))
+    return privacy.report(table(spark, sf_dir, "documents"), everywhere=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

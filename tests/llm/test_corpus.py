@@ -5,6 +5,7 @@ import html
 import itertools
 import random
 import re
+import tempfile
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pixeltide.llm import cells, decontaminate, langid, mincut, minhash, mixing, privacy, repeats, tokencount, urlfilter
+from pixeltide.llm import cells, decontaminate, langid, mincut, minhash, mixing, privacy, queries, repeats, tokencount, urlfilter
 from pixeltide.llm.common import components
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "sa", "te", "vo") for b in ("ra", "li", "mon", "pu", "sten")]
@@ -31,6 +32,13 @@ def docs_frame(spark, rows):
     )
 
 
+def docs_folder(spark, docs):
+    """A folder with docs as the table ``documents``."""
+    folder = tempfile.mkdtemp(prefix="run-")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
 class Groups:
     def __init__(self, ids):
         self.up = {i: i for i in ids}
@@ -384,6 +392,23 @@ def test_terms_that_reveal_an_entity_are_found_and_replaced(spark):
     assert all("[EMAIL]" in clean[i] and "[TERM]" in clean[i] and "Zorblax" not in clean[i] and "@" not in clean[i] for i in dict(told))
 
 
+def test_revealing_terms_go_from_every_text(spark):
+    """Far from the address, in texts without it, in any case, and in rows with null or repeated ids."""
+    rng = random.Random(6)
+    plain = [(i, prose(rng, 60)) for i in range(160)]
+    told = [(1000 + k, f"{prose(rng, 90)} meet Zorblax {prose(rng, 2)} at ann@corp.example {rng.choice(WORDS)} {prose(rng, 12)}") for k in range(8)]
+    told[0] = (100_000, "Zorblax " + told[0][1])
+    other = "\u0130 the word ZORBLAX alone, not zorblaxes or Zor"
+    docs = docs_frame(spark, plain + told + [(2000, other), (None, other), (2001, None)])
+    clean = {r.doc_id: r.text for r in privacy.sanitised(docs, everywhere=True).collect()}
+    assert clean[2000] == clean[None] == "\u0130 the word [TERM] alone, not zorblaxes or Zor"
+    assert not any("Zorblax" in clean[i] for i, _ in told) and all(clean[i] == t for i, t in plain) and clean[2001] is None
+    spans = {r.doc_id: (r.n_term, r.spans) for r in privacy.report(docs, everywhere=True).collect()}
+    assert spans[2000] == spans[None] == (1, "term:11:18") and all(spans[i][1].count("term:") == spans[i][0] >= 2 for i, _ in told)
+    query = {r.doc_id: r.spans for r in queries.op6_privacy(spark, docs_folder(spark, docs)).collect()}
+    assert query == {i: s for i, (_, s) in spans.items()}
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     rows = [(1, "call +49 10.20.30.40 now"), (2, "x 4111 1111 1111 1111 y a@b.co"), (3, "none"), (None, "a@b.co")]
     got = {r.doc_id: r.text for r in privacy.sanitised(docs_frame(spark, rows)).collect()}
