@@ -5,6 +5,8 @@ DataFrame functions only. A match's place is what the pieces around the matches
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _SIGN = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Code points on either side of a match in which terms count as seen with it.
+#: Code points on either side of a match that tell its surroundings: mentions with equal ones are copies and one piece of evidence.
 WINDOW = 120
-#: A term reveals an entity if it is seen with it in this many different surroundings, and tells this share of its information.
-SUPPORT, DISCLOSURE = 3, 0.9
+#: A term reveals an entity if it tells this share of its information.
+DISCLOSURE = 0.9
+#: And if of all terms and entities of the corpus at most so many pairs are expected to meet as often by chance.
+CHANCE = 1.0
 #: Parts that the documents of one word are dealt to when revealing terms are looked up.
 PARTS = 32
 _WORD = r"\p{L}++"
@@ -102,60 +106,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.select("real_id", F.coalesce("real_id", unknown).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(real_id, id, text_hash, spans, sides): base spans of every row, and for each the text on both sides of it."""
-    source = _keyed(docs, id_col, text_col).withColumn("spans", base_spans(F.col("text")))
+def _cut(text: Column, spans: Column, label) -> Column:
+    """text with spans (in order; those that overlap as one) replaced by what ``label`` makes of the first."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def sides(s: Column) -> Column:
-        left_at = F.greatest(s["begin"] - WINDOW, F.lit(0))
-        return F.struct(
-            F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"),
-            left_at.alias("left_at"),
-            F.substring(F.col("text"), left_at + 1, s["begin"] - left_at).alias("left"),
-            s["end"].alias("right_at"),
-            F.substring(F.col("text"), s["end"] + 1, F.lit(WINDOW)).alias("right"),
-        )
-
-    return source.select("real_id", "id", "text_hash", "spans", F.transform("spans", sides).alias("sides"), F.length("text").alias("size"))
-
-
-def _terms(found: DataFrame) -> DataFrame:
-    """(id, text_hash, entity, around, term, begin, end): whole words beside each base span."""
-    near = found.select("id", "text_hash", "size", F.explode("sides").alias("s")).select("id", "text_hash", "size", "s.*")
-    near = near.withColumn("around", F.xxhash64("left", "right"))
-    # A word cut by the edge of a window is not whole; an edge that is the text's own cuts nothing.
-    left = F.filter(_placed(F.col("left"), _WORD, "term"), lambda w: (w["begin"] > 0) | (F.col("left_at") == 0))
-    right_end = F.length("right")
-    right = F.filter(_placed(F.col("right"), _WORD, "term"), lambda w: (w["end"] < right_end) | (F.col("right_at") + right_end == F.col("size")))
-    # A word that touches the span itself may be part of it.
-    moved = lambda words, at: F.transform(
-        words, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["begin"] + at).alias("begin"), (w["end"] + at).alias("end"))
-    )
-    words = F.concat(moved(left, F.col("left_at")), moved(right, F.col("right_at")))
-    return near.select("id", "text_hash", "entity", "around", F.explode(words).alias("w")).select("id", "text_hash", "entity", "around", "w.*")
-
-
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, disclosed): the pairs that reveal.
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, s["begin"] - state["at"])
+        end = F.greatest(state["at"], s["end"])
+        parts = F.when(s["begin"] < state["at"], state["parts"]).otherwise(F.concat(state["parts"], F.array(gap, label(s))))
+        return F.struct(end.alias("at"), parts.alias("parts"))
+
+    finish = lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
 
-    A term tells log2(N n(t, e) / (n(t) n(e))) of the log2(N / n(e)) bits of an entity, N being the words of the corpus, n(t) and n(e)
-    how often term and entity occur in it, n(t, e) how often the term stands beside the entity. Copies of a text count everywhere alike,
-    so they cancel; ``support`` counts different surroundings, which copies share.
-    """
-    terms = stored(_terms(found))
-    each = terms.groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
-    pairs = each.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("surroundings")).filter(F.col("surroundings") >= support)
-    pairs = stored(pairs)
-    wanted = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(_WORD), F.lit(0))).alias("term"))
-    counted = stored(words.groupBy("term").agg(F.count("*").alias("n_term")))
-    n_all = counted.agg(F.sum("n_term")).first()[0] or 0
-    entities = found.select(F.explode("sides.entity").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    rated = pairs.join(counted.join(wanted, "term", "left_semi"), "term").join(entities, "entity").withColumn("n_all", F.lit(float(n_all)))
-    told = F.log2(F.col("n_all") * F.col("n_pair") / (F.col("n_term") * F.col("n_entity")))
-    whole = F.log2(F.col("n_all") / F.col("n_entity"))
-    rated = rated.withColumn("disclosed", F.least(told / whole, F.lit(1.0)))
-    return rated.filter((whole > 0) & (F.col("disclosed") >= disclosure)).select("entity", "term", "disclosed")
+
+def _place(s: Column) -> Column:
+    return F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind"))
 
 
 def _words(text: Column) -> Column:
@@ -163,6 +129,71 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))), F.lower))
 
 
+def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(real_id, id, text_hash, spans, entities, words, inner) of every row.
+
+    entities has the entity of each base span with a hash of the text around it. words are the different words outside base spans
+    and inner those that stand inside only; both are null for rows without spans.
+    """
+    source = _keyed(docs, id_col, text_col).withColumn("spans", base_spans(F.col("text")))
+
+    def mention(s: Column) -> Column:
+        left_at = F.greatest(s["begin"] - WINDOW, F.lit(0))
+        left = F.substring(F.col("text"), left_at + 1, s["begin"] - left_at)
+        right = F.substring(F.col("text"), s["end"] + 1, F.lit(WINDOW))
+        return F.struct(F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"), F.xxhash64(left, right).alias("around"))
+
+    # A word that is part of a span is no term, one that touches it is.
+    rest = _cut(F.col("text"), F.sort_array(F.transform("spans", _place)), lambda s: F.lit("0"))
+    some = F.size("spans") > 0
+    source = source.withColumns({"words": F.when(some, _words(rest)), "entities": F.transform("spans", mention)})
+    inner = F.when(some, F.array_except(_words(F.col("text")), "words"))
+    return source.select("real_id", "id", "text_hash", "spans", "entities", "words", inner.alias("inner"))
+
+
+def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", chance: float = CHANCE, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(entity, term, disclosed): the pairs that reveal.
+
+    A term tells log2(N n(t, e) / (n(t) n(e))) of the log2(N / n(e)) bits of an entity, N being the texts of the corpus, n(t) and n(e)
+    those that hold term and entity, n(t, e) those that hold both, wherever in the text. Copies count everywhere alike, so they cancel.
+
+    Evidence is counted in different surroundings of the entity, which copies share: of m, k go with the term. If the term were spread
+    regardless of the entity, that many or more would by Hoeffding's inequality have a probability of at most 2 ** -(m KL(k/m || n(t)/N)).
+    A pair counts if that, times the number of entities with two surroundings and more and of terms in two texts and more, is within
+    ``chance``. A single mention is never evidence: any other word that its text alone has goes with it as well.
+    """
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    n_all = float(texts.count())
+    words = texts.select(F.explode(_words(F.col("text"))).alias("term"), F.lit(1).alias("n"))
+    words = words.union(found.select(F.explode("inner").alias("term"), F.lit(-1).alias("n")))
+    counted = stored(words.groupBy("term").agg(F.sum("n").alias("n_term")).filter("n_term >= 2"))
+    # Rows of one text are one, with a weight.
+    held = found.filter(F.size("entities") > 0).groupBy("text_hash").agg(F.count("*").alias("weight"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    held = stored(held)
+    mentions = held.select("text_hash", "weight", F.explode("entities").alias("e")).groupBy("text_hash", "weight", "e.entity").agg(F.min("e.around").alias("around"))
+    mentions = stored(mentions)
+    each = mentions.groupBy("entity", "around").agg(F.sum("weight").alias("n"))
+    entities = each.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("m")).filter("m >= 2")
+    entities = stored(entities)
+    n_entities, most = entities.agg(F.count("*"), F.max("n_entity")).first()
+    tests = float(counted.count()) * n_entities
+
+    # n(t, e) is n(e) at most, so a term in more texts than this cannot tell enough.
+    bound = lambda n_entity: F.pow(n_entity, F.lit(disclosure)) * n_all ** (1 - disclosure) * (1 + 1e-9)
+    terms = held.select("text_hash", F.explode("words").alias("term")).join(counted.filter(F.col("n_term") <= bound(F.lit(float(most or 0)))), "term")
+    both = mentions.join(entities, "entity").join(terms, "text_hash").filter(F.col("n_term") <= bound(F.col("n_entity")))
+    each = both.groupBy("entity", "term", "around", "n_entity", "m", "n_term").agg(F.sum("weight").alias("n"))
+    pairs = each.groupBy("entity", "term", "n_entity", "m", "n_term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("k"))
+
+    told = F.log2(n_all * F.col("n_pair") / (F.col("n_term") * F.col("n_entity")))
+    whole = F.log2(n_all / F.col("n_entity"))
+    share, rate = F.col("k") / F.col("m"), F.col("n_term") / n_all
+    apart = share * F.log2(share / rate) + F.when((share < 1) & (rate < 1), (1 - share) * F.log2((1 - share) / (1 - rate))).otherwise(0.0)
+    evident = (share > rate) & (F.col("m") * apart >= math.log2(max(tests, 1.0) / chance))
+    pairs = pairs.withColumn("disclosed", F.least(told / whole, F.lit(1.0)))
+    return pairs.filter((whole > 0) & (F.col("disclosed") >= disclosure) & evident).select("entity", "term", "disclosed")
+
+
 def _occurrences(text: Column, terms: Column, spans: Column) -> Column:
     """array<struct<kind, begin, end, value>> of the words of a text that are among terms and not part of one of its base spans."""
     words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
@@ -185,7 +216,7 @@ def _occurrences(text: Column, terms: Column, spans: Column) -> Column:
 def _revealed(texts: DataFrame, found: DataFrame, pairs: DataFrame, everywhere: bool) -> DataFrame:
     """(id, text_hash, terms): the revealing terms of each text, whether it holds their entity or not if ``everywhere``."""
     if not everywhere:
-        held = found.select("id", "text_hash", F.explode(F.array_distinct("sides.entity")).alias("entity")).distinct()
+        held = found.select("id", "text_hash", F.explode("entities.entity").alias("entity")).distinct()
         return held.join(pairs, "entity").groupBy("id", "text_hash").agg(F.collect_set("term").alias("terms"))
     # A word that is in most texts is dealt to PARTS tasks, by text.
     wanted = pairs.select("term").distinct().select("term", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
@@ -194,7 +225,7 @@ def _revealed(texts: DataFrame, found: DataFrame, pairs: DataFrame, everywhere:
 
 
 def sensitive_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, everywhere: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance: float = CHANCE, disclosure: float = DISCLOSURE, everywhere: bool = False
 ) -> DataFrame:
     """(real_id, id, text_hash, spans, all_spans) per row: base spans, and base spans followed by the terms that reveal.
 
@@ -202,7 +233,7 @@ def sensitive_spans(
     """
     texts = _keyed(docs, id_col, text_col)
     found = stored(detected(docs, id_col, text_col))
-    pairs = stored(disclosing(found, docs, text_col, support, disclosure))
+    pairs = stored(disclosing(found, docs, text_col, chance, disclosure))
     terms = stored(_revealed(texts, found, pairs, everywhere))
     extra = texts.join(terms, ["id", "text_hash"]).select("id", "text_hash", _occurrences(F.col("text"), F.col("terms"), base_spans(F.col("text"))).alias("extra"))
     nothing = F.array().cast(f"array<{_SPAN}>")
@@ -222,7 +253,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ever
 
 
 def sanitised(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, everywhere: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance: float = CHANCE, disclosure: float = DISCLOSURE, everywhere: bool = False
 ) -> DataFrame:
     """docs with every span of the text replaced by its kind, as in ``[EMAIL]``; all other columns stay.
 
@@ -231,26 +262,15 @@ def sanitised(
     Spans that overlap are replaced as one, by the kind of the first. Texts without spans, and nulls, are left as they are.
     """
     found = stored(detected(docs, id_col, text_col))
-    pairs = stored(disclosing(found, docs, text_col, support, disclosure))
+    pairs = stored(disclosing(found, docs, text_col, chance, disclosure))
     terms = stored(_revealed(_keyed(docs, id_col, text_col), found, pairs, everywhere))
     unknown = F.lit(-(1 << 63)).cast("long")
     text = F.col(text_col).cast("string")
     keys = {"__id": F.coalesce(F.col(id_col).cast("long"), unknown), "__hash": F.xxhash64(F.coalesce(text, F.lit("")))}
     own = docs.withColumns(keys).join(terms.withColumnsRenamed({"id": "__id", "text_hash": "__hash", "terms": "__terms"}), ["__id", "__hash"], "left")
-    place = lambda s, kind: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), kind.alias("kind"))
-    every = F.transform("__base", lambda s: place(s, s["kind"]))
-    more = F.when(F.col("__terms").isNotNull(), F.transform(_occurrences(text, F.col("__terms"), F.col("__base")), lambda s: place(s, s["kind"])))
+    every = F.transform("__base", _place)
+    more = F.when(F.col("__terms").isNotNull(), F.transform(_occurrences(text, F.col("__terms"), F.col("__base")), _place))
     spans = F.sort_array(F.concat(every, F.coalesce(more, F.array().cast("array<struct<begin:int,end:int,kind:string>>"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["begin"] - state["at"])
-        label = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        end = F.greatest(state["at"], s["end"])
-        parts = F.when(s["begin"] < state["at"], state["parts"]).otherwise(F.concat(state["parts"], F.array(gap, label)))
-        return F.struct(end.alias("at"), parts.alias("parts"))
-
-    finish = lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
-    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, finish)).otherwise(text)
+    clean = _cut(text, F.col("__spans"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     out = own.withColumn("__base", base_spans(text)).withColumn("__spans", spans).withColumn(text_col, clean)
     return out.select(*docs.columns)

@@ -409,6 +409,19 @@ def test_revealing_terms_go_from_every_text(spark):
     assert query == {i: s for i, (_, s) in spans.items()}
 
 
+def test_terms_far_from_an_entity_or_of_one_mentioned_twice_are_found(spark):
+    rng = random.Random(16)
+    plain = [(i, prose(rng, 60)) for i in range(900)]
+    far = [(1000 + k, f"Zorblax {prose(rng, 90)} ann@corp.example {prose(rng, 30)}") for k in range(8)]
+    twice = [(2000 + k, f"{prose(rng, 30)} Quixby {prose(rng, 30)} {prose(rng, 5)} bob@corp.example") for k in range(2)]
+    # One text and its copies are one piece of evidence.
+    once = f"Wimbly {prose(rng, 40)} carl@corp.example"
+    docs = docs_frame(spark, plain + far + twice + [(3000, once), (3001, once), (3001, once), (4000, None)])
+    found = privacy.detected(docs)
+    pairs = {(r.entity, r.term) for r in privacy.disclosing(found, docs).collect()}
+    assert pairs == {("email:ann@corp.example", "zorblax"), ("email:bob@corp.example", "quixby")}
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     rows = [(1, "call +49 10.20.30.40 now"), (2, "x 4111 1111 1111 1111 y a@b.co"), (3, "none"), (None, "a@b.co")]
     got = {r.doc_id: r.text for r in privacy.sanitised(docs_frame(spark, rows)).collect()}
