@@ -17,9 +17,6 @@ FIT_VECTORS = 16384
 #: Vectors per cell aimed at, and the most cells.
 PER_CELL, MOST_CELLS = 256, 4096
 ROUNDS = 8
-#: A vector is also shown to every cell whose border is within this distance. A link at cosine c turns a vector by
-#: sqrt(1 - c * c), of which only the part across the border counts, in 64 even dimensions one eighth on average.
-MARGIN = 0.12
 BLOCK = 1024
 
 
@@ -57,8 +54,13 @@ def _packed(vectors: DataFrame, kind: str) -> DataFrame:
     return vectors.mapInArrow(run, "rep long, weight long, dim int, raw binary")
 
 
-def _assigned(packed: DataFrame, centres: dict[int, np.ndarray], kind: str) -> DataFrame:
-    """A row per vector and cell it is shown to: its own (home) and those near whose border it lies."""
+def _assigned(packed: DataFrame, centres: dict[int, np.ndarray], threshold: float, kind: str) -> DataFrame:
+    """A row per vector and cell it is shown to: its own (home) and those near whose border it lies.
+
+    Two unit vectors that link are at most sqrt(2 - 2 threshold) apart, so one at home on the other side of the plane between two
+    centres is within that distance of the plane: every link is seen from both of its ends.
+    """
+    margin = math.sqrt(max(2.0 - 2.0 * threshold, 0.0)) + 1e-9
     shared = packed.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +76,7 @@ def _assigned(packed: DataFrame, centres: dict[int, np.ndarray], kind: str) -> D
                     near = unit_rows([raw[i] for i in rows], kind) @ c.T
                     home = near.argmax(axis=1)
                     far = (near[np.arange(len(rows)), home][:, None] - near) / apart[home]
-                    vec, cell = np.nonzero((far <= MARGIN) | (np.arange(len(c)) == home[:, None]))
+                    vec, cell = np.nonzero((far <= margin) | (np.arange(len(c)) == home[:, None]))
                     take = pa.array(rows[vec])
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(k).take(take) for k in (0, 1, 2, 3)] + [pa.array(cell, pa.int64()), pa.array(cell == home[vec])],
@@ -170,7 +172,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         picked = [r.raw for r in sorted(picked, key=lambda r: (r.h, r.raw))]
         centres[dim] = fit_cells(unit_rows(picked, kind), min(k, len(picked)))
 
-    found = stored(_compared(_assigned(packed, centres, kind), threshold, kind))
+    found = stored(_compared(_assigned(packed, centres, threshold, kind), threshold, kind))
     counted = found.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "rep")
     edges = found.filter("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
     placed = members.join(classes, ["h1", "h2"])

@@ -275,6 +275,17 @@ def test_vectors_match_brute_force(spark, monkeypatch, kind):
     assert cells.near_vectors(vectors_of(spark, [], kind)).collect() == []
 
 
+def test_vectors_with_uneven_dimensions_link_from_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(cells, "PER_CELL", 16)
+    rng = np.random.default_rng(12)
+    spread = 1 / np.arange(1, 17) ** 2
+    base = rng.normal(size=(400, 16)) * spread
+    many = np.concatenate([base, base + 0.3 * rng.normal(size=(400, 16)) * spread])
+    got = {r.vec_id: r.n_links for r in cells.near_vectors(vectors_of(spark, [(i, v.tolist(), 0, "r") for i, v in enumerate(many)], "double")).collect()}
+    unit = many / np.linalg.norm(many, axis=1, keepdims=True)
+    assert [got[i] for i in range(len(many))] == ((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
 def test_language_of_mixed_texts(spark):
     rng = random.Random(1)
     parts = {"aa": ["tion", "the", "ing", "and"], "bb": ["chen", "ung", "sch", "ei"], "cc": ["ов", "ени", "пр", "ст"]}
