@@ -14,10 +14,13 @@ from pixeltide.llm.common import components, stored, two_hashes
 
 #: Vectors that the cell centres are fitted on (a documented bound; every vector is then assigned).
 FIT_VECTORS = 16384
-#: Vectors per cell aimed at, and the most cells.
-PER_CELL, MOST_CELLS = 256, 4096
+#: Vectors per cell aimed at, and the most cells. A vector is sent to each cell it is shown to, so that cells are as large as one
+#: comparison of blocks takes.
+PER_CELL, MOST_CELLS = 4096, 4096
 ROUNDS = 8
-BLOCK = 1024
+BLOCK = 4096
+#: Rows of a block that are multiplied at once.
+STRIP = 512
 
 
 def fit_cells(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -86,13 +89,39 @@ def _assigned(packed: DataFrame, centres: dict[int, np.ndarray], threshold: floa
     return packed.mapInArrow(run, "rep long, weight long, dim int, raw binary, cell long, home boolean")
 
 
+def _near(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of left and right that link with any row of the other, and which of them do (double precision, ties at 1e-12 summed exactly).
+
+    Single precision finds rows that may link: its error is far below the slack.
+    """
+    slack = threshold - 1e-5 - 1e-6 * left.shape[1]
+    some_left, some_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    low_left, low_right = left.astype(np.float32), right.astype(np.float32).T.copy()
+    for at in range(0, len(left), STRIP):
+        may = low_left[at : at + STRIP] @ low_right >= slack
+        some_left[at : at + STRIP] = may.any(axis=1)
+        some_right |= may.any(axis=0)
+    rows, cols = np.flatnonzero(some_left), np.flatnonzero(some_right)
+    linked = np.zeros((len(rows), len(cols)), bool)
+    for at in range(0, len(rows), STRIP):
+        cosine = left[rows[at : at + STRIP]] @ right[cols].T
+        linked[at : at + STRIP] = cosine >= threshold
+        for i, j in zip(*np.nonzero(np.abs(cosine - threshold) < 1e-12), strict=True):
+            linked[at + i, j] = math.fsum((left[rows[at + i]] * right[cols[j]]).tolist()) >= threshold
+    return rows, cols, linked
+
+
 def _local_roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest id reachable inside one block comparison, for its rows and columns."""
     of_left, of_right = left.copy(), right.copy()
     top = np.iinfo(np.int64).max
+    strips = range(0, len(left), STRIP)
     while True:
-        new_left = np.minimum(of_left, np.where(linked, of_right[None, :], top).min(axis=1, initial=top))
-        new_right = np.minimum(of_right, np.where(linked, new_left[:, None], top).min(axis=0, initial=top))
+        new_left, new_right = of_left.copy(), of_right.copy()
+        for at in strips:
+            part = linked[at : at + STRIP]
+            new_left[at : at + STRIP] = np.minimum(of_left[at : at + STRIP], np.where(part, of_right[None, :], top).min(axis=1, initial=top))
+            new_right = np.minimum(new_right, np.where(part, new_left[at : at + STRIP, None], top).min(axis=0, initial=top))
         # An id on both sides is one vertex.
         both = np.r_[left, right]
         ids, where = np.unique(both, return_inverse=True)
@@ -123,12 +152,10 @@ def _compared(shown: DataFrame, threshold: float, kind: str) -> DataFrame:
         ids, weights = group.column("rep").to_numpy(), group.column("weight").to_numpy()
         units = unit_rows(group.column("raw").to_pylist(), kind)
         rows, cols = np.flatnonzero((side == 0) | ((side == 2) & home)), np.flatnonzero(side != 0)
-        cosine = units[rows] @ units[cols].T
-        linked = cosine >= threshold
-        for i, j in zip(*np.nonzero(np.abs(cosine - threshold) < 1e-12), strict=True):
-            linked[i, j] = math.fsum((units[rows[i]] * units[cols[j]]).tolist()) >= threshold
+        near_rows, near_cols, linked = _near(units[rows], units[cols], threshold)
+        rows, cols = rows[near_rows], cols[near_cols]
         linked &= ids[rows][:, None] != ids[cols][None, :]
-        n = linked @ weights[cols]
+        n = np.array([weights[cols][own].sum() for own in linked], np.int64)
         of_rows, of_cols = _local_roots(linked, ids[rows], ids[cols])
         out_ids, out_n, roots = np.r_[ids[rows], ids[cols]], np.r_[n, np.zeros(len(cols), np.int64)], np.r_[of_rows, of_cols]
         keep = (out_n > 0) | (roots != out_ids)
