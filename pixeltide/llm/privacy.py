@@ -28,7 +28,12 @@ WINDOW = 120
 DISCLOSURE = 0.9
 #: And if of all terms and entities of the corpus at most so many pairs are expected to meet as often by chance.
 CHANCE = 1.0
-#: Parts that the documents of one word are dealt to when revealing terms are looked up.
+#: Revealing terms (or pairs of entity and term) up to this number, and code points in all, travel with the code, so that texts are searched
+#: where they lie; more are joined to the words of the texts.
+CARRIED, CARRIED_CHARS = 50_000, 4_000_000
+#: Buckets of carried terms.
+BUCKETS = 1 << 14
+#: Parts that the documents of one word are dealt to when revealing terms are looked up by a join.
 PARTS = 32
 _WORD = r"\p{L}++"
 _SPAN = "struct<kind:string,begin:int,end:int,value:string>"
@@ -194,8 +199,8 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", chance
     return pairs.filter((whole > 0) & (F.col("disclosed") >= disclosure) & evident).select("entity", "term", "disclosed")
 
 
-def _occurrences(text: Column, terms: Column, spans: Column) -> Column:
-    """array<struct<kind, begin, end, value>> of the words of a text that are among terms and not part of one of its base spans."""
+def _occurrences(text: Column, reveals, spans: Column) -> Column:
+    """array<struct<kind, begin, end, value>> of the words of a text that ``reveals`` says yes to and that are no part of one of its base spans."""
     words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
     gaps = F.slice(F.split(text, _WORD, -1), F.lit(1), F.size(words))
     both = F.zip_with(gaps, words, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
@@ -206,13 +211,51 @@ def _occurrences(text: Column, terms: Column, spans: Column) -> Column:
         end = begin + F.length(item["value"])
         span = F.struct(F.lit("term").alias("kind"), begin.alias("begin"), end.alias("end"), word.alias("value"))
         # Only a hit copies the list.
-        found = F.when(F.array_contains(terms, word), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        found = F.when(reveals(word), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.alias("at"), found.alias("spans"))
 
     every = F.aggregate(both, start, step, lambda state: state["spans"])
     return F.filter(every, lambda w: ~F.exists(spans, lambda s: (s["begin"] <= w["begin"]) & (w["end"] <= s["end"])))
 
 
+def _carried(keys: DataFrame):
+    """A test of whether a string is among the column ``key`` of keys, as an expression; None if there are too many for that.
+
+    The strings lie in the buckets of one constant, each bucket a string.
+    """
+    keys = keys.select("key").distinct()
+    n, size = keys.agg(F.count("*"), F.sum(F.length("key") + 2)).first()
+    if n > CARRIED or (size or 0) > CARRIED_CHARS:
+        return None
+    if not n:
+        return lambda value: F.lit(False)
+    number = lambda value: F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("int")
+    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for r in keys.select(number(F.col("key")).alias("bucket"), "key").collect():
+        buckets[r.bucket].append(r.key)
+    packed = F.split(F.lit("\x1e".join("\x1f" + "\x1f".join(sorted(b)) + "\x1f" if b else "" for b in buckets)), "\x1e", -1)
+    mark = F.lit("\x1f")
+    return lambda value: F.contains(F.get(packed, number(value)), F.concat(mark, value, mark))
+
+
+def _entities(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))
+
+
+def _reveals(pairs: DataFrame, everywhere: bool):
+    """A function of a text's entities that gives the test of its words, or None if there are too many pairs to carry."""
+    if everywhere:
+        term = _carried(pairs.select(F.col("term").alias("key")))
+        return term and (lambda entities: term)
+    both = _carried(pairs.select(F.concat("entity", F.lit("\x1d"), "term").alias("key")))
+    return both and (lambda entities: lambda word: F.exists(entities, lambda e: both(F.concat(e, F.lit("\x1d"), word))))
+
+
+def _mentions(text: Column) -> Column:
+    """Whether a text may hold base spans: all of them have a digit or an at sign."""
+    return text.rlike("[0-9@]")
+
+
 def _revealed(texts: DataFrame, found: DataFrame, pairs: DataFrame, everywhere: bool) -> DataFrame:
     """(id, text_hash, terms): the revealing terms of each text, whether it holds their entity or not if ``everywhere``."""
     if not everywhere:
@@ -224,18 +267,32 @@ def _revealed(texts: DataFrame, found: DataFrame, pairs: DataFrame, everywhere:
     return words.join(wanted, ["term", "part"]).groupBy("id", "text_hash").agg(F.collect_set("term").alias("terms"))
 
 
+def _among(terms: Column):
+    return lambda word: F.array_contains(terms, word)
+
+
 def sensitive_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance: float = CHANCE, disclosure: float = DISCLOSURE, everywhere: bool = False
 ) -> DataFrame:
     """(real_id, id, text_hash, spans, all_spans) per row: base spans, and base spans followed by the terms that reveal.
 
-    A revealing term counts wherever it stands in a text that holds its entity, with ``everywhere`` in every text.
+    A revealing term counts wherever it stands in a text that holds its entity, with ``everywhere`` in every text. Texts are searched
+    where they lie and not shuffled, unless there are too many terms to carry.
     """
     texts = _keyed(docs, id_col, text_col)
     found = stored(detected(docs, id_col, text_col))
     pairs = stored(disclosing(found, docs, text_col, chance, disclosure))
-    terms = stored(_revealed(texts, found, pairs, everywhere))
-    extra = texts.join(terms, ["id", "text_hash"]).select("id", "text_hash", _occurrences(F.col("text"), F.col("terms"), base_spans(F.col("text"))).alias("extra"))
+    if pairs.isEmpty():
+        return found.select("real_id", "id", "text_hash", "spans", F.col("spans").alias("all_spans"))
+    text = F.col("text")
+    reveals = _reveals(pairs, everywhere)
+    if reveals is not None:
+        # Only texts with a hit look for their base spans again.
+        hit = texts.filter(F.exists(_words(text), reveals(F.array().cast("array<string>"))) if everywhere else _mentions(text)).withColumn("base", base_spans(text))
+        extra = hit.select("id", "text_hash", _occurrences(text, reveals(_entities(F.col("base"))), F.col("base")).alias("extra"))
+    else:
+        terms = stored(_revealed(texts, found, pairs, everywhere))
+        extra = texts.join(terms, ["id", "text_hash"]).select("id", "text_hash", _occurrences(text, _among(F.col("terms")), base_spans(text)).alias("extra"))
     nothing = F.array().cast(f"array<{_SPAN}>")
     both = found.join(extra.dropDuplicates(["id", "text_hash"]), ["id", "text_hash"], "left")
     return both.withColumn("all_spans", F.concat("spans", F.coalesce("extra", nothing))).select("real_id", "id", "text_hash", "spans", "all_spans")
@@ -263,14 +320,22 @@ def sanitised(
     """
     found = stored(detected(docs, id_col, text_col))
     pairs = stored(disclosing(found, docs, text_col, chance, disclosure))
-    terms = stored(_revealed(_keyed(docs, id_col, text_col), found, pairs, everywhere))
-    unknown = F.lit(-(1 << 63)).cast("long")
     text = F.col(text_col).cast("string")
-    keys = {"__id": F.coalesce(F.col(id_col).cast("long"), unknown), "__hash": F.xxhash64(F.coalesce(text, F.lit("")))}
-    own = docs.withColumns(keys).join(terms.withColumnsRenamed({"id": "__id", "text_hash": "__hash", "terms": "__terms"}), ["__id", "__hash"], "left")
+    base = docs.withColumn("__base", base_spans(text))
     every = F.transform("__base", _place)
-    more = F.when(F.col("__terms").isNotNull(), F.transform(_occurrences(text, F.col("__terms"), F.col("__base")), _place))
-    spans = F.sort_array(F.concat(every, F.coalesce(more, F.array().cast("array<struct<begin:int,end:int,kind:string>>"))))
+    reveals = _reveals(pairs, everywhere)
+    if pairs.isEmpty():
+        own = base.withColumn("__spans", F.sort_array(every))
+    elif reveals is not None:
+        test = reveals(_entities(F.col("__base")))
+        more = F.when(F.exists(_words(text), test), F.transform(_occurrences(text, test, F.col("__base")), _place))
+        own = base.withColumn("__spans", F.sort_array(F.concat(every, F.coalesce(more, F.array().cast("array<struct<begin:int,end:int,kind:string>>")))))
+    else:
+        terms = stored(_revealed(_keyed(docs, id_col, text_col), found, pairs, everywhere))
+        unknown = F.lit(-(1 << 63)).cast("long")
+        keys = {"__id": F.coalesce(F.col(id_col).cast("long"), unknown), "__hash": F.xxhash64(F.coalesce(text, F.lit("")))}
+        own = base.withColumns(keys).join(terms.withColumnsRenamed({"id": "__id", "text_hash": "__hash", "terms": "__terms"}), ["__id", "__hash"], "left")
+        more = F.when(F.col("__terms").isNotNull(), F.transform(_occurrences(text, _among(F.col("__terms")), F.col("__base")), _place))
+        own = own.withColumn("__spans", F.sort_array(F.concat(every, F.coalesce(more, F.array().cast("array<struct<begin:int,end:int,kind:string>>")))))
     clean = _cut(text, F.col("__spans"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    out = own.withColumn("__base", base_spans(text)).withColumn("__spans", spans).withColumn(text_col, clean)
-    return out.select(*docs.columns)
+    return own.withColumn(text_col, clean).select(*docs.columns)
