@@ -74,7 +74,7 @@ def sequential_ci_stop(
     """Per group: first n >= min_n with 1.96 * sigma / sqrt(n) < rel * max(1e-3, mean), and the mean of those n.
 
     Without such an n, all samples (at most ``budget``) are used. Running moments are window aggregates inside a chunk
-    of the order column, merged with the moments of the chunks before; chunks past the budget are dropped
+    of the order column, merged with the moments of the chunks before (ordered.carried_sums: the order may have any gaps); chunks past the budget are dropped
     before the windows run.
     """
     keys = list(keys)
@@ -85,11 +85,10 @@ def sequential_ci_stop(
     stats = rows.groupBy(*part).agg(
         n.alias("__n"), F.avg("__v").alias("__m"), (F.coalesce(F.var_pop("__v"), F.lit(0.0)) * n).alias("__q")
     )
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sum_n = F.sum("__n").over(before)
-    sum_v = F.sum(F.col("__m") * F.col("__n")).over(before)
-    sum_q = F.sum(F.col("__q") + F.col("__n") * F.col("__m") * F.col("__m")).over(before)
-    carry = stats.select(
+    moments = stats.select(*part, "__n", (F.col("__m") * F.col("__n")).alias("__v"), (F.col("__q") + F.col("__n") * F.col("__m") * F.col("__m")).alias("__q"))
+    sums = ordered.carried_sums(moments, keys, ["__n", "__v", "__q"])
+    sum_n, sum_v, sum_q = F.col("__n"), F.col("__v"), F.col("__q")
+    carry = sums.select(
         *part,
         F.coalesce(sum_n, F.lit(0).cast("bigint")).alias("__n0"),
         F.coalesce(sum_v / F.nullif(sum_n, F.lit(0).cast("bigint")), F.lit(0.0)).alias("__m0"),

@@ -2,12 +2,15 @@
 
 A plain window over a key puts the whole key into one task. Here the key is cut into chunks of the order
 column first; a window only ever sees one chunk, and what crosses a chunk border travels through a table with
-one row per chunk. With a unique integer order column a chunk of width C holds at most C rows.
+one row per chunk. With a unique integer order column a chunk of width C holds at most C rows. Where ids are spread
+so wide that there are about as many chunks as rows, that table is cut into chunks of chunks in turn: totals are swept
+up three levels and what stands before is swept down again, so no window sees more than about SPAN rows of a key.
+Orders without whole numbers (latest_before) use range partitions as chunks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +19,9 @@ from pixeltide.functions.columns import col
 from pixeltide.session import cut
 
 CHUNK = 1 << 16
+#: Chunks per chunk of the next level. Three levels and the width of a chunk span all 64-bit positions.
+SPAN = 1 << 16
+LEVELS = 3
 
 
 def chunk_of(order: str | Column, width: int = CHUNK) -> Column:
@@ -33,6 +39,36 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def _sum_before(name: str, over) -> Column:
+    return F.sum(name).over(over.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _carry(
+    chunks: DataFrame, keys: Sequence[str], names: Sequence[str], up: Callable, before: Callable, merge: Callable, levels: int = LEVELS
+) -> DataFrame:
+    """(keys, __chunk, names) with what stands before each chunk of its key.
+
+    up folds the chunks of a chunk of the next level, before folds those that precede within it, merge adds what the level above
+    says. Rows of chunks are one per key and ``__chunk``.
+    """
+    keys = list(keys)
+    if levels == 1:
+        over = Window.partitionBy(*keys).orderBy("__chunk")
+        return chunks.select(*keys, "__chunk", *[before(n, over).alias(n) for n in names])
+    wide = chunks.withColumn("__up", F.floor(F.col("__chunk") / F.lit(float(SPAN))).cast("bigint"))
+    above = wide.groupBy(*keys, "__up").agg(*[up(n).alias(n) for n in names]).withColumnRenamed("__up", "__chunk")
+    above = _carry(above, keys, names, up, before, merge, levels - 1).withColumnsRenamed({"__chunk": "__up", **{n: f"__above_{n}" for n in names}})
+    over = Window.partitionBy(*keys, "__up").orderBy("__chunk")
+    inside = wide.select(*keys, "__up", "__chunk", *[before(n, over).alias(n) for n in names])
+    return _join_on(inside, above, [*keys, "__up"]).select(*keys, "__chunk", *[merge(F.col(n), F.col(f"__above_{n}")).alias(n) for n in names])
+
+
+def carried_sums(chunks: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(keys, __chunk, names): sums over the earlier chunks of a key, null where there is none."""
+    add = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+    return _carry(chunks, keys, names, F.sum, _sum_before, add)
+
+
 def number_by_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,20 +81,25 @@ def number_by_position(
 ) -> DataFrame:
     """Consecutive numbers per keys in the order (leading..., position, ties...).
 
-    position is an integer, unique within (keys, leading, ties), so with few ties a chunk holds about ``width`` rows and the only
-    sequence walked by one task is the list of chunk counts.
+    position is an integer, unique within (keys, leading, ties), so with few ties a chunk holds about ``width`` rows. Of the chunk
+    counts no window sees more than about SPAN rows; of the leading values it sees those of one key, one row each.
     """
     df = df.withColumn("__chunk", chunk_of(position, width))
     part = [*keys, *leading, "__chunk"]
     counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(*leading, "__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0).cast("bigint")).alias("__off"))
+    offsets = carried_sums(counts, [*keys, *leading], ["__n"]).withColumnRenamed("__n", "__off")
+    if leading:
+        groups = counts.groupBy(*keys, *leading).agg(F.sum("__n").alias("__n"))
+        groups = groups.select(*keys, *leading, _sum_before("__n", Window.partitionBy(*keys).orderBy(*leading)).alias("__first"))
+        offsets = _join_on(offsets, groups, [*keys, *leading])
     local = F.row_number().over(Window.partitionBy(*part).orderBy(position, *ties))
     numbered = df.withColumn("__local", local)
+    zero = F.lit(0).cast("bigint")
+    before = F.coalesce("__off", zero) + (F.coalesce("__first", zero) if leading else zero)
     return (
         _join_on(numbered, offsets, part)
-        .withColumn(out, F.col("__off") + F.col("__local").cast("bigint") + F.lit(start - 1).cast("bigint"))
-        .drop("__chunk", "__local", "__off")
+        .withColumn(out, before + F.col("__local").cast("bigint") + F.lit(start - 1).cast("bigint"))
+        .drop("__chunk", "__local", "__off", "__first")
     )
 
 
@@ -113,10 +154,12 @@ def neighbour(
     part = [*keys, "__chunk"]
     border = F.min_by(value, rank) if following else F.max_by(value, rank)
     borders = df.groupBy(*part).agg(border.alias("__border"))
-    over_chunks = Window.partitionBy(*keys).orderBy("__chunk")
     over_rows = Window.partitionBy(*part).orderBy(*order)
     shift = F.lead if following else F.lag
-    carry = borders.select(*part, shift("__border").over(over_chunks).alias("__carry"))
+    nearest = F.min_by if following else F.max_by
+    carry = _carry(
+        borders, keys, ["__border"], lambda n: nearest(n, "__chunk"), lambda n, over: shift(n).over(over), lambda near, far: F.coalesce(near, far)
+    ).withColumnRenamed("__border", "__carry")
     inside = df.withColumn("__inside", shift(value).over(over_rows))
     return (
         _join_on(inside, carry, part)
@@ -132,8 +175,7 @@ def running_sums(
     df = df.withColumn("__chunk", chunk)
     part = [*keys, "__chunk"]
     totals = df.groupBy(*part).agg(*[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*part, *[F.sum(f"__t_{n}").over(before).alias(f"__c_{n}") for n in sums])
+    carry = carried_sums(totals, keys, [f"__t_{n}" for n in sums]).withColumnsRenamed({f"__t_{n}": f"__c_{n}" for n in sums})
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = df.withColumns({f"__s_{n}": F.sum(e).over(upto) for n, e in sums.items()})
     joined = _join_on(inside, carry, part)
@@ -141,3 +183,33 @@ def running_sums(
         {n: F.when(F.col(f"__c_{n}").isNull(), F.col(f"__s_{n}")).otherwise(F.col(f"__s_{n}") + F.col(f"__c_{n}")) for n in sums}
     )
     return joined.drop("__chunk", *[f"__s_{n}" for n in sums], *[f"__c_{n}" for n in sums])
+
+
+def latest_before(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, since: str, payload: Sequence[str], out: str, strict: bool = True
+) -> DataFrame:
+    """As-of join: adds struct ``out``, the payload of the right row of the key with the greatest ``since`` below ``at``.
+
+    strict=False takes equal ones too. Null where there is none; ``since`` is unique per key. Both sides are dealt to common ranges of
+    (keys, order), bounded by quantiles of the rows there are, sorted once and merged: linear in the rows however they crowd, and a
+    hot key takes as many tasks as it has rows for. What stands before a range travels in one row per key and range.
+    """
+    keys = list(keys)
+    first, second = (0, 1) if strict else (1, 0)
+    value = F.struct(*[F.col(c) for c in payload])
+    rows = left.select(*keys, F.col(at).alias("__t"), F.lit(first).alias("__side"), F.struct(*left.columns).alias("__row"))
+    marks = right.select(*keys, F.col(since).alias("__t"), F.lit(second).alias("__side"), value.alias("__mark"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    order = [*keys, "__t", "__side"]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    both = cut(both.withColumn("__mid", F.monotonically_increasing_id())).withColumn("__pid", F.shiftright("__mid", 33))
+    part = [*keys, "__pid"]
+    here = Window.partitionBy(*part).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    merged = both.withColumn("__here", F.last("__mark", ignorenulls=True).over(here))
+    # At most one row per range and key, so a key has at most as many as there are ranges.
+    ends = both.groupBy(*part).agg(F.max_by("__mark", F.when(F.col("__mark").isNotNull(), F.col("__mid"))).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*part, F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+    joined = _join_on(merged.filter(F.col("__row").isNotNull()), carry, part)
+    return joined.select("__row.*", F.coalesce("__here", "__carry").alias(out))

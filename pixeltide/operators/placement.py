@@ -69,18 +69,13 @@ def weight_intervals(catalog: DataFrame, keys: Sequence[str], order: str = "asse
 
 
 def weighted_choice(
-    draws: DataFrame, catalog: DataFrame, keys: Sequence[str], payload: Sequence[str] = ("name",), u: str = "u", bins: int = 64, order: str = "asset_ord"
+    draws: DataFrame, catalog: DataFrame, keys: Sequence[str], payload: Sequence[str] = ("name",), u: str = "u", order: str = "asset_ord"
 ) -> DataFrame:
     """Catalogue entry whose share interval holds the uniform draw ``u`` in [0, 1).
 
-    Range join as an equi-join on (keys, bin of u); heavy entries are listed in each bin they cover.
+    Intervals meet end to end, so a draw's entry is the latest that starts at it or before: an as-of join (ordered.latest_before), linear
+    in draws and entries for a catalogue of any size. Draws of keys without a catalogue are left out.
     """
-    keys = list(keys)
     shares = weight_intervals(catalog, keys, order)
-    shares = shares.withColumn(
-        "__bin",
-        F.explode(F.sequence(F.floor(F.col("lo") * bins).cast("int"), F.least(F.floor(F.col("hi") * bins), F.lit(bins - 1)).cast("int"))),
-    ).select(*keys, "__bin", "lo", "hi", *payload)
-    left = draws.withColumn("__bin", F.floor(F.col(u) * bins).cast("int"))
-    joined = left.join(shares, [*keys, "__bin"]).filter((F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi")))
-    return joined.select(*draws.columns, *payload)
+    met = ordered.latest_before(draws, shares, keys, u, "lo", ["hi", *payload], "__entry", strict=False)
+    return met.filter(F.col(u) < F.col("__entry.hi")).select(*draws.columns, *[F.col(f"__entry.{p}").alias(p) for p in payload])

@@ -1,4 +1,4 @@
-"""Gridded heights: bilinear samples and normals as joins on the grid cell."""
+"""Gridded heights: bilinear samples and normals, one join with overlapping tiles of the raster."""
 
 from __future__ import annotations
 
@@ -31,80 +31,90 @@ class Grid:
         return (self.zmax - self.zmin) / self.nz
 
 
-def cell_corners(raster: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFrame:
-    """One row per cell with its four corner heights, so that a point needs one join and no re-grouping."""
-    corner = F.explode(
-        F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dk")) for a in (0, 1) for b in (0, 1)])
-    )
-    touched = raster.withColumn("__c", corner).select(
-        *keys, (F.col("i") - F.col("__c.di")).alias("ci"), (F.col("k") - F.col("__c.dk")).alias("ck"),
-        F.col("__c.di").alias("di"), F.col("__c.dk").alias("dk"), "hgt",
-    )
-    inside = F.col("ci").between(0, grid.nx - 1) & F.col("ck").between(0, grid.nz - 1)
-    aggs = [
-        F.max(F.when((F.col("di") == a) & (F.col("dk") == b), F.col("hgt"))).alias(f"h{a}{b}") for a in (0, 1) for b in (0, 1)
-    ]
-    return touched.filter(inside).groupBy(*keys, "ci", "ck").agg(*aggs)
+#: Cells along a tile's side.
+TILE = 8
+#: Samples along it: those of its cells and of one more cell all round, which central differences reach.
+_SIDE = TILE + 3
 
 
-def _locate(x: Column, z: Column, grid: Grid) -> dict[str, Column]:
+def tiles(raster: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ti, tk, heights): the samples of a tile and its halo row by row, null where the raster has none.
+
+    A sample goes to the one to four tiles it is in or beside, so the raster is shuffled about twice its size, and a point finds
+    all samples it needs in one row.
+    """
+
+    def near(c: str) -> Column:
+        # Sample s belongs to the tiles t with t * TILE - 1 <= s <= t * TILE + TILE + 1.
+        low, high = F.ceil((F.col(c) - TILE - 1) / TILE).cast("int"), F.floor((F.col(c) + 1) / TILE).cast("int")
+        return F.explode(F.sequence(low, high))
+
+    rows = raster.select(*keys, "i", "k", "hgt", near("i").alias("ti")).select("*", near("k").alias("tk"))
+    place = (F.col("i") - F.col("ti") * TILE + 1) * _SIDE + F.col("k") - F.col("tk") * TILE + 1
+    tile = [*keys, "ti", "tk"]
+    # Dealt by tile once for both groupings.
+    rows = rows.select(*tile, place.cast("int").alias("__at"), "hgt").repartition(*[F.col(c) for c in tile])
+    one = rows.groupBy(*tile, "__at").agg(F.max("hgt").alias("hgt"))
+    held = one.groupBy(*tile).agg(F.map_from_entries(F.collect_list(F.struct("__at", "hgt"))).alias("__m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(_SIDE * _SIDE - 1)), lambda p: F.col("__m")[p])
+    return held.select(*tile, dense.alias("heights"))
+
+
+def _locate(x: Column, z: Column, grid: Grid) -> tuple[Column, Column, Column, Column]:
+    """Cell (i, k) and the place in it, clamped to the bounds."""
+
     def axis(value: Column, lo: float, hi: float, n: int) -> tuple[Column, Column]:
         f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - lo) / (hi - lo))) * float(n)
         cell = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(f).cast("int")))
         return cell, f - cell
 
-    ci, du = axis(dbl(x), grid.xmin, grid.xmax, grid.nx)
-    ck, dv = axis(dbl(z), grid.zmin, grid.zmax, grid.nz)
-    return {"ci": ci, "ck": ck, "__du": du, "__dv": dv}
+    (ci, du), (ck, dv) = axis(x, grid.xmin, grid.xmax, grid.nx), axis(z, grid.zmin, grid.zmax, grid.nz)
+    return ci, ck, du, dv
+
 
+def _with_tile(points: DataFrame, raster: DataFrame, grid: Grid, keys: Sequence[str], x: str, z: str) -> DataFrame:
+    ci, ck, _, _ = _locate(dbl(x), dbl(z), grid)
+    at = points.withColumns({"ti": F.floor(ci / TILE).cast("int"), "tk": F.floor(ck / TILE).cast("int")})
+    return at.join(tiles(raster, keys), [*keys, "ti", "tk"], "left")
 
-def _join_cells(points: DataFrame, cells: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    h0 = F.col("h00") * (F.lit(1.0) - F.col("__du")) + F.col("h10") * F.col("__du")
-    h1 = F.col("h01") * (F.lit(1.0) - F.col("__du")) + F.col("h11") * F.col("__du")
-    joined = points.join(cells, [*keys, "ci", "ck"], "left")
-    joined = joined.withColumn(out, h0 * (F.lit(1.0) - F.col("__dv")) + h1 * F.col("__dv"))
-    return joined.drop("ci", "ck", "__du", "__dv", "h00", "h10", "h01", "h11")
+
+def _height(x: Column, z: Column, grid: Grid) -> Column:
+    """Bilinear height from the tile that the row has, at a place at most one cell from the row's own."""
+    ci, ck, du, dv = _locate(x, z, grid)
+    row, column = ci - F.col("ti") * TILE + 1, ck - F.col("tk") * TILE + 1
+    h = lambda a, b: F.get("heights", (row + a) * _SIDE + column + b)
+    h0 = h(0, 0) * (F.lit(1.0) - du) + h(1, 0) * du
+    h1 = h(0, 1) * (F.lit(1.0) - du) + h(1, 1) * du
+    return h0 * (F.lit(1.0) - dv) + h1 * dv
+
+
+def _normal(x: Column, z: Column, grid: Grid) -> dict[str, Column]:
+    """Unit normal from central differences one cell away."""
+    rise_x = _height(x + grid.dx, z, grid) - _height(x - grid.dx, z, grid)
+    rise_z = _height(x, z + grid.dz, grid) - _height(x, z - grid.dz, grid)
+    ex, ez = 2.0 * grid.dx, 2.0 * grid.dz
+    nx, ny, nz = -rise_x * ez, F.lit(ex * ez), -rise_z * ex
+    length = F.sqrt(nx * nx + ny * ny + nz * nz)
+    return {"nx": nx / length, "ny": ny / length, "nz": nz / length}
 
 
 def raster_sample(
     points: DataFrame, raster: DataFrame, grid: Grid, keys: Sequence[str] = (), x: str = "x", z: str = "z", out: str = "height"
 ) -> DataFrame:
     """Bilinear height at (x, z), clamped to the bounds; null where a corner is missing."""
-    located = points.withColumns(_locate(F.col(x), F.col(z), grid))
-    return _join_cells(located, cell_corners(raster, grid, keys), keys, out).select(*points.columns, out)
+    met = _with_tile(points, raster, grid, keys, x, z)
+    return met.withColumn(out, _height(dbl(x), dbl(z), grid)).select(*points.columns, out)
 
 
 def raster_normal(
-    points: DataFrame,
-    raster: DataFrame,
-    grid: Grid,
-    point_keys: Sequence[str],
-    keys: Sequence[str] = (),
-    x: str = "x",
-    z: str = "z",
+    points: DataFrame, raster: DataFrame, grid: Grid, point_keys: Sequence[str], keys: Sequence[str] = (), x: str = "x", z: str = "z"
 ) -> DataFrame:
-    """Unit normal (nx, ny, nz) per point key from central differences one cell away.
+    """point_keys and the unit normal (nx, ny, nz) of each point; null where a sample is missing."""
+    met = _with_tile(points, raster, grid, keys, x, z)
+    return met.select(*point_keys, *[e.alias(n) for n, e in _normal(dbl(x), dbl(z), grid).items()])
 
-    Returns point_keys + normal; point_keys must be unique.
-    """
-    sides = {"l": (-grid.dx, 0.0), "r": (grid.dx, 0.0), "d": (0.0, -grid.dz), "u": (0.0, grid.dz)}
-    probe = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(n).alias("side"), (dbl(x) + ox).alias("x"), (dbl(z) + oz).alias("z"))
-                for n, (ox, oz) in sides.items()
-            ]
-        )
-    )
-    passed = list(dict.fromkeys([*point_keys, *keys]))
-    probes = points.select(*passed, probe.alias("__p")).select(*passed, "__p.*")
-    probes = probes.withColumns(_locate(F.col("x"), F.col("z"), grid))
-    heights = _join_cells(probes, cell_corners(raster, grid, keys), keys, "hgt")
-    by_side = heights.groupBy(*point_keys).agg(
-        *[F.max(F.when(F.col("side") == n, F.col("hgt"))).alias(f"h_{n}") for n in sides]
-    )
-    rise_x, rise_z = F.col("h_r") - F.col("h_l"), F.col("h_u") - F.col("h_d")
-    ex, ez = 2.0 * grid.dx, 2.0 * grid.dz
-    nx, ny, nz = -rise_x * ez, F.lit(ex * ez), -rise_z * ex
-    length = F.sqrt(nx * nx + ny * ny + nz * nz)
-    return by_side.select(*point_keys, (nx / length).alias("nx"), (ny / length).alias("ny"), (nz / length).alias("nz"))
+
+def raster_surface(points: DataFrame, raster: DataFrame, grid: Grid, keys: Sequence[str] = (), x: str = "x", z: str = "z", out: str = "height") -> DataFrame:
+    """Height and unit normal of each point at once."""
+    met = _with_tile(points, raster, grid, keys, x, z)
+    return met.withColumns({out: _height(dbl(x), dbl(z), grid), **_normal(dbl(x), dbl(z), grid)}).select(*points.columns, out, "nx", "ny", "nz")

@@ -67,40 +67,26 @@ def _spans(keyframes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def trajectory_interp(
-    times: DataFrame,
-    keyframes: DataFrame,
-    keys: Sequence[str] = ("traj_id",),
-    alpha: str = "alpha",
-    bins: int = 64,
-    fallback: Sequence[str] | None = None,
+    times: DataFrame, keyframes: DataFrame, keys: Sequence[str] = ("traj_id",), alpha: str = "alpha", fallback: Sequence[str] | None = None
 ) -> DataFrame:
     """Adds px, py, pz at ``alpha`` (clamped to [0, 1]) along each trajectory.
 
-    Interval join as an equi-join: spans are listed in the time bins they touch, each time lies in one bin and meets
-    exactly one span, so no re-grouping of the times is needed and a popular trajectory spreads over its bins.
-    Times without keyframes take the ``fallback`` columns (null without it).
+    Spans cover the whole axis, so the span of a time is the latest that starts before it: an as-of join, linear in times and
+    keyframes, whether they crowd in one moment or on one trajectory. Times without keyframes take the ``fallback`` columns
+    (null without it).
     """
     a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dbl(alpha)))
-
-    def bin_of(t: Column) -> Column:
-        return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) * float(bins)).cast("int")
-
-    spans = _spans(keyframes, keys)
-    spans = spans.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("t0")), bin_of(F.col("t1")))))
-    spans = spans.withColumnsRenamed({"__bin": "__sbin", **{k: f"__s_{k}" for k in keys}})
-    left = times.withColumns({"__a": a, "__bin": bin_of(a)})
-    on = (F.col("__a") > F.col("t0")) & (F.col("__a") <= F.col("t1")) & (F.col("__bin") == F.col("__sbin"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__s_{k}"))
-    joined = left.join(spans, on, "left")
-    flat = F.col("t0").isin(float("-inf")) | F.col("t1").isin(float("inf"))
-    u = (F.col("__a") - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    names = ["t0", "t1", "t_end", *[f"{x}{k}" for x in AXES for k in "01e"]]
+    met = ordered.latest_before(times.withColumn("__a", a), _spans(keyframes, keys), keys, "__a", "t0", names, "__span")
+    s = {n: F.col(f"__span.{n}") for n in names}
+    flat = s["t0"].isin(float("-inf")) | s["t1"].isin(float("inf"))
+    u = (F.col("__a") - s["t0"]) / (s["t1"] - s["t0"])
     out = {}
     for i, x in enumerate(AXES):
-        mid = F.col(f"{x}0") + u * (F.col(f"{x}1") - F.col(f"{x}0"))
-        value = F.when(flat, F.col(f"{x}0")).when(F.col("__a") == F.col("t_end"), F.col(f"{x}e")).otherwise(mid)
+        mid = s[f"{x}0"] + u * (s[f"{x}1"] - s[f"{x}0"])
+        value = F.when(flat, s[f"{x}0"]).when(F.col("__a") == s["t_end"], s[f"{x}e"]).otherwise(mid)
         out[x] = F.coalesce(value, col(fallback[i])) if fallback else value
-    return joined.withColumns(out).select(*times.columns, *AXES)
+    return met.withColumns(out).select(*times.columns, *AXES)
 
 
 def normalized_time(index: str | Column, frames: str | Column) -> Column:

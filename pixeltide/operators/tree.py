@@ -12,79 +12,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixeltide.operators import ordered
-from pixeltide.operators.raster import Grid, raster_normal, raster_sample
+from pixeltide.operators.raster import Grid, raster_surface
 from pixeltide.session import cut
 
 
-def _world(parent: dict[str, Column] | None) -> dict[str, Column]:
-    """World transform of a node under a parent: offsets turn with the parent's yaw only, angles add, scales multiply."""
-    if parent is None:
-        return {f"w{a}": F.col(f"l{a}").cast("double") for a in "xyz"} | {
-            f"wr{a}": F.col(f"r{a}").cast("double") for a in "xyz"
-        } | {f"ws{a}": F.col(f"s{a}").cast("double") for a in "xyz"}
-    c, s = F.cos(F.radians(parent["wry"])), F.sin(F.radians(parent["wry"]))
-    ox, oy, oz = (F.col(f"l{a}") * parent[f"ws{a}"] for a in "xyz")
-    out = {
-        "wx": parent["wx"] + (ox * c + oz * s),
-        "wy": parent["wy"] + oy,
-        "wz": parent["wz"] + (oz * c - ox * s),
+#: World transform columns of walk().
+WORLD = tuple(f"w{k}{a}" for k in ("", "r", "s") for a in "xyz")
+# A node relative to a node above it: summed angles, multiplied scales, and the sums over the nodes in between (the node itself included) from
+# which offsets follow: with v an offset scaled by all above it and t their yaw, of cos t vx, sin t vz, cos t vz, sin t vx and vy.
+_SUMS = ("__cx", "__sz", "__cz", "__sx", "__y")
+_RELATIVE = ("wrx", "wry", "wrz", "wsx", "wsy", "wsz", *_SUMS)
+
+
+def _composed(low: str, high: str) -> dict[str, Column]:
+    """Node relative to an ancestor's ancestor: its own part (prefix low) under that of the ancestor (prefix high)."""
+    a, b = (lambda n: F.col(f"{low}{n}")), (lambda n: F.col(f"{high}{n}"))
+    c, s = F.cos(F.radians(b("wry"))), F.sin(F.radians(b("wry")))
+    return {
+        **{f"wr{x}": b(f"wr{x}") + a(f"wr{x}") for x in "xyz"},
+        **{f"ws{x}": b(f"ws{x}") * a(f"ws{x}") for x in "xyz"},
+        "__cx": b("__cx") + b("wsx") * (c * a("__cx") - s * a("__sx")),
+        "__sx": b("__sx") + b("wsx") * (s * a("__cx") + c * a("__sx")),
+        "__cz": b("__cz") + b("wsz") * (c * a("__cz") - s * a("__sz")),
+        "__sz": b("__sz") + b("wsz") * (s * a("__cz") + c * a("__sz")),
+        "__y": b("__y") + b("wsy") * a("__y"),
     }
-    for a in "xyz":
-        out[f"wr{a}"] = parent[f"wr{a}"] + F.col(f"r{a}")
-        out[f"ws{a}"] = parent[f"ws{a}"] * F.col(f"s{a}")
-    return out
 
 
 def walk(nodes: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
     """Adds depth, path (sibling positions from the root), world transform w*, and anchor_id.
 
-    anchor_id is the nearest grounded node on the way up (itself included). One join per tree level; each level is
-    checkpointed, so the plan stays short and lost executors cost one level at most. A node with very many
-    children only skews one join side, which adaptive execution splits.
+    Offsets turn with the yaw of what stands above and scale with its scales, angles add, scales multiply; anchor_id is the nearest
+    grounded node on the way up (itself included). Pointers double: after k rounds a node knows itself relative to its 2**k-th
+    ancestor, so a tree of depth d takes log2(d) rounds, each one join of the nodes that have not reached their root, and a
+    checkpoint. A node with very many children only skews one join side, which adaptive execution splits. Nodes that no root
+    leads to (unknown parent, or a cycle) have no row.
     """
     keys = list(keys)
-    world = ["wx", "wy", "wz", "wrx", "wry", "wrz", "wsx", "wsy", "wsz"]
-    anchor = F.when(F.col("grounded"), F.col("node_id"))
-    level = nodes.filter(F.col("parent_id").isNull()).withColumns(
-        {
-            "depth": F.lit(0),
-            "path": F.array(F.col("ord").cast("int")),
-            "anchor_id": anchor,
-            **_world(None),
-        }
-    )
-    level = cut(level)
-    levels = [level]
-    rest = nodes.filter(F.col("parent_id").isNotNull())
+    own = nodes.select(
+        *keys, "node_id", F.col("parent_id").alias("__up"), F.lit(0).alias("depth"), F.array(F.col("ord").cast("int")).alias("path"),
+        F.when(F.col("grounded"), F.col("node_id")).alias("anchor_id"),
+        *[F.col(f"r{a}").cast("double").alias(f"wr{a}") for a in "xyz"], *[F.col(f"s{a}").cast("double").alias(f"ws{a}") for a in "xyz"],
+        F.col("lx").cast("double").alias("__cx"), F.lit(0.0).alias("__sz"), F.col("lz").cast("double").alias("__cz"), F.lit(0.0).alias("__sx"),
+        F.col("ly").cast("double").alias("__y"),
+    )
+    own = own.withColumn("depth", F.when(F.col("__up").isNull(), 0).otherwise(1))
+    active, done, reach, most = cut(own), None, 1, None
     while True:
-        up = level.select(
-            *[F.col(k).alias(f"__p_{k}") for k in keys],
-            F.col("node_id").alias("__p_node"),
-            F.col("depth").alias("__p_depth"),
-            F.col("path").alias("__p_path"),
-            F.col("anchor_id").alias("__p_anchor"),
-            *[F.col(w).alias(f"__p_{w}") for w in world],
-        )
-        on = F.col("parent_id") == F.col("__p_node")
+        ended = active.filter(F.col("__up").isNull())
+        done = ended if done is None else done.unionByName(ended)
+        left = active.filter(F.col("__up").isNotNull())
+        if left.isEmpty():
+            break
+        most = active.count() if most is None else most
+        if reach > most:  # a way up that is longer than there are nodes is a cycle
+            break
+        told = ["__up", "depth", "path", "anchor_id", *_RELATIVE]
+        above = done.unionByName(left).select(*[F.col(k).alias(f"__p_{k}") for k in keys], F.col("node_id").alias("__p_node"), *[F.col(c).alias(f"__p_{c}") for c in told])
+        on = F.col("__up") == F.col("__p_node")
         for k in keys:
             on = on & (F.col(k) == F.col(f"__p_{k}"))
-        joined = rest.join(up, on)
-        joined = joined.withColumns(
-            {
-                "depth": F.col("__p_depth") + 1,
-                "path": F.concat("__p_path", F.array(F.col("ord").cast("int"))),
-                "anchor_id": F.coalesce(anchor, F.col("__p_anchor")),
-                **_world({w: F.col(f"__p_{w}") for w in world}),
-            }
-        )
-        level = cut(joined.select(*levels[0].columns))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+        met = left.join(above, on).select(
+            *keys, "node_id", F.col("__p___up").alias("__up"), (F.col("depth") + F.col("__p_depth")).alias("depth"), F.concat("__p_path", "path").alias("path"),
+            F.coalesce("anchor_id", "__p_anchor_id").alias("anchor_id"), *[e.alias(n) for n, e in _composed("", "__p_").items()],
+        )
+        active, reach = cut(met), reach * 2
+    placed = done.select(
+        *keys, "node_id", "depth", "path", "anchor_id", (F.col("__cx") + F.col("__sz")).alias("wx"), F.col("__y").alias("wy"), (F.col("__cz") - F.col("__sx")).alias("wz"), *WORLD[3:]
+    )
+    return nodes.join(placed, [*keys, "node_id"]).select(*nodes.columns, "depth", "path", "anchor_id", *WORLD)
 
 
 def unreached(nodes: DataFrame, walked: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
@@ -97,15 +93,12 @@ def ground(walked: DataFrame, raster: DataFrame, grid: Grid, keys: Sequence[str]
     """Puts grounded nodes on the height field and shifts their subtrees; adds the normal (tnx, tny, tnz).
 
     The shift of a node is the height minus raw y of its nearest grounded ancestor: x and z do not depend on y, so
-    heights are sampled once for all grounded nodes and handed down by one join.
+    heights and normals are taken once for all grounded nodes and handed down by one join.
     """
     keys, ids = list(keys), [*keys, "node_id"]
     anchors = walked.filter("grounded").select(*dict.fromkeys([*ids, *grid_keys]), F.col("wx").alias("x"), F.col("wz").alias("z"), "wy")
-    sampled = raster_sample(anchors, raster, grid, grid_keys)
-    normals = raster_normal(anchors, raster, grid, ids, grid_keys)
-    shift = sampled.join(normals, ids).select(
-        *keys, F.col("node_id").alias("anchor_id"), (F.col("height") - F.col("wy")).alias("__dy"), "nx", "ny", "nz"
-    )
+    found = raster_surface(anchors, raster, grid, grid_keys)
+    shift = found.select(*keys, F.col("node_id").alias("anchor_id"), (F.col("height") - F.col("wy")).alias("__dy"), "nx", "ny", "nz")
     out = walked.join(shift, [*keys, "anchor_id"], "left")
     own = F.col("grounded")
     return out.withColumns(

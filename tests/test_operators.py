@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixeltide.functions import geometry as G
-from pixeltide.functions.columns import Vec, vec, vec_of
+from pixeltide.functions.columns import Vec, hash_uniform, vec, vec_of
 from pixeltide.operators import annotations as A
 from pixeltide.operators import cloud, evaluate, motion, ordered, pixels, placement, raster, trajectories, tree
 
@@ -34,15 +34,61 @@ def test_neighbour_and_running_sums_cross_chunks(spark):
     assert rows(run, "p", "s") == list(zip(ps, itertools.accumulate(p * 1.5 for p in ps)))
 
 
-def test_smallest_k_is_exact_with_a_hot_key(spark):
+def test_subsample_is_exact_with_a_hot_key(spark):
+    """k rows of each frame by the order of their draws, one frame holding two thirds of all rows."""
     rnd = random.Random(2)
-    data = [(0 if i % 3 else i, rnd.random(), i) for i in range(3000)]
-    df = spark.createDataFrame(data, "k int, score double, id int")
+    data = [(0 if i % 3 else i % 30, rnd.randrange(100), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "frame_id int, px_row int, px_col int")
+    draws = df.withColumn("score", hash_uniform(5, "frame_id", "px_row", "px_col"))
     want = []
     for k in {d[0] for d in data}:
-        want += sorted((s, i) for kk, s, i in data if kk == k)[:50]
-    got = ordered.smallest_k(df, ["k"], "score", ["id"], 50, per_octave=4)
-    assert rows(got, "score", "id") == sorted(want)
+        own = sorted((r["score"], r["px_row"], r["px_col"]) for r in draws.filter(F.col("frame_id") == k).collect())
+        want += [(k, r, c) for _, r, c in own[:50]]
+    got = cloud.subsample(df, 50, 5, portable=True)
+    assert rows(got, "frame_id", "px_row", "px_col") == sorted(want)
+
+
+@pytest.mark.parametrize("gap", [1, 977, 10**13])
+def test_scans_over_positions_spread_wide(spark, monkeypatch, gap):
+    """Chunks of chunks: with few rows per chunk at every level, and gaps up to the whole range of 64 bits."""
+    monkeypatch.setattr(ordered, "SPAN", 4)
+    rnd = random.Random(gap)
+    data = [(k, s, (p - 300) * gap + rnd.randrange(min(gap, 7)), rnd.random()) for k in ("a", None) for s in (0, 1) for p in rnd.sample(range(600), 150)]
+    df = spark.createDataFrame(data, "k string, s int, p bigint, v double").repartition(3)
+    by = lambda k: sorted((d for d in data if d[0] == k), key=lambda d: (d[1], d[2]))
+    key = F.coalesce("k", F.lit("-")).alias("k")
+    want = sorted((k or "-", s, p, i) for k in ("a", None) for i, (_, s, p, _) in enumerate(by(k)))
+    assert rows(ordered.number_by_position(df, ["k"], ["s"], "p", "n", width=2).select(key, "s", "p", "n"), "k", "s", "p", "n") == want
+    for following in (False, True):
+        out = ordered.neighbour(df, ["k", "s"], ["p"], ordered.chunk_of("p", 2), ["p"], "o", following=following)
+        near = []
+        for k, s in itertools.product(("a", None), (0, 1)):
+            ps = sorted(d[2] for d in data if d[:2] == (k, s))
+            other = [*ps[1:], None] if following else [None, *ps[:-1]]
+            near += [(k or "-", s, p, o if o is not None else -1) for p, o in zip(ps, other, strict=True)]
+        assert rows(out.select(key, "s", "p", F.coalesce("o.p", F.lit(-1)).alias("o")), "k", "s", "p", "o") == sorted(near)
+    sums = ordered.running_sums(df, ["k", "s"], ["p"], ordered.chunk_of("p", 2), {"t": F.lit(1)})
+    want = sorted((k or "-", s, p, i + 1) for k, s in itertools.product(("a", None), (0, 1)) for i, p in enumerate(sorted(d[2] for d in data if d[:2] == (k, s))))
+    assert rows(sums.select(key, "s", "p", "t"), "k", "s", "p", "t") == want
+    samples = df.filter("k = 'a' and s = 0").select(F.lit(0).alias("grp"), F.col("p").alias("seq_id"), (F.col("v") + 1).alias("value"))
+    stop = evaluate.sequential_ci_stop(samples, rel=0.08, width=2).first()
+    values = [d[3] + 1 for d in by("a") if d[1] == 0]
+    for n in range(8, len(values) + 1):
+        mean = sum(values[:n]) / n
+        var = sum((x - mean) ** 2 for x in values[:n]) / (n - 1)
+        if 1.96 * math.sqrt(var / n) < 0.08 * mean:
+            break
+    assert (stop["n"], stop["stopped_early"]) == (n, True) and stop["mean"] == pytest.approx(mean)
+
+
+def test_no_window_sees_a_whole_key_of_sparse_positions(spark):
+    """One key, 4,000 rows far apart: the window over the top level sees a handful of them."""
+    df = spark.range(4000).select(F.lit(1).alias("k"), (F.col("id") * (1 << 40)).alias("p"))
+    chunks = df.select("k", ordered.chunk_of("p").alias("__chunk"), F.lit(1).alias("n"))
+    top = chunks.select(F.floor(F.col("__chunk") / float(ordered.SPAN) ** 2).alias("c")).distinct().count()
+    assert chunks.distinct().count() == 4000 and top <= 16
+    carried = ordered.carried_sums(chunks, ["k"], ["n"]).orderBy("__chunk").collect()
+    assert [r["n"] for r in carried] == [None, *range(1, 4000)]
 
 
 def test_sampling_does_not_depend_on_partitioning(spark):
@@ -151,7 +197,7 @@ def test_trajectories_against_plain_loop(spark):
         tracks[k] = [(rnd.choice([0.0, 0.25, 0.5, 0.77, 1.0]), float(rnd.randint(0, 99))) for _ in range(rnd.randint(1, 6))]
     kf = spark.createDataFrame([(k, i, t, p, 0.0, 0.0) for k, v in tracks.items() for i, (t, p) in enumerate(v)], "traj_id int, pos int, t double, px double, py double, pz double")
     times = [(k, i / 40 - 0.05) for k in [*tracks, 99] for i in range(45)]
-    out = trajectories.trajectory_interp(spark.createDataFrame(times, "traj_id int, alpha double"), kf, bins=4)
+    out = trajectories.trajectory_interp(spark.createDataFrame(times, "traj_id int, alpha double"), kf)
     got = {(r["traj_id"], r["alpha"]): r["px"] for r in out.collect()}
     assert len(got) == len(times)
     for k, a in times:
@@ -159,6 +205,36 @@ def test_trajectories_against_plain_loop(spark):
         assert got[k, a] == want or abs(got[k, a] - want) < 1e-9, (k, a)
 
 
+def test_crowded_trajectory_and_catalogue_are_merged(spark):
+    """20,000 keyframes within a thousandth of one trajectory, and a catalogue of 20,000 entries, each met by 5,000 times."""
+    n = 20_000
+    kf = spark.range(n).select(F.lit(1).alias("traj_id"), F.col("id").alias("pos"), (0.5 + F.col("id") / (n * 1000.0)).alias("t"), F.col("id").cast("double").alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"))
+    rnd = random.Random(1)
+    times = spark.createDataFrame([(1, 0.5 + rnd.random() / 1000 * 1.02 - 0.00001) for _ in range(5000)], "traj_id int, alpha double")
+    for r in trajectories.trajectory_interp(times, kf).collect():
+        want = min(max((r["alpha"] - 0.5) * n * 1000, 0), n - 1)
+        assert r["px"] == pytest.approx(want, abs=1e-4)
+    cat = spark.range(n).select(F.lit(0).alias("k"), F.col("id").alias("asset_ord"), F.col("id").cast("string").alias("name"), F.lit(1.0).alias("weight"))
+    draws = spark.range(5000).select(F.lit(0).alias("k"), ((F.col("id") + 0.55) / 5000).alias("u"))
+    got = placement.weighted_choice(draws, cat, ["k"]).collect()
+    assert len(got) == 5000 and all(int(r["name"]) == int(r["u"] * n) for r in got)
+    none = spark.createDataFrame([(7, 0.5)], "k int, u double")
+    assert placement.weighted_choice(none, cat, ["k"]).collect() == []
+
+
+def test_latest_before_against_plain_search(spark):
+    rnd = random.Random(9)
+    left = [(rnd.choice([None, "a", "b", "c"]), rnd.randrange(60) / 4, i) for i in range(300)]
+    right = [(k, t / 4, f"{k}{t}") for k in (None, "a", "b") for t in rnd.sample(range(60), 20)]
+    a, b = spark.createDataFrame(left, "k string, t double, id int"), spark.createDataFrame(right, "k string, s double, v string")
+    for strict in (True, False):
+        got = {r["id"]: r["m"] and r["m"]["v"] for r in ordered.latest_before(a, b, ["k"], "t", "s", ["v"], "m", strict).collect()}
+        assert len(got) == 300
+        for k, t, i in left:
+            fits = [(s, v) for kk, s, v in right if kk == k and (s < t or (s == t and not strict))]
+            assert got[i] == (max(fits)[1] if fits else None)
+
+
 def test_spacing_conflicts_against_all_pairs(spark):
     rnd = random.Random(4)
     pts = [(i, rnd.random() * 4, rnd.random() * 4) for i in range(150)] + [(i, 1.0 + rnd.random() * 0.05, 1.0) for i in range(150, 220)]
@@ -176,7 +252,7 @@ def test_weighted_choice_floor_and_shares(spark):
     iv = {r["name"]: (r["lo"], r["hi"]) for r in placement.weight_intervals(cat, ["k"]).collect()}
     assert iv["a"][0] == 0.0 and iv["a"][1] == iv["b"][0] and iv["b"][1] == iv["c"][0] and iv["c"][1] == 1.0 and iv["a"][1] > 0
     draws = spark.range(1000).select(F.lit(0).alias("k"), (F.col("id") / 1000.0).alias("u"))
-    n = {r["name"]: r["count"] for r in placement.weighted_choice(draws, cat, ["k"], bins=7).groupBy("name").count().collect()}
+    n = {r["name"]: r["count"] for r in placement.weighted_choice(draws, cat, ["k"]).groupBy("name").count().collect()}
     assert sum(n.values()) == 1000 and 740 < n["c"] < 760
 
 
@@ -192,6 +268,60 @@ def test_raster_plane_and_normal(spark):
     assert [n["nx"], n["ny"], n["nz"]] == pytest.approx([c / size for c in want])
 
 
+def test_raster_with_gaps_and_many_tiles_against_plain_code(spark):
+    g = raster.Grid(-3.0, 7.0, 1.0, 22.0, 20, 21)
+    rnd = random.Random(6)
+    h = {(i, k): rnd.random() for i in range(21) for k in range(22) if rnd.random() < 0.97}
+    ras = spark.createDataFrame([(1, i, k, v) for (i, k), v in h.items()] + [(2, 0, 0, 1.0)], "grid_id int, i int, k int, hgt double")
+    pts = [(n, 1, rnd.uniform(-4, 8), rnd.uniform(0, 23)) for n in range(400)] + [(900, 3, 0.0, 2.0), (901, 2, 0.0, 2.0)]
+
+    def height(x, z):
+        def axis(v, lo, hi, n):
+            f = max(0.0, min(1.0, (v - lo) / (hi - lo))) * n
+            c = max(0, min(n - 1, math.floor(f)))
+            return c, f - c
+
+        (i, u), (k, v) = axis(x, g.xmin, g.xmax, g.nx), axis(z, g.zmin, g.zmax, g.nz)
+        c = [h.get((i + a, k + b)) for b in (0, 1) for a in (0, 1)]
+        return None if None in c else (c[0] * (1 - u) + c[1] * u) * (1 - v) + (c[2] * (1 - u) + c[3] * u) * v
+
+    got = {r["pt"]: r for r in raster.raster_surface(spark.createDataFrame(pts, "pt int, grid_id int, x double, z double"), ras, g, ["grid_id"]).collect()}
+    for n, grid, x, z in pts:
+        want = height(x, z) if grid == 1 else None
+        assert got[n]["height"] == (want if want is None else pytest.approx(want)), n
+        sides = [height(x + g.dx, z), height(x - g.dx, z), height(x, z + g.dz), height(x, z - g.dz)] if grid == 1 else [None]
+        if None in sides:
+            assert got[n]["nx"] is None
+        else:
+            v = (-(sides[0] - sides[1]) * 2 * g.dz, 4 * g.dx * g.dz, -(sides[2] - sides[3]) * 2 * g.dx)
+            size = math.sqrt(sum(c * c for c in v))
+            assert [got[n][c] for c in ("nx", "ny", "nz")] == pytest.approx([c / size for c in v])
+
+
+def test_walk_takes_logarithmic_rounds(spark, monkeypatch):
+    """A chain of 1,500 nodes with turns and uneven scales, cycles and an unknown parent beside it."""
+    rounds, real = [], tree.cut
+    monkeypatch.setattr(tree, "cut", lambda df: rounds.append(1) or real(df))
+    rnd = random.Random(5)
+    n = 1500
+    parts = [(rnd.uniform(-1, 1), rnd.uniform(-1, 1), rnd.uniform(-1, 1), rnd.uniform(-40, 40), rnd.choice([0.99, 1.0, 1.01]), rnd.choice([0.99, 1.0, 1.01])) for _ in range(n)]
+    data = [(0, i, i - 1 if i else None, 0, x, y, z, 1.0, ry, 0.0, sx, 1.0, sz, i % 100 == 7) for i, (x, y, z, ry, sx, sz) in enumerate(parts)]
+    data += [(0, 5000 + i, 5000 + (i + 1) % 3, 0, *[0.0] * 6, *[1.0] * 3, False) for i in range(3)] + [(0, 6000, 7777, 0, *[0.0] * 6, *[1.0] * 3, False)]
+    nodes = spark.createDataFrame(data, "scene_id int, node_id int, parent_id int, ord int, lx double, ly double, lz double, rx double, ry double, rz double, sx double, sy double, sz double, grounded boolean")
+    got = {r["node_id"]: r for r in tree.walk(nodes).collect()}
+    assert set(got) == set(range(n)) and len(rounds) <= 13
+    x = y = z = yaw = 0.0
+    sx = sz = 1.0
+    for i, (lx, ly, lz, ry, kx, kz) in enumerate(parts):
+        c, s = math.cos(math.radians(yaw)), math.sin(math.radians(yaw))
+        x, y, z = x + lx * sx * c + lz * sz * s, y + ly, z + lz * sz * c - lx * sx * s
+        yaw, sx, sz = yaw + ry, sx * kx, sz * kz
+        r = got[i]
+        assert [r["wx"], r["wy"], r["wz"], r["wry"], r["wsx"], r["wsz"], r["wrx"]] == pytest.approx([x, y, z, yaw, sx, sz, i + 1], abs=1e-6)
+        assert r["depth"] == i and len(r["path"]) == i + 1 and r["anchor_id"] == (i // 100 * 100 + 7 if i % 100 >= 7 else i // 100 * 100 - 93 if i >= 100 else None)
+    assert {r["node_id"] for r in tree.unreached(nodes, tree.walk(nodes)).collect()} == {5000, 5001, 5002, 6000}
+
+
 def test_tree_ids_paths_and_grounding(spark):
     cols = "scene_id int, node_id int, parent_id int, ord int, name string, asset string, lx double, ly double, lz double, rx double, ry double, rz double, sx double, sy double, sz double, grounded boolean"
     z, one = (0.0, 0.0, 0.0), (1.0, 1.0, 1.0)
