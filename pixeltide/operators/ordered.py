@@ -29,7 +29,7 @@ def chunk_of(order: str | Column, width: int = CHUNK) -> Column:
     return F.floor(col(order) / F.lit(float(width))).cast("bigint")
 
 
-def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join that matches null keys, keeping the left side's key columns."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = None
@@ -60,7 +60,7 @@ def _carry(
     above = _carry(above, keys, names, up, before, merge, levels - 1).withColumnsRenamed({"__chunk": "__up", **{n: f"__above_{n}" for n in names}})
     over = Window.partitionBy(*keys, "__up").orderBy("__chunk")
     inside = wide.select(*keys, "__up", "__chunk", *[before(n, over).alias(n) for n in names])
-    return _join_on(inside, above, [*keys, "__up"]).select(*keys, "__chunk", *[merge(F.col(n), F.col(f"__above_{n}")).alias(n) for n in names])
+    return join_on(inside, above, [*keys, "__up"]).select(*keys, "__chunk", *[merge(F.col(n), F.col(f"__above_{n}")).alias(n) for n in names])
 
 
 def carried_sums(chunks: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -69,6 +69,12 @@ def carried_sums(chunks: DataFrame, keys: Sequence[str], names: Sequence[str]) -
     return _carry(chunks, keys, names, F.sum, _sum_before, add)
 
 
+def carried_last(chunks: DataFrame, keys: Sequence[str], name: str, following: bool = False) -> DataFrame:
+    """(keys, __chunk, name): the value of the nearest earlier (or following) chunk of the key, null where there is none."""
+    nearest, shift = (F.min_by, F.lead) if following else (F.max_by, F.lag)
+    return _carry(chunks, keys, [name], lambda n: nearest(n, "__chunk"), lambda n, over: shift(n).over(over), F.coalesce)
+
+
 def number_by_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -91,13 +97,13 @@ def number_by_position(
     if leading:
         groups = counts.groupBy(*keys, *leading).agg(F.sum("__n").alias("__n"))
         groups = groups.select(*keys, *leading, _sum_before("__n", Window.partitionBy(*keys).orderBy(*leading)).alias("__first"))
-        offsets = _join_on(offsets, groups, [*keys, *leading])
+        offsets = join_on(offsets, groups, [*keys, *leading])
     local = F.row_number().over(Window.partitionBy(*part).orderBy(position, *ties))
     numbered = df.withColumn("__local", local)
     zero = F.lit(0).cast("bigint")
     before = F.coalesce("__off", zero) + (F.coalesce("__first", zero) if leading else zero)
     return (
-        _join_on(numbered, offsets, part)
+        join_on(numbered, offsets, part)
         .withColumn(out, before + F.col("__local").cast("bigint") + F.lit(start - 1).cast("bigint"))
         .drop("__chunk", "__local", "__off", "__first")
     )
@@ -129,7 +135,7 @@ def number_by_order(
     numbered = numbered.drop("__mid", "__pid", "__idx", "__off")
     if within:
         first = numbered.groupBy(*within).agg(F.min(out).alias("__first"))
-        numbered = _join_on(numbered, first, list(within)).withColumn(out, F.col(out) - F.col("__first"))
+        numbered = join_on(numbered, first, list(within)).withColumn(out, F.col(out) - F.col("__first"))
         numbered = numbered.drop("__first")
     return numbered.withColumn(out, F.col(out) + F.lit(start).cast("bigint"))
 
@@ -156,13 +162,10 @@ def neighbour(
     borders = df.groupBy(*part).agg(border.alias("__border"))
     over_rows = Window.partitionBy(*part).orderBy(*order)
     shift = F.lead if following else F.lag
-    nearest = F.min_by if following else F.max_by
-    carry = _carry(
-        borders, keys, ["__border"], lambda n: nearest(n, "__chunk"), lambda n, over: shift(n).over(over), lambda near, far: F.coalesce(near, far)
-    ).withColumnRenamed("__border", "__carry")
+    carry = carried_last(borders, keys, "__border", following).withColumnRenamed("__border", "__carry")
     inside = df.withColumn("__inside", shift(value).over(over_rows))
     return (
-        _join_on(inside, carry, part)
+        join_on(inside, carry, part)
         .withColumn(out, F.coalesce(F.col("__inside"), F.col("__carry")))
         .drop("__chunk", "__inside", "__carry")
     )
@@ -178,7 +181,7 @@ def running_sums(
     carry = carried_sums(totals, keys, [f"__t_{n}" for n in sums]).withColumnsRenamed({f"__t_{n}": f"__c_{n}" for n in sums})
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = df.withColumns({f"__s_{n}": F.sum(e).over(upto) for n, e in sums.items()})
-    joined = _join_on(inside, carry, part)
+    joined = join_on(inside, carry, part)
     joined = joined.withColumns(
         {n: F.when(F.col(f"__c_{n}").isNull(), F.col(f"__s_{n}")).otherwise(F.col(f"__s_{n}") + F.col(f"__c_{n}")) for n in sums}
     )
@@ -211,5 +214,5 @@ def latest_before(
     ends = both.groupBy(*part).agg(F.max_by("__mark", F.when(F.col("__mark").isNotNull(), F.col("__mid"))).alias("__end"))
     before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*part, F.last("__end", ignorenulls=True).over(before).alias("__carry"))
-    joined = _join_on(merged.filter(F.col("__row").isNotNull()), carry, part)
+    joined = join_on(merged.filter(F.col("__row").isNotNull()), carry, part)
     return joined.select("__row.*", F.coalesce("__here", "__carry").alias(out))
