@@ -17,6 +17,7 @@ FRONT_Z_EPS = 1e-9
 MAX_F32_ID = 16777215
 
 # Names of the aggregate annotation documents looked for under a dataset root.
+COCO_SECTIONS = ("images", "annotations", "categories")
 COCO_DEFAULT_NAMES = ("annotations_coco.json", "scenario_coco.json")
 
 # Sidecar suffixes of one frame.

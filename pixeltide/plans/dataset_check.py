@@ -91,14 +91,16 @@ def validate_dataset(
         coco_path = f"{root}/{hits[0]}"
 
     # Read once: parsed documents, image headers and label lines are kept on the checkpoint folder, and every rule starts from there.
-    parsed = cut(S.parse_coco(S.read_texts(spark, coco_path)))
-    usable = parsed.select("readable", (F.col("images").isNotNull() & F.col("annotations").isNotNull()).alias("arrays")).first()
-    if usable is None or not usable["readable"] or not usable["arrays"]:
-        code = "coco_schema" if usable is not None and usable["readable"] else "coco_io"
+    documents, elements = S.coco_documents(spark, coco_path)
+    elements = cut(elements.withColumn("t", J.quote_nonfinite("text")).drop("text"))
+    document = documents.first()
+    readable = document["readable"] and elements.filter(F.try_parse_json("t").isNull()).isEmpty()
+    if not readable or not {"images", "annotations"} <= set(document["sections"]):
+        code = "coco_schema" if readable else "coco_io"
         parts.append(_issues(spark, ("error", code, coco_path, "annotation document is not usable", coco_path)))
         return Report(V.union_issues(parts), coco_path=coco_path, scan_folders=folders)
 
-    images, anns, cats = S.coco_tables(parsed)
+    images, anns, cats = S.element_tables(elements)
     where = F.lit(coco_path)
     scanned = listing.filter(F.col("split").isin(folders)).withColumns(
         {"stem": F.regexp_replace("name", r"(_meta\.json|\.png|\.txt)$", ""), "file_name": F.col("name")}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyarrow import fs
@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 from pixeltide import constants as K
 from pixeltide.functions import jsonfn as J
 from pixeltide.functions.geometry import intrinsics_mismatch, k_matrix, rows_of_4x4
+from pixeltide.operators import ordered
 from pixeltide.operators.frames import frame_inventory
 from pixeltide.plans.validation import parse_label_tokens, split_label_text
 from pixeltide.session import cut
 from pixeltide.sinks.storage import locate, open_read
+from pixeltide.sources import bigjson
 
 META_SCHEMA = (
     "frame_id bigint, split string, image_width bigint, image_height bigint,"
@@ -166,9 +168,14 @@ def parse_coco(docs: DataFrame) -> DataFrame:
 
 def coco_tables(parsed: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Loose image, annotation and category rows in document order (operators.annotations describes the columns)."""
+    return _coco_rows(lambda part: parsed.select(*keep, F.posexplode(part).alias("pos", "__t")), keep)
+
+
+def _coco_rows(texts: Callable[[str], DataFrame], keep: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows from (keep, pos, __t) of each section."""
 
     def rows(part: str) -> DataFrame:
-        return parsed.select(*keep, F.posexplode(part).alias("pos", "__t")).withColumn("e", F.try_parse_json("__t"))
+        return texts(part).withColumn("e", F.try_parse_json("__t"))
 
     e = F.col("e")
 
@@ -196,13 +203,26 @@ def coco_tables(parsed: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame,
     return images, anns, cats.filter(F.col("category_id").isNotNull() & F.col("name").isNotNull())
 
 
-def read_coco(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Image, annotation and category rows of whole documents, with shard_order by path order."""
-    listed = [paths] if isinstance(paths, str) else list(paths)
-    docs = read_texts(spark, listed)
-    # Shard order is the order the paths are given in.
-    order = spark.createDataFrame([(re.sub("^file:/+", "/", p), i) for i, p in enumerate(listed)], "path string, shard_order int")
-    return coco_tables(parse_coco(docs.join(order, "path")), ["shard_order"])
+def coco_documents(spark: SparkSession, paths: str | Sequence[str], range_bytes: int = bigjson.RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(shard_order, path, readable) of documents and (shard_order, section, pos, text) of their elements, read by byte ranges."""
+    found = bigjson.array_elements(spark, [paths] if isinstance(paths, str) else list(paths), K.COCO_SECTIONS, range_bytes)
+    # Numbered by the byte an element follows.
+    numbered = ordered.number_by_position(found.elements, ["shard_order", "section"], [], "place", "pos")
+    return found.documents, numbered.select("shard_order", "section", "pos", "text")
+
+
+def read_coco(spark: SparkSession, paths: str | Sequence[str], range_bytes: int = bigjson.RANGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Image, annotation and category rows of documents of any size and layout, with shard_order by path order.
+
+    Documents are read by many tasks each (sources.bigjson); unreadable ones have no rows.
+    """
+    _, elements = coco_documents(spark, paths, range_bytes)
+    return element_tables(elements.withColumn("t", J.quote_nonfinite("text")), ["shard_order"])
+
+
+def element_tables(elements: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Image, annotation and category rows from (keep, section, pos, t) elements, t being JSON."""
+    return _coco_rows(lambda part: elements.filter(F.col("section") == part).select(*keep, "pos", F.col("t").alias("__t")), keep)
 
 
 def read_coco_members(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -210,13 +230,11 @@ def read_coco_members(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     members keeps all of an element as a map of variants in document order, so what no column names is not lost.
     """
-    order = spark.createDataFrame([(re.sub("^file:/+", "/", p), i) for i, p in enumerate(paths)], "path string, shard_order int")
-    docs = parse_coco(read_texts(spark, list(paths)).join(order, "path"))
-    sections = F.array(*[F.struct(F.lit(s).alias("section"), F.col(s).alias("items")) for s in ("images", "annotations", "categories")])
-    rows = docs.select("shard_order", F.explode(sections).alias("s")).select("shard_order", "s.section", F.posexplode("s.items").alias("pos", "t"))
+    _, elements = coco_documents(spark, paths)
+    rows = elements.select("shard_order", "section", "pos", J.quote_nonfinite("text").alias("t"))
     rows = rows.withColumns({"members": F.from_json("t", "map<string,variant>"), "e": F.try_parse_json("t")}).filter(J.is_object(F.col("e")))
     whole = lambda key: F.try_variant_get(J.field(F.col("e"), key), "$", "bigint")
-    return rows.select("shard_order", "section", F.col("pos").cast("bigint").alias("pos"), whole("id").alias("id"), whole("image_id").alias("image_id"), "members")
+    return rows.select("shard_order", "section", "pos", whole("id").alias("id"), whole("image_id").alias("image_id"), "members")
 
 
 def read_coco_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
