@@ -22,6 +22,10 @@ SWITCH = 10.0
 #: A language is no candidate for a word in a script that makes up less than this share of its letters.
 SCRIPT_SHARE = 1e-3
 UNKNOWN = "und"
+#: A text may fit its language worse than all but this share of the texts learned from, by so many natural logs per letter.
+WORST, SLACK = 1e-3, 0.5
+#: Texts with fewer letters say nothing about how a language's texts fit.
+FIT_LETTERS = 40
 
 # First code points of script ranges, fixed values of the Unicode block layout; what lies before 0x370 counts as Latin.
 _SCRIPTS = {
@@ -48,6 +52,8 @@ class Model:
     scores: np.ndarray
     #: (scripts, languages) whether a language is a candidate.
     scripts: np.ndarray
+    #: Least mean log score per letter of texts of each language; -inf where nothing is known.
+    floors: dict[str, float]
 
 
 def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +95,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((1 << BUCKETS_BITS, 0), np.float32), np.zeros((len(_SCRIPTS), 0), bool))
+        return Model([], np.zeros((1 << BUCKETS_BITS, 0), np.float32), np.zeros((len(_SCRIPTS), 0), bool), {})
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
     share: Column = F.lit(0)
     for name, n in sizes.items():
@@ -120,7 +126,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
     rare = 0.05
     used = np.count_nonzero(buckets.any(axis=1)) + 1
     scores = np.log((buckets + rare) / (buckets.sum(axis=0) + rare * used)).astype(np.float32)
-    return Model(languages, scores, scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1))
+    model = Model(languages, scores, scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1), {})
+    # How the texts learned from fit their own language; a text adds little to the statistics that it is held against.
+    own = identify(known.filter(draw < share), model, keep=["lang"]).filter((F.col("lang") == F.col("lang_pred")) & (F.col("letters") >= FIT_LETTERS))
+    worst = own.groupBy("lang").agg(F.percentile_approx("fit", WORST, 10_000).alias("fit"))
+    model.floors = {r.lang: r.fit - SLACK for r in worst.collect()}
+    return model
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
@@ -158,35 +169,42 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
     return labels
 
 
+#: Columns that identify() adds.
+FOUND = ("lang_pred", "score", "spans", "known", "fit", "letters")
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, switch: float = SWITCH) -> DataFrame:
-    """Columns ``keep`` of docs and: lang_pred, score, spans (array of begin, end, lang in code points).
+    """Columns ``keep`` of docs and: lang_pred, score, spans (array of begin, end, lang in code points), known, fit, letters.
 
     lang_pred is the language that most letters are labelled with (of equal ones the first by name), score its share of all
-    letters. Null texts, texts without letters and every text under a model without languages give ``und``, 0 and no spans.
+    letters. known is the share of letters in a script that some language uses, fit the mean log score per letter of the
+    labels. Null texts, texts without letters and every text under a model without languages give ``und``, 0, no spans, 0, 0 and 0.
     Columns of docs that are named like a new one are replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "spans")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in FOUND]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = "array<struct<begin:long,end:long,lang:string>>"
     source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast(span).alias("spans")).schema
+    zero = F.lit(0.0)
+    schema = docs.select(*keep, F.lit("").alias("lang_pred"), zero.alias("score"), F.lit(None).cast(span).alias("spans"), zero.alias("known"), zero.alias("fit"), F.lit(0).cast("long").alias("letters")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for batch in batches:
             texts = pc.fill_null(batch.column(batch.num_columns - 1), "").to_pylist()
-            lang, score, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
+            lang, spans, told = [UNKNOWN] * len(texts), [[] for _ in texts], np.zeros((4, len(texts)))
             limit = max(1, STEP_BYTES * 4 // max(len(m.languages), 4))
             for rows in _groups(texts, limit) if m.languages else ():
-                _label(m, [texts[r] for r in rows], rows, switch, lang, score, spans)
+                _label(m, [texts[r] for r in rows], rows, switch, lang, told, spans)
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-            columns = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "spans"])
+            score, known, fit, letters = told
+            columns = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(spans, kind), pa.array(known), pa.array(fit), pa.array(letters.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *FOUND])
 
     return source.mapInArrow(run, schema)
 
 
-def _label(m: Model, texts: list[str], rows: np.ndarray, switch: float, lang: list, score: np.ndarray, spans: list) -> None:
+def _label(m: Model, texts: list[str], rows: np.ndarray, switch: float, lang: list, told: np.ndarray, spans: list) -> None:
     n_labels = len(m.languages)
     # Lower-casing may change a text's length; spans then still count the code points of the text as it is.
     low = [t.lower() for t in texts]
@@ -197,7 +215,8 @@ def _label(m: Model, texts: list[str], rows: np.ndarray, switch: float, lang: li
     points = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     words = np.add.reduceat(m.scores[bucket], first, axis=0)
     candidates = m.scripts[_script(points[at[first]])]
-    words[~candidates & candidates.any(axis=1)[:, None]] = -1e6
+    usual = candidates.any(axis=1)
+    words[~candidates & usual[:, None]] = -1e6
     owner = text[first]
     size = np.bincount(owner, minlength=len(texts))
     order = np.argsort(-size, kind="stable")
@@ -209,6 +228,8 @@ def _label(m: Model, texts: list[str], rows: np.ndarray, switch: float, lang: li
     letters = np.diff(np.r_[first, len(at)])
     share = np.bincount(owner * n_labels + labels, letters, minlength=len(texts) * n_labels).reshape(-1, n_labels)
     total = share.sum(axis=1)
+    known = np.bincount(owner, letters * usual, minlength=len(texts))
+    fit = np.bincount(owner, words[np.arange(len(words)), labels], minlength=len(texts))
     top = share.argmax(axis=1)
     begins = np.cumsum([1, *[len(t) + 1 for t in texts]])
     cut = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (labels[1:] != labels[:-1])])
@@ -218,7 +239,8 @@ def _label(m: Model, texts: list[str], rows: np.ndarray, switch: float, lang: li
         spans[rows[o]].append({"begin": a, "end": b, "lang": m.languages[k]})
     for i, r in enumerate(rows):
         if total[i]:
-            lang[r], score[r] = m.languages[top[i]], share[i, top[i]] / total[i]
+            lang[r] = m.languages[top[i]]
+            told[:, r] = share[i, top[i]] / total[i], known[i] / total[i], fit[i] / total[i], total[i]
 
 
 def held_out(id_col: str) -> Column:

@@ -18,6 +18,8 @@ PERMUTATIONS = BANDS * ROWS
 BITS = 4
 #: Rows, and shingle hashes, of one side of a block comparison.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: A group of more rows is large; up to so many large groups have their sizes sent to all tasks.
+LARGE_GROUP, FEW_GROUPS = 1024, 100_000
 #: Standard errors of the estimate below the threshold at which a candidate is still confirmed on its full set.
 SLACK = 5.0
 
@@ -174,18 +176,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("shared") >= percent * (F.size("in_a") + F.size("in_b") - F.col("shared"))).select("a", "b")
 
 
-def _block_links(members: DataFrame, percent: int) -> DataFrame:
+def _block_links(members: DataFrame, signatures_of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join different components inside groups of candidates, compared block against block.
 
-    members: (leader, id, comp, n_shingles, signature, shingles). A group is dealt into blocks of about BLOCK rows and
-    BLOCK_SHINGLES hashes; each task holds two of them, compares packed bits as matrices and confirms likely pairs on the full sets,
-    the likeliest first, as long as the two still belong to different components. So at most one link per row comes out,
-    and no pair that is not joined otherwise stays unchecked.
+    members: (leader, id, comp, n_shingles); signatures_of and sets give (id, signature) and (id, shingles). A group is dealt into
+    blocks of about BLOCK rows and BLOCK_SHINGLES hashes; each task holds two of them, compares packed bits as matrices and confirms
+    likely pairs on the full sets, the likeliest first, as long as the two still belong to different components. So at most one link
+    per row comes out, and no pair that is not joined otherwise stays unchecked.
     """
     floor = estimate_floor(percent)
+    members = stored(members)
     groups = members.groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("hashes") / BLOCK_SHINGLES)).cast("int")
-    dealt = members.join(groups.filter("x <> y").select("leader", blocks.alias("blocks")), "leader")
+    groups = stored(groups.filter("x <> y").select("leader", "n", blocks.alias("blocks")))
+    # Rows of a large group would meet its size in one task. Groups so large are few, and their sizes are sent out while they are.
+    large = groups.filter(F.col("n") > LARGE_GROUP).select("leader", "blocks")
+    if 0 < large.count() <= FEW_GROUPS:
+        big = members.join(F.broadcast(large), "leader")
+        small = members.join(F.broadcast(large.select("leader")), "leader", "left_anti")
+        dealt = big.unionByName(small.join(groups.filter(F.col("n") <= LARGE_GROUP).select("leader", "blocks"), "leader"))
+    else:
+        dealt = members.join(groups.select("leader", "blocks"), "leader")
+    # Signatures and sets join by id, which repeats at most once for each of its buckets.
+    dealt = dealt.join(signatures_of, "id").join(sets, "id")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
@@ -258,7 +271,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = reps.select("id", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     placed = stored(bands.join(buckets, "band"))
-    one_sig = reps.groupBy("id").agg(F.min("signature").alias("signature"))
+    # An id with several texts has several signatures, and is likely if one of them is.
+    one_sig = reps.select("id", "signature").distinct()
     # A bucket of an id with two sets may hold the id twice; it needs no pair.
     pairs = placed.filter("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     with_bits = pairs.join(one_sig.select(F.col("id").alias("a"), F.col("signature").alias("sig_a")), "a").join(
@@ -276,8 +290,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = labelled.filter("n > 2")
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
     rest = labelled.join(mixed, "band", "left_semi").filter("id <> leader").select("leader", "id", "comp").distinct()
-    rest = rest.join(one_sig, "id").join(sets, "id").withColumn("n_shingles", F.size("shingles"))
-    more = stored(_block_links(rest, percent))
+    rest = rest.join(full.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id")
+    more = stored(_block_links(rest, one_sig, sets, percent))
     own = member.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
     # A repeated id with several texts joins their classes.
     several = own.filter("rep <> last").select("id", F.col("rep").alias("a")).join(member, "id").select("a", F.col("rep").alias("b"))

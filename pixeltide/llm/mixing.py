@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixeltide.llm.common import steps, stored, text_buffer, word_hashes, word_spans
@@ -20,7 +20,11 @@ TARGETS = {"high": 0.90, "low": 0.09, "toxic": 0.01}
 TRAIN_DOCS = 800
 BUCKET_BITS = 14
 SHAPES = 6
-STEPS, TOLERANCE = 25, 1e-6
+#: The fit ends at this miss (of all tokens), or where the squared miss has fallen by less than STILL of itself in PATIENCE steps: the
+#: targets cannot be met any better. STEPS only ends a fit that does neither.
+TOLERANCE, STILL, PATIENCE, STEPS = 1e-6, 1e-3, 6, 100
+#: Lengths at which a step is tried.
+LENGTHS = (4.0, 2.0, 1.0, 0.5, 0.2, 0.05)
 
 
 @dataclass
@@ -141,46 +145,62 @@ def memberships(docs: DataFrame, classifier: Classifier, keep: list[str], text_c
     return source.mapInArrow(run, schema)
 
 
-def _rate(moves: list[np.ndarray]):
-    """Rate of a document after all projected gradient steps so far, as one expression over its shares."""
-    start = F.lit(1.0)
-    if not moves:
-        return start
-    path = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
-    turn = lambda m: F.aggregate(F.zip_with("shares", m, lambda s, x: s * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(path, start, lambda rate, m: F.greatest(F.lit(0.0), rate - turn(m)))
+def _rate(turned: np.ndarray) -> Column:
+    """Rate of a document after all steps, the turns of which add up to ``turned``."""
+    turn = F.lit(0.0)
+    for k, x in enumerate(turned):
+        turn = turn + F.col("shares")[k] * F.lit(float(x))
+    return F.greatest(F.lit(0.0), F.lit(1.0) - turn)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> tuple[list[np.ndarray], dict[str, float]]:
-    """Steps whose ``_rate`` makes the expected tokens per domain meet their targets, and the totals reached.
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> tuple[np.ndarray, dict[str, float], float]:
+    """The turn whose ``_rate`` makes the expected tokens per domain meet their targets, the totals reached, and the largest miss as
+    a share of all tokens.
 
-    Least squares over rates >= 0, started at 1. A step sums rate * tokens * shares over all documents (a handful of numbers
-    reach the driver) and moves every document against the gradient, scaled by the domains' Gram matrix over the documents that are
-    not held at 0, so it would be exact if no further document reached 0. A step that brings the totals no nearer is followed by one scaled by
-    all documents, which never overshoots. Steps depend on totals alone; a document's rate follows from its shares.
+    Projected gradient for least squares over rates >= 0, started at 1, with lazy projection: steps against the gradient add up
+    unprojected, and a document's rate is what they leave of 1, or 0. The gradient is, for every document, its shares times the miss of the
+    totals, so the steps taken so far are one number per domain, and a document's rate follows from its shares in closed form. Steps are
+    scaled by the domains' Gram matrix over the documents above 0. One pass over the documents sums rate * tokens * shares for several
+    lengths of a step (a handful of numbers reach the driver); the length counts that brings the convex function whose gradient the
+    miss is furthest down. Targets that no rates >= 0 can meet leave a miss: the fit then ends at the nearest totals, and the miss
+    says so.
     """
     k = len(DOMAINS)
     share = [F.col("shares")[i] for i in range(k)]
     tokens = F.col("n_tokens").cast("double")
-    moves: list[np.ndarray] = []
-    whole, before = None, np.inf
+
+    def tried(turns: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], float]:
+        """Totals, Gram matrix over the documents above 0 and half the squared rates after each turn, and all tokens."""
+        rated = members.withColumns({f"r{j}": _rate(t) for j, t in enumerate(turns)})
+        sums = [F.sum(tokens)]
+        for j in range(len(turns)):
+            rate = F.col(f"r{j}")
+            free = F.when(rate > 0, tokens).otherwise(0.0)
+            sums += [F.sum(rate * tokens * s) for s in share] + [F.sum(free * a * b) for a in share for b in share] + [F.sum(0.5 * rate * rate * tokens)]
+        row = np.array([x or 0.0 for x in rated.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()])
+        each = row[1:].reshape(len(turns), k + k * k + 1)
+        return [(x[:k], x[k:-1].reshape(k, k), x[-1]) for x in each], row[0]
+
+    turned = np.zeros(k)
+    ((reached, gram, _),), total = tried([turned])
+    goal, error = np.array([targets[d] for d in DOMAINS]) * total, []
     while True:
-        rated = members.withColumn("rate", _rate(moves))
-        free = F.when(F.col("rate") > 0, tokens).otherwise(0.0)
-        sums = [F.sum(F.col("rate") * tokens * s) for s in share] + [F.sum(free * a * b) for a in share for b in share] + [F.sum(tokens)]
-        row = np.array([x or 0.0 for x in rated.agg(*sums).first()])
-        reached, gram, total = row[:k], row[k:-1].reshape(k, k), row[-1]
-        whole = gram if whole is None else whole
-        miss = reached - np.array([targets[d] for d in DOMAINS]) * total
-        off = np.abs(miss).max()
-        if len(moves) >= steps or off <= TOLERANCE * max(total, 1.0):
-            return moves, dict(zip(DOMAINS, reached.tolist(), strict=True))
-        moves.append(np.linalg.pinv(gram if off < before else whole, rcond=1e-12, hermitian=True) @ miss)
-        before = off
+        miss = reached - goal
+        off = float(np.abs(miss).max()) / max(total, 1.0)
+        error.append(min([float(miss @ miss), *error[-1:]]))
+        still = len(error) > PATIENCE and error[-1] >= (1 - STILL) * error[-1 - PATIENCE]
+        if len(error) > steps or off <= TOLERANCE or still:
+            return turned, dict(zip(DOMAINS, reached.tolist(), strict=True)), off
+        ahead = np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ miss
+        turns = [turned + t * ahead for t in LENGTHS]
+        results, _ = tried(turns)
+        best = min(range(len(turns)), key=lambda j: results[j][2] + float(turns[j] @ goal))
+        turned, (reached, gram, _) = turns[best], results[best]
 
 
 def mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS) -> DataFrame:
-    """All columns of docs, and n_tokens, shares (posteriors of DOMAINS) and rate (expected uses of the document, >= 0).
+    """All columns of docs, and n_tokens, shares (posteriors of DOMAINS), rate (expected uses of the document, >= 0) and miss, the
+    same in every row: by how much of all tokens the worst domain total misses its target.
 
     Every row is kept, with a rate of 0 where the mixture has no use for it. Null and empty texts have no tokens and the rate
     of their posterior; repeated rows get equal rates, null ids are no labelled rows. An empty input gives no rows. Columns of docs
@@ -188,5 +208,6 @@ def mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """
     classifier = fit_classifier(docs, labels, id_col, text_col)
     narrow = stored(memberships(docs, classifier, [], text_col))
-    moves, _ = fit_rates(narrow, targets)
-    return memberships(docs, classifier, [c for c in docs.columns if c not in ("n_tokens", "shares", "rate")], text_col).withColumn("rate", _rate(moves))
+    turned, _, miss = fit_rates(narrow, targets)
+    keep = [c for c in docs.columns if c not in ("n_tokens", "shares", "rate", "miss")]
+    return memberships(docs, classifier, keep, text_col).withColumns({"rate": _rate(turned), "miss": F.lit(float(miss))})

@@ -27,7 +27,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     mixed = mixing.mixture(docs, table(spark, sf_dir, "labels"))
     shares = [mixed.shares[k].alias(f"share_{d}") for k, d in enumerate(mixing.DOMAINS)]
-    return mixed.select("doc_id", "n_tokens", *shares, "rate")
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "miss")
 
 
 def op4_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id"))
     model = langid.learn(docs.filter("not held_out"))
-    return langid.identify(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"]).drop("spans")
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"]).drop("spans", "known", "fit", "letters")
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
