@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
-from contextlib import ExitStack
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixeltide.operators.frames import select_split, shard_pack_index
-from pixeltide.sinks.storage import exists, open_read, replacing
+from pixeltide.sinks.filesource import write_files
 from pixeltide.sources.files import scan_frames, spread
 
-# Archive entry extension and file suffix, in archive order (fixed values).
-_ENTRIES = (("exr", "_spatial.exr"), ("json", "_meta.json"), ("png", ".png"), ("txt", ".txt"))
-
 
 def pack_plan(spark: SparkSession, root: str, split: str = "both", frames_per_shard: int = 1000) -> DataFrame:
     """Frames with metadata in pack order: stem, folder and shard number. Stems may have more than four digits."""
@@ -30,38 +21,11 @@ def write_webdataset(spark: SparkSession, root: str, out: str, split: str = "bot
     """Writes shard-NNNNNN.tar[.gz] files and returns the paths of the new ones, sorted; no frames, no files.
 
     Only the plan is shuffled. Each shard is streamed by one task, which opens the frame files itself, so no frame bytes
-    pass through Spark.
+    pass through Spark. Shards appear when all are written, or not at all.
     """
     plan = pack_plan(spark, root, split, frames_per_shard)
-    ext = ".tar.gz" if compress else ".tar"
-    base = out.rstrip("/")
     # An explicit count keeps adaptive execution from merging the small plan into one task that would read every frame.
     shards = (plan.agg(F.max("pack_shard")).first()[0] or 0) + 1
     placed = plan.repartition(min(int(shards), 4 * spread(spark)), "pack_shard").sortWithinPartitions("pack_shard", "pack_index")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, made = None, []
-        stack, tar = ExitStack(), None
-        with stack:
-            for pdf in batches:
-                for shard, stem, folder in zip(pdf["pack_shard"], pdf["stem"], pdf["folder"]):
-                    if shard != current:
-                        stack.pop_all().close() if tar is not None else None
-                        target = f"{base}/shard-{int(shard):06d}{ext}"
-                        made.append((target, not exists(target)))
-                        sink = stack.enter_context(replacing(target))
-                        tar = stack.enter_context(tarfile.open(fileobj=sink, mode="w|gz" if compress else "w|"))
-                        current = shard
-                    for entry, suffix in _ENTRIES:
-                        source = f"{folder}/{stem}{suffix}"
-                        if exists(source):
-                            with open_read(source) as f:
-                                data = f.read()
-                            info = tarfile.TarInfo(f"{stem}.{entry}")
-                            info.size = len(data)
-                            tar.addfile(info, io.BytesIO(data))
-        yield pd.DataFrame(made, columns=["path", "new"])
-
-    # One row per shard comes back, which is the returned list itself.
-    rows = placed.mapInPandas(write, "path string, new boolean").filter("new").select("path").collect()
-    return sorted(r["path"] for r in rows)
+    done = write_files(placed.select("pack_shard", "stem", "folder"), out, "shards", compress)
+    return [f"{out.rstrip('/')}/{name}" for name in done["new"]]

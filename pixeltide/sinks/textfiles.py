@@ -1,37 +1,20 @@
-"""Many text files from one DataFrame: rows (path, order..., text) become files, each the concatenation of its rows."""
+"""Many files from one DataFrame: rows (path, order..., text) become files, each the concatenation of its rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import ExitStack
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.sinks.storage import replacing
+from pixeltide.sinks.filesource import write_files
 
 
 def write_text_files(rows: DataFrame, base: str, order: Sequence[str], path: str = "path", text: str = "text") -> int:
-    """Writes <base>/<path> files; returns how many.
+    """Writes <base>/<path> files of text or bytes; returns how many.
 
-    Files are spread over tasks by path and streamed: a task holds one Arrow batch, whatever the size of a file.
+    Files are spread over tasks by path and streamed: a task holds one Arrow batch, whatever the size of a file. They appear when all
+    are written, or not at all.
     """
     placed = rows.select(path, *order, text).repartition(F.col(path)).sortWithinPartitions(path, *order).select(path, text)
-    root = base.rstrip("/")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, files = None, 0
-        with ExitStack() as stack:
-            out = None
-            for pdf in batches:
-                for p, t in zip(pdf[path], pdf[text]):
-                    if p != current:
-                        stack.pop_all().close() if out is not None else None
-                        out = stack.enter_context(replacing(f"{root}/{p}"))
-                        current, files = p, files + 1
-                    out.write(t.encode("utf-8"))
-        yield pd.DataFrame({"files": [files]})
-
-    done = placed.mapInPandas(write, "files bigint").agg(F.sum("files").alias("n")).first()
-    return int(done["n"] or 0)
+    return write_files(placed, base, "text")["files"]

@@ -12,6 +12,7 @@ from pixeltide.operators import frames, pixels
 from pixeltide.sinks import labels as L
 from pixeltide.sinks import manifests as M
 from pixeltide.sinks.packing import pack_plan, write_webdataset
+from pixeltide.sinks.textfiles import write_text_files
 from pixeltide.sources import files as S
 
 
@@ -33,6 +34,20 @@ def test_yolo_files_one_per_frame_and_back(spark, tmp_path):
     assert sorted((r["class_id"], r["line_no"], r["cx"]) for r in back.collect()) == [(3, 1, 0.05), (3, 1, 0.75), (4, 2, 0.2)]
 
 
+def test_a_failed_write_leaves_nothing_and_a_second_one_replaces(spark, tmp_path):
+    text = F.when(F.col("id") == 37, F.raise_error(F.lit("broken row")).cast("string")).otherwise(F.col("id").cast("string"))
+    rows = spark.range(60).select(F.format_string("a/%d.txt", F.col("id") % 20).alias("path"), "id", text.alias("text"))
+    with pytest.raises(Exception, match="broken row"):
+        write_text_files(rows, str(tmp_path / "out"), ["id"])
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()] and not list((tmp_path / "out").glob("_staging*"))
+    assert write_text_files(rows.filter("id <> 37"), str(tmp_path / "out"), ["id"]) == 20
+    assert (tmp_path / "out/a/3.txt").read_text() == "32343" and (tmp_path / "out/a/17.txt").read_text() == "1757"
+    assert write_text_files(rows.filter("id = 3").withColumn("text", F.unhex(F.lit("FF00"))), str(tmp_path / "out"), ["id"]) == 1
+    assert (tmp_path / "out/a/3.txt").read_bytes() == b"\xff\x00"
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a"] and len(list((tmp_path / "out/a").iterdir())) == 20
+    assert write_text_files(rows.filter("false"), str(tmp_path / "none"), ["id"]) == 0
+
+
 def test_coco_parts_assemble_to_a_document_and_read_back(spark, tmp_path):
     im = spark.createDataFrame([(i, f"frame_{i:04d}.png", 10, 20) for i in range(1, 41)], "image_id int, file_name string, width int, height int")
     an = A.renumber(boxes(spark).withColumns({"image_id": F.col("frame_id"), "category_id": F.col("class_id")}), ["frame_id", "instance_id"], "ann_id")
