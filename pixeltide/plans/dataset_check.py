@@ -137,7 +137,10 @@ def validate_dataset(
         V.pairing_rules(frames, images, check_meta),
     ]
     here = frames.filter("has_txt").select("split", "stem", "hdr_w", "hdr_h")
-    lines = cut(label_lines(spark, root, folders, here))
+    labels = scanned.filter(F.col("name") == F.concat("stem", F.lit(".txt"))).select("split", "stem", "name", "path")
+    texts = cut(S.read_checked(labels.join(here.filter("hdr_w is not null"), ["split", "stem"])))
+    parts.append(V.label_io_rules(texts, F.col("name"), F.col("path")))
+    lines = cut(label_lines(texts))
     parts.append(V.label_line_rules(lines, limits, path=F.col("path")))
     if check_meta:
         docs = _folder_docs(spark, root, "*_meta.json", r"_meta\.json$", folders).join(here.select("split", "stem"), ["split", "stem"], "left_semi")
@@ -157,9 +160,7 @@ def _folder_docs(spark: SparkSession, root: str, glob: str, suffix: str, folders
     return docs.filter(F.col("split").isin(folders))
 
 
-def label_lines(spark: SparkSession, root: str, folders: list[str], frames: DataFrame) -> DataFrame:
-    """Parsed label lines of the frames whose image header is readable."""
-    docs = _folder_docs(spark, root, "*.txt", r"\.txt$", folders)
-    docs = docs.join(frames.filter("hdr_w is not null"), ["split", "stem"])
-    docs = docs.withColumnsRenamed({"hdr_w": "iw", "hdr_h": "ih"})
+def label_lines(texts: DataFrame) -> DataFrame:
+    """Parsed lines of the label files that could be read, with the size of their image."""
+    docs = texts.filter("error is null").drop("error", "name").withColumnsRenamed({"hdr_w": "iw", "hdr_h": "ih"})
     return V.parse_label_tokens(V.split_label_text(docs))

@@ -211,6 +211,11 @@ def parse_label_tokens(lines: DataFrame) -> DataFrame:
     )
 
 
+def label_io_rules(files: DataFrame, subject: Column, path: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """Label files that cannot be read or decoded (sources.files.read_checked)."""
+    return emit(files, [issue("error", "yolo_io", F.col("error").isNotNull(), F.concat(F.lit("label file "), F.col("error")))], subject, path, keep)
+
+
 def label_line_rules(lines: DataFrame, limits: Limits = Limits(), keep: Sequence[str] = (), subject: Column | None = None, path: Column | None = None) -> DataFrame:
     """Rules on parsed label lines (parse_label_tokens) with image size iw, ih."""
     subject = F.concat(F.lit("line "), F.col("line_no").cast("string")) if subject is None else subject

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,33 @@ def read_texts(spark: SparkSession, paths: str | Sequence[str], glob: str | None
     return texts.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
 
 
+def read_checked(files: DataFrame, path: str = "path") -> DataFrame:
+    """Adds ``text`` of each listed file, or ``error`` where it cannot be read or is not UTF-8; one file's fault fails no job.
+
+    Unlike a scan, this sees empty files, and files that went since they were listed. A task holds one file at a time.
+    """
+    kept = [f for f in files.schema.fields]
+    schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, errors = [], []
+            for p in batch.column(batch.schema.get_field_index(path)).to_pylist():
+                try:
+                    with open_read(p) as f:
+                        texts.append(f.read().decode("utf-8"))
+                    errors.append(None)
+                except UnicodeDecodeError as ex:
+                    texts.append(None)
+                    errors.append(f"not UTF-8 at byte {ex.start}")
+                except OSError as ex:
+                    texts.append(None)
+                    errors.append(f"cannot be read: {type(ex).__name__}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "text", "error"])
+
+    return files.repartition(spread(files.sparkSession)).mapInArrow(read, schema)
+
+
 def plain_path(path: Column) -> Column:
     """A file path as Spark reports it (escaped, with a scheme) in the form that listings give local ones."""
     decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))

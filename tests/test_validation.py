@@ -1,5 +1,6 @@
 import json
 
+import pytest
 import trees
 from pyspark.sql import functions as F
 
@@ -112,6 +113,27 @@ def test_label_defects(spark):
     assert {i: sorted(g) for i, g in got.items()} == {i: w for i, (_, w) in enumerate(LABELS)}
 
 
+def test_label_files_that_cannot_be_read_are_issues(spark, tmp_path):
+    root = trees.good(tmp_path)
+    (root / "train" / "frame_0000.txt").write_bytes(b"1 0.5 0.5 0.1 0.1\n\xff\xfe 2\n")
+    report = check(spark, root)
+    assert ("error", "yolo_io") in codes(report) and not any(c.startswith("yolo") and c != "yolo_io" for _, c in codes(report))
+    listed = spark.createDataFrame([(str(root / "train/frame_0000.txt"), 1), (str(root / "gone.txt"), 2), (str(root / "empty.txt"), 3)], "path string, k int")
+    (root / "empty.txt").write_text("")
+    got = {r["k"]: (r["text"], r["error"]) for r in S.read_checked(listed).collect()}
+    assert got == {1: (None, "not UTF-8 at byte 18"), 2: (None, "cannot be read: FileNotFoundError"), 3: ("", None)}
+
+
+@pytest.mark.parametrize(
+    ("text", "code"),
+    [('{"images":[]}', "coco_schema"), ('{"images":{},"annotations":[]}', "coco_schema"), ("[]", "coco_io"), ('{"images":[1,],"annotations":[]}', "coco_io"), ("", "coco_io"), ('{"images":[', "coco_io")],
+)
+def test_documents_that_cannot_be_used(spark, tmp_path, text, code):
+    root = trees.good(tmp_path)
+    (root / "annotations_coco.json").write_text(text)
+    assert codes(check(spark, root)) == [("error", code)]
+
+
 METAS = [
     ("{", 1), ("", 1), ("[]", 1), (trees.meta(), 0), (trees.meta(frame_id=1.5), 1), (trees.meta(frame_id=True), 1), (trees.meta(frame_id=2.0), 0), (trees.meta(split=3), 1),
     (trees.meta(camera_extrinsics=[1] * 15), 1), (trees.meta(camera_extrinsics=[float("nan"), "x"] + [0] * 14), 2),
