@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import mix64, random_words, steps, text_buffer, word_hashes, word_spans
+from pixeltide.llm.common import mix64, random_words, released, steps, text_buffer, word_hashes, word_spans
 
 #: Tokens of a seed and of the shortest tile.
 SEED = 5
@@ -185,7 +185,7 @@ def matches(
     schema = "id long, item long, n_covered long, n_tokens long, coverage double"
     out = None
     for block in blocks(benchmark, id_col=item_col, text_col=text_col):
-        part = source.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(block), coverage), schema)
+        part = source.mapInArrow(released(_finder(docs.sparkSession.sparkContext.broadcast(block), coverage)), schema)
         out = part if out is None else out.union(part)
     out = docs.sparkSession.createDataFrame([], schema) if out is None else out
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
@@ -226,5 +226,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         return run
 
     for block in blocks(benchmark, id_col="item_id", text_col=text_col):
-        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        docs = docs.mapInArrow(released(keeper(docs.sparkSession.sparkContext.broadcast(block))), docs.schema)
     return docs

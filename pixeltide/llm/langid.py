@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import STEP_BYTES
+from pixeltide.llm.common import STEP_BYTES, released
 
 BUCKETS_BITS = 16
 #: Documents per language that the letter statistics are learned from (a documented bound; all their text is read).
@@ -118,7 +118,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
             key = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key), pa.array(both[key])], names=["lang", "key", "n"])
 
-    counted = known.filter(draw < share).mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = known.filter(draw < share).mapInArrow(released(count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     table = np.zeros(((1 << BUCKETS_BITS) + len(_SCRIPTS), len(languages)))
     for r in counted.collect():
         table[r.key, languages.index(r.lang)] = r.n
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
             columns = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(spans, kind), pa.array(known), pa.array(fit), pa.array(letters.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *FOUND])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def _label(m: Model, texts: list[str], rows: np.ndarray, switch: float, lang: list, told: np.ndarray, spans: list) -> None:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import components, mix64, random_words, steps, stored, text_buffer, word_hashes, word_spans
+from pixeltide.llm.common import components, mix64, random_words, released, steps, stored, text_buffer, word_hashes, word_spans
 
 WORDS = 5
 #: A pair at similarity 0.75 shares no band of 4 minima among 32 with probability (1 - 0.75**4)**32 = 5e-6.
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 at += len(sets)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"id long, {_SIGNATURE}")
+    return source.mapInArrow(released(run), f"id long, {_SIGNATURE}")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), lists], names=["id", "shingles"])
                 at += len(sets)
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(released(run), "id long, shingles array<long>")
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(similarity(a, b) >= floor)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(released(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import steps, stored, text_buffer, word_hashes, word_spans
+from pixeltide.llm.common import released, steps, stored, text_buffer, word_hashes, word_spans
 
 #: Domains by label: toxic documents, else by quality.
 DOMAINS = ("high", "low", "toxic")
@@ -99,7 +99,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 )
                 at += len(n)
 
-    rows = sample.mapInArrow(run, "id long, domain int, keys binary, counts binary, shapes binary, n long").collect()
+    rows = sample.mapInArrow(released(run), "id long, domain int, keys binary, counts binary, shapes binary, n long").collect()
     if not rows:
         return Classifier(weights)
     rows.sort(key=lambda r: (r.id, r.domain, r.n))
@@ -142,7 +142,7 @@ def memberships(docs: DataFrame, classifier: Classifier, keep: list[str], text_c
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, len(DOMAINS)), pa.int32()), pa.array(flat.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(sizes)), lists], names=[*keep, "n_tokens", "shares"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def _rate(turned: np.ndarray) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import mix64, random_words, stored
+from pixeltide.llm.common import mix64, random_words, released, stored
 
 #: Labelled documents drawn of each class (a documented bound of what is learned from).
 TRAIN_DOCS = 8000
@@ -304,7 +304,7 @@ def lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
                 take = short[one]
                 yield pa.RecordBatch.from_arrays([pa.array(_strings(w.letters[take]), pa.string()), pa.array(w.context[take]), pa.array(label[one], pa.int64())], names=["word", "context", "toxic"])
 
-    seen = sample.select("text", "toxic").mapInArrow(run, "word string, context long, toxic long").distinct()
+    seen = sample.select("text", "toxic").mapInArrow(released(run), "word string, context long, toxic long").distinct()
     counted = stored(seen.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count_if(F.col("toxic") == 0).alias("n_clean")))
     v, n_toxic, n_clean = counted.agg(F.count("*"), F.sum("n_toxic"), F.sum("n_clean")).first()
     if not n_toxic or not n_clean:
@@ -395,7 +395,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(told, kind)], names=["toxic", "hits"])
 
     hit = "array<struct<surface:string,term:bigint,distance:bigint,cues:bigint,context:bigint>>"
-    found = stored(sample.mapInArrow(run, f"toxic long, hits {hit}"))
+    found = stored(sample.mapInArrow(released(run), f"toxic long, hits {hit}"))
     texts = {(r.hit, r.toxic): r.n for r in found.groupBy((F.size("hits") > 0).alias("hit"), "toxic").agg(F.count("*").alias("n")).collect()}
     rows = sorted((r.toxic, [tuple(h) for h in r.hits]) for r in found.filter(F.size("hits") > 0).distinct().collect())
 
@@ -462,4 +462,4 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
                 names.append("hits")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}score double{extra}")
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(released(run), f"{kinds}score double{extra}")
