@@ -384,6 +384,32 @@ def _(v):
     return out.select("frame_id", (F.col("centre_err") < 1e-6).alias("centre_ok"), "samples", "ok")
 
 
+# Probes from the true camera to one whose origin, right axis or focal length may be off, in that one's own axes.
+_PROBE = f"""(select p.frame_id, p.px_col, p.px_row, c.* exclude (frame_id), depth / sqrt(a * a + b * b + 1e0) as s, a, b from (
+        select p.*, (p.px_col - c.cx) / c.fx as a, (p.px_row - c.cy) / c.fy as b from (
+          select p.* from $px as p join ({_pick_sql(0, 8, "instance_id > 0 and depth > 0 and abs(depth) < cast('infinity' as double)")}) k
+          on {" and ".join(f"p.{k} = k.{k}" for k in ("frame_id", *_ROW_KEYS))}) p join {FCAM_SQL} c on p.frame_id = c.frame_id) p
+      join (select *, case when frame_id % 7 = 1 then 5e-1 else 0e0 end as ox, case when frame_id % 11 = 2 then 11e-1 else 1e0 end as k, fx + case when frame_id % 13 = 3 then 2e0 else 0e0 end as sfx from {FCAM_SQL} b) c
+      on p.frame_id = c.frame_id)"""
+_BACK = f"""(select *, (hx * ux + hy * uy + hz * uz) / k as pr, -(hx * vx + hy * vy + hz * vz) as pd, -(hx * wx + hy * wy + hz * wz) as pz from (
+        select *, (ux * a + vx * b - wx) * s - ox as hx, (uy * a + vy * b - wy) * s as hy, (uz * a + vz * b - wz) * s as hz from {_PROBE} q) q)"""
+_ERRS = f"(select frame_id, sqrt((sfx * pr / pz + cx - px_col) * (sfx * pr / pz + cx - px_col) + (cy - fy * pd / pz - px_row) * (cy - fy * pd / pz - px_row)) as err, pz > 1e-9 as ahead from {_BACK} q)"
+
+
+@query(
+    "foreground_audit",
+    f"""select c.frame_id, case when ahead then {r("err", 4)} end as pixel_err, cast(coalesce(n, 0) as bigint) as samples, coalesce(n, 0) = 0 or (ahead and err <= 1e0) as ok
+        from $fcam as c left join (select frame_id, max(err) as err, bool_and(ahead) as ahead, count(*) as n from {_ERRS} q group by 1) s on c.frame_id = s.frame_id""",
+)
+def _(v):
+    f = F.col("frame_id")
+    cams = motion.with_pose(v.fcam)
+    right = Vec(*[F.col(f"u{a}") * F.when(f % 11 == 2, 1.1).otherwise(1.0) for a in "xyz"])
+    eye = Vec(F.col("ex") + F.when(f % 7 == 1, 0.5).otherwise(0.0), F.col("ey"), F.col("ez"))
+    cams = cams.withColumns({"stored_c2w": G.c2w_array(right, vec("v"), vec("w"), eye), "stored_fx": F.col("fx") + F.when(f % 13 == 3, 2.0).otherwise(0.0), "stored_fy": F.col("fy")})
+    return cloud.foreground_audit(v.px, cams, row_keys=_ROW_KEYS, portable=True).select("frame_id", rnd("pixel_err", 4).alias("pixel_err"), "samples", "ok")
+
+
 @query(
     "split_assign",
     "select run_id, g, case when g < round(100 * greatest(0e0, least(1e0, (run_id % 14) / 1e1))) then 'train' else 'val' end as split from $pose as p",

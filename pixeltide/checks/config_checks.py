@@ -161,15 +161,19 @@ def _u(field):
     return md5_unit(1337, "g", f"'{field}'")
 
 
-@_register(
-    "sample_frames",
-    f"""select p.config_id, p.g, asset_ord, {r(f"lo + (hi - lo) * {_u('fov')}")} as fov, {r(f"-18e0 + 36e0 * {_u('obj_x')}")} as obj_x, {r(f"36e1 * {_u('obj_yaw')}")} as obj_yaw,
-               {r(f"5e-1 - (1e-2 + 4e-2 * {_u('sink')})")} as y_offset, {r(f"2e-1 + 4e-1 * {_u('roughness')}")} as roughness
+_SAMPLED = f"""(select p.config_id, p.g, asset_ord, s.name as label, sp, lo, hi
         from (select cast(floor(o_custkey / 1e1) as bigint) as config_id, o_orderkey as g from @orders@) p
-        join (select config_id, {_rng("$.camera.fov_deg", "least", "35e0")} as lo, {_rng("$.camera.fov_deg", "greatest", "35e0")} as hi from $cfg as c) c on p.config_id = c.config_id
+        join (select config_id, {_rng("$.camera.fov_deg", "least", "35e0")} as lo, {_rng("$.camera.fov_deg", "greatest", "35e0")} as hi, cast(config_id % 12 as double) / 1e1 as sp from $cfg as c) c on p.config_id = c.config_id
         join (select *, sum(wi) over (partition by catalog_id order by asset_ord) as top, sum(wi) over (partition by catalog_id) as total from (
                 select *, cast(round(greatest(weight, 1e-3) * 1e9) as bigint) as wi from $assets as a) q) s
-          on s.catalog_id = p.config_id and {_u('asset')} >= cast(s.top - s.wi as double) / cast(s.total as double) and {_u('asset')} < cast(s.top as double) / cast(s.total as double)""",
+          on s.catalog_id = p.config_id and {_u('asset')} >= cast(s.top - s.wi as double) / cast(s.total as double) and {_u('asset')} < cast(s.top as double) / cast(s.total as double))"""
+
+
+@_register(
+    "sample_frames",
+    f"""select config_id, g, asset_ord, {r(f"lo + (hi - lo) * {_u('fov')}")} as fov, {r(f"-18e0 + 36e0 * {_u('obj_x')}")} as obj_x, {r(f"36e1 * {_u('obj_yaw')}")} as obj_yaw,
+               {r(f"5e-1 - (1e-2 + 4e-2 * {_u('sink')})")} as y_offset, {r(f"2e-1 + 4e-1 * {_u('roughness')}")} as roughness
+        from {_SAMPLED} p""",
 )
 def _(v):
     plan, ranges, assets = _plan_inputs(v)
@@ -177,6 +181,22 @@ def _(v):
     return out.select("config_id", "g", "asset_ord", *[rnd(c).alias(c) for c in ("fov", "obj_x", "obj_yaw", "y_offset", "roughness")])
 
 
+@_register(
+    "frame_object_rows",
+    f"""select config_id, g, case when g < round(1000 * greatest(0e0, least(1e0, sp))) then 'train' else 'val' end as split, cast(1 as bigint) as instance_id, cast(1 as bigint) as class_id, label,
+               {r(f"-18e0 + 36e0 * {_u('obj_x')}")} as x, 0e0 as y, {r(f"-18e0 + 36e0 * {_u('obj_z')}")} as z, {r(f"36e1 * {_u('obj_yaw')}")} as yaw, 15e-1 as sz,
+               {r(f"2e-1 + 4e-1 * {_u('metallic')}")} as metallic, true as grounded, 1e0 as ny
+        from {_SAMPLED} p""",
+)
+def _(v):
+    out = GEN.frame_objects(GEN.sample_frames(*_plan_inputs(v), F.lit(1000))).select("config_id", "g", "split", F.explode("objects").alias("o"))
+    at = lambda name, i: F.col(f"o.{name}")[i]
+    return out.select(
+        "config_id", "g", "split", "o.instance_id", "o.class_id", "o.label", rnd(at("position", 0)).alias("x"), at("position", 1).alias("y"), rnd(at("position", 2)).alias("z"),
+        rnd(at("rotation_deg", 1)).alias("yaw"), at("scale", 2).alias("sz"), rnd("o.metallic").alias("metallic"), F.col("o.grounding_constraint").alias("grounded"), at("terrain_normal", 1).alias("ny"),
+    )
+
+
 @query("frame_objects")
 def _(v):
     out = GEN.frame_objects(GEN.sample_frames(*_plan_inputs(v), F.lit(1000)))
@@ -190,11 +210,12 @@ def _(v):
     + ") q",
 )
 def _(v):
-    plan = v.kf_time.select("g", "traj_id")
-    last = plan.agg(F.max("g").alias("top"))
-    total = last.first()["top"] + 1
+    # The number of frames joins as one row.
+    plan = v.kf_time.select("g", "traj_id").withColumn("one", F.lit(1))
+    last = plan.groupBy("one").agg((F.max("g") + 1).alias("total"))
+    plan = plan.join(F.broadcast(last), "one").drop("one")
     scen = v.kf.select("traj_id").distinct().withColumns(
         {"ax": F.lit(0.0), "ay": F.lit(1.2), "az": F.lit(0.0), "fallback_x": F.lit(0.0), "fallback_y": F.lit(0.0), "fallback_z": F.lit(0.0)}
     )
-    out = GEN.scenario_frames(plan, scen, v.kf, ["traj_id"], F.lit(total))
+    out = GEN.scenario_frames(plan, scen, v.kf, ["traj_id"], "total")
     return out.select("g", *[rnd(c).alias(c) for c in ("ex", "ey", "ez")])

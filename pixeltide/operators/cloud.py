@@ -152,3 +152,22 @@ def projection_audit(
     out = centre.join(worst, list(keys), "left")
     ok = (F.col("centre_err") <= centre_tol) & F.coalesce("__px", F.lit(True))
     return out.withColumns({"samples": F.coalesce("samples", F.lit(0).cast("bigint")), "ok": ok}).drop("__px")
+
+
+def foreground_audit(
+    pixels: DataFrame, cams: DataFrame, keys=("frame_id",), probes: int = 8, seed: int = 0, row_keys=("px_row", "px_col"), pixel_tol: float = 1.0, portable: bool = False
+) -> DataFrame:
+    """Foreground pixels through the pose a frame was made with and back through the pose that is stored for it.
+
+    cams: the camera by eye, target and field of view (with_pose) and what the frame's metadata stores, stored_c2w (16 values) and
+    stored_fx, stored_fy. keys, pixel_err (worst of the probes, null where one lies behind the stored camera or the matrix is singular),
+    samples, ok. Frames without foreground have no samples and are ok.
+    """
+    stored = with_affine_inverse(cams, "stored_c2w", "__w2c")
+    pose = stored.select(*keys, "fx", "fy", "cx", "cy", "stored_fx", "stored_fy", "__w2c", *[p + a for p in "euvw" for a in "xyz"])
+    picked = foreground_probe(pixels, probes, seed, keys, row_keys, portable).join(pose, list(keys))
+    seen = project_camera_point(apply_point("__w2c", world_point("depth", "px_col", "px_row")), "stored_fx", "stored_fy", "cx", "cy")
+    errs = picked.withColumn("err", F.hypot(seen["u"] - dbl("px_col"), seen["v"] - dbl("px_row")))
+    worst = errs.groupBy(*keys).agg(F.when(F.bool_and(F.col("err").isNotNull()), F.max("err")).alias("pixel_err"), F.count(F.lit(1)).alias("samples"))
+    out = cams.select(*keys).join(worst, list(keys), "left").withColumn("samples", F.coalesce("samples", F.lit(0).cast("bigint")))
+    return out.withColumn("ok", (F.col("samples") == 0) | F.coalesce(F.col("pixel_err") <= pixel_tol, F.lit(False)))
