@@ -16,8 +16,10 @@ from pixeltide.llm.common import ascii_lower, stored
 TRAIN_ROWS = 10_000
 #: Suffixes with fewer labelled URLs share one statistic.
 SUFFIX_SUPPORT = 20
+#: Parts that hosts are dealt to for out-of-fold statistics.
+FOLDS = 5
 TREES, DEPTH = 20, 4
-#: A list of rules is one expression; longer lists belong into a join.
+#: Rules that are one expression; longer lists are joined.
 MOST_RULES = 1000
 
 FEATURES = (
@@ -59,8 +61,6 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[C
 
     Rules of one length: the longer host first, then block before allow.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.text), len(r.host), r.verdict == "block")):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
@@ -68,6 +68,25 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[C
     return text, verdict
 
 
+def with_rule(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """urls (host, path, ...) with the rule that decides and its verdict, by_rule; up to MOST_RULES rules are one expression, more a join.
+
+    The join meets rules by host suffix and path prefix: a host has a suffix per label, a path a prefix per length that rules have.
+    """
+    if len(rules) <= MOST_RULES:
+        text, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
+        return urls.withColumns({"rule": text, "by_rule": verdict})
+    table = urls.sparkSession.createDataFrame([(r.host, r.path, r.text, r.verdict) for r in rules], "rule_host string, rule_path string, text string, verdict string")
+    sizes = F.array(*[F.lit(n) for n in sorted({len(r.path) for r in rules})])
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parts = urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("rule_host"), F.filter(sizes, lambda n: n <= F.length("path")).alias("n"))
+    parts = parts.select("host", "path", "rule_host", F.explode("n").alias("n")).withColumn("rule_path", F.substring("path", F.lit(1), F.col("n")))
+    rank = F.struct(F.length("text"), F.length("rule_host"), F.col("verdict") == "block")
+    best = parts.join(table, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max_by(F.struct("text", "verdict"), rank).alias("best"))
+    return urls.join(best, ["host", "path"], "left").select(*urls.columns, F.col("best.text").alias("rule"), F.col("best.verdict").alias("by_rule"))
+
+
 def _count(text: Column, what: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
 
@@ -124,22 +143,40 @@ def _bin_of(rate: float) -> float:
     return float(int(rate * 20))
 
 
+def _shares(key: str, n: Column, b: Column, prior: float) -> Column:
+    return F.floor(20 * (b + 5 * prior) / (n + 5)).cast("double").alias(f"{key}_rate")
+
+
+def fold_of(host: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(host, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
 def fit_urls(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> UrlModel:
     """labelled: (url, host, path, label) with label 1 for block.
 
-    Suffix and folder statistics are shares of blocked URLs over all labelled rows, smoothed. Labelled rows are then summed up to
-    distinct feature rows with a weight before anything is drawn; of those, a hash draws about ``train_rows``.
+    Suffix and folder statistics are shares of blocked URLs over all labelled rows, smoothed. The trees see them out of fold: hosts
+    are dealt to folds, and a labelled row's statistics leave its own fold out, so that they say as much of it as of a host never seen.
+    Both labels weigh alike, since how often a labeller hands out one says little of the URLs that are left. Labelled rows are then
+    summed up to distinct feature rows with a weight before anything is drawn; of those, a hash draws about ``train_rows``.
     """
-    rows = stored(lexical(labelled))
+    rows = stored(lexical(labelled).withColumn("fold", fold_of(F.col("host"))))
     total = rows.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
     prior = total.p or 0.0
-    rates = {}
+    rates, apart = {}, {}
     for key in ("suffix", "folder"):
-        counted = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum("label").alias("b")).filter(F.col("n") >= SUFFIX_SUPPORT)
-        rates[key] = stored(counted.select(key, F.floor(20 * (F.col("b") + 5 * prior) / (F.col("n") + 5)).cast("double").alias(f"{key}_rate")))
+        each = stored(rows.groupBy(key, "fold").agg(F.count("*").alias("n"), F.sum("label").alias("b")))
+        counted = each.groupBy(key).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        enough = counted.filter(F.col("n") >= SUFFIX_SUPPORT)
+        rates[key] = stored(enough.select(key, _shares(key, F.col("n"), F.col("b"), prior)))
+        rest = each.join(counted.withColumnsRenamed({"n": "all_n", "b": "all_b"}), key).select(key, "fold", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_b") - F.col("b")).alias("b"))
+        apart[key] = stored(rest.filter(F.col("n") >= SUFFIX_SUPPORT).select(key, "fold", _shares(key, F.col("n"), F.col("b"), prior)))
     if not 0.0 < prior < 1.0:
         return UrlModel(rates, prior, None)
-    distinct = stored(_with_rates(rows, rates, prior).groupBy(*FEATURES, "label").agg(F.count("*").cast("double").alias("weight")))
+    seen = rows
+    for key, table in apart.items():
+        seen = seen.join(table, [key, "fold"], "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(_bin_of(prior))))
+    alike = F.when(F.col("label") == 1.0, F.lit(0.5 / prior)).otherwise(F.lit(0.5 / (1.0 - prior)))
+    distinct = stored(seen.groupBy(*FEATURES, "label").agg(F.count("*").cast("double").alias("weight")).withColumn("weight", F.col("weight") * alike))
     n = distinct.count()
     draw = F.pmod(F.xxhash64(*FEATURES), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_rows / n)) + 1
     train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(distinct.filter(draw))
@@ -147,6 +184,15 @@ def fit_urls(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> UrlModel:
     return UrlModel(rates, prior, gbt.fit(train.select("features", "label", "weight")))
 
 
+def held_out_quality(labelled: DataFrame) -> DataFrame:
+    """(label, n, right): how the trees judge the hosts of one fold after learning from those of all others; labelled (url, label)."""
+    host, path = url_parts(F.col("url"))
+    known = labelled.select("url", F.col("label").cast("double").alias("label")).withColumns({"host": host, "path": path}).filter("label is not null")
+    own = fold_of(F.col("host")) == 0
+    scored = score_urls(known.filter(own), fit_urls(known.filter(~own)))
+    return scored.groupBy("label").agg(F.count("*").alias("n"), F.count_if((F.col("block_score") >= 0.5) == (F.col("label") == 1.0)).alias("right"))
+
+
 def score_urls(urls: DataFrame, model: UrlModel) -> DataFrame:
     """urls (url, host, path, ...) with block_score in 0..1."""
     rows = _with_rates(lexical(urls), model.rates, model.prior)
@@ -169,8 +215,7 @@ def judged_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     host, path = url_parts(F.col("url"))
     source = source.withColumns({"host": host, "path": path})
-    text, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    source = source.withColumns({"rule": text, "by_rule": verdict})
+    source = with_rule(source, rules)
     if labelled is None:
         known = source.filter("by_rule is not null").select("url", "host", "path", (F.col("by_rule") == "block").cast("double").alias("label"))
     else:
