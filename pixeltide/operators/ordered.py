@@ -4,8 +4,8 @@ A plain window over a key puts the whole key into one task. Here the key is cut
 column first; a window only ever sees one chunk, and what crosses a chunk border travels through a table with
 one row per chunk. With a unique integer order column a chunk of width C holds at most C rows. Where ids are spread
 so wide that there are about as many chunks as rows, that table is cut into chunks of chunks in turn: totals are swept
-up three levels and what stands before is swept down again, so no window sees more than about SPAN rows of a key.
-Orders without whole numbers (latest_before) use range partitions as chunks.
+up a level and what stands before is swept down again, so no window sees more than about SPAN small rows of a key.
+As-of joins (latest_before) go down a search tree, one join per level.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pixeltide.functions.columns import col
 from pixeltide.session import cut
 
 CHUNK = 1 << 16
-#: Chunks per chunk of the next level. Three levels and the width of a chunk span all 64-bit positions.
-SPAN = 1 << 16
-LEVELS = 3
+#: Chunks per chunk of the next level. Two levels and the width of a chunk span all 64-bit positions.
+SPAN = 1 << 24
+LEVELS = 2
 
 
 def chunk_of(order: str | Column, width: int = CHUNK) -> Column:
@@ -188,31 +188,46 @@ def running_sums(
     return joined.drop("__chunk", *[f"__s_{n}" for n in sums], *[f"__c_{n}" for n in sums])
 
 
+#: Entries of a node of the search tree of latest_before, and marks of a key up to which one task numbers them.
+FAN, NUMBERED_AT_ONCE = 64, 1 << 20
+
+
 def latest_before(
     left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, since: str, payload: Sequence[str], out: str, strict: bool = True
 ) -> DataFrame:
     """As-of join: adds struct ``out``, the payload of the right row of the key with the greatest ``since`` below ``at``.
 
-    strict=False takes equal ones too. Null where there is none; ``since`` is unique per key. Both sides are dealt to common ranges of
-    (keys, order), bounded by quantiles of the rows there are, sorted once and merged: linear in the rows however they crowd, and a
-    hot key takes as many tasks as it has rows for. What stands before a range travels in one row per key and range.
+    strict=False takes equal ones too. Null where there is none; ``since`` is unique per key. The right side becomes a search tree per
+    key, with nodes of FAN entries, and left rows go down it: one equi-join on (keys, node) and one look through a node per level. So
+    work is linear in both sides however they crowd, left rows are not shuffled while the tree is small enough to be sent out, and a
+    hot key is an ordinary skewed join side beyond.
     """
     keys = list(keys)
-    first, second = (0, 1) if strict else (1, 0)
-    value = F.struct(*[F.col(c) for c in payload])
-    rows = left.select(*keys, F.col(at).alias("__t"), F.lit(first).alias("__side"), F.struct(*left.columns).alias("__row"))
-    marks = right.select(*keys, F.col(since).alias("__t"), F.lit(second).alias("__side"), value.alias("__mark"))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    order = [*keys, "__t", "__side"]
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = both.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    both = cut(both.withColumn("__mid", F.monotonically_increasing_id())).withColumn("__pid", F.shiftright("__mid", 33))
-    part = [*keys, "__pid"]
-    here = Window.partitionBy(*part).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    merged = both.withColumn("__here", F.last("__mark", ignorenulls=True).over(here))
-    # At most one row per range and key, so a key has at most as many as there are ranges.
-    ends = both.groupBy(*part).agg(F.max_by("__mark", F.when(F.col("__mark").isNotNull(), F.col("__mid"))).alias("__end"))
-    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(*part, F.last("__end", ignorenulls=True).over(before).alias("__carry"))
-    joined = join_on(merged.filter(F.col("__row").isNotNull()), carry, part)
-    return joined.select("__row.*", F.coalesce("__here", "__carry").alias(out))
+    marks = right.select(*keys, F.col(since).alias("__t"), F.struct(*payload).alias("__mark"))
+    most = marks.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= NUMBERED_AT_ONCE:
+        ranked = marks.withColumn("__n", (F.row_number().over(Window.partitionBy(*keys).orderBy("__t")) - 1).cast("bigint"))
+    else:
+        ranked = number_by_order(marks, [*keys, "__t"], "__n", within=keys)
+
+    def nodes(rows: DataFrame, value: str) -> DataFrame:
+        """(keys, __node, __entries): entries (time, value) of each node in order."""
+        entry = F.struct(F.col("__t").alias("t"), F.col(value).alias("v"))
+        return rows.groupBy(*keys, F.floor(F.col("__n") / FAN).alias("__node")).agg(F.sort_array(F.collect_list(F.struct("__n", entry.alias("e")))).alias("__e")).select(
+            *keys, "__node", F.transform("__e", lambda x: x["e"]).alias("__entries")
+        )
+
+    levels, n = [nodes(ranked, "__mark")], -(-most // FAN)
+    while n > 1:
+        starts = levels[-1].select(*keys, F.col("__node").alias("__n"), F.get("__entries", F.lit(0))["t"].alias("__t"))
+        levels.append(nodes(starts, "__n"))
+        n = -(-n // FAN)
+    found = left.withColumn("__node", F.lit(0).cast("bigint"))
+    below = (lambda t: t < F.col(at)) if strict else (lambda t: t <= F.col(at))
+    for depth, level in reversed(list(enumerate(levels))):
+        met = join_on(found, level, [*keys, "__node"])
+        # Entries are in order, so the last one below is as many as there are below.
+        last = F.get("__entries", F.size(F.filter("__entries", lambda e: below(e["t"]))) - 1)["v"]
+        found = met.withColumn("__v", F.when(F.col("__entries").isNotNull(), last)).drop("__entries", "__node")
+        found = found.withColumnRenamed("__v", "__node" if depth else out)
+    return found.select(*left.columns, out)

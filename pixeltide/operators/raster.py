@@ -38,7 +38,7 @@ _SIDE = TILE + 3
 
 
 def tiles(raster: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, ti, tk, heights): the samples of a tile and its halo row by row, null where the raster has none.
+    """(keys, ti, tk, heights): the samples of a tile and its halo by their place, row by row.
 
     A sample goes to the one to four tiles it is in or beside, so the raster is shuffled about twice its size, and a point finds
     all samples it needs in one row.
@@ -55,9 +55,7 @@ def tiles(raster: DataFrame, keys: Sequence[str]) -> DataFrame:
     # Dealt by tile once for both groupings.
     rows = rows.select(*tile, place.cast("int").alias("__at"), "hgt").repartition(*[F.col(c) for c in tile])
     one = rows.groupBy(*tile, "__at").agg(F.max("hgt").alias("hgt"))
-    held = one.groupBy(*tile).agg(F.map_from_entries(F.collect_list(F.struct("__at", "hgt"))).alias("__m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(_SIDE * _SIDE - 1)), lambda p: F.col("__m")[p])
-    return held.select(*tile, dense.alias("heights"))
+    return one.groupBy(*tile).agg(F.map_from_entries(F.collect_list(F.struct("__at", "hgt"))).alias("heights"))
 
 
 def _locate(x: Column, z: Column, grid: Grid) -> tuple[Column, Column, Column, Column]:
@@ -78,20 +76,32 @@ def _with_tile(points: DataFrame, raster: DataFrame, grid: Grid, keys: Sequence[
     return at.join(tiles(raster, keys), [*keys, "ti", "tk"], "left")
 
 
-def _height(x: Column, z: Column, grid: Grid) -> Column:
-    """Bilinear height from the tile that the row has, at a place at most one cell from the row's own."""
-    ci, ck, du, dv = _locate(x, z, grid)
-    row, column = ci - F.col("ti") * TILE + 1, ck - F.col("tk") * TILE + 1
-    h = lambda a, b: F.get("heights", (row + a) * _SIDE + column + b)
-    h0 = h(0, 0) * (F.lit(1.0) - du) + h(1, 0) * du
-    h1 = h(0, 1) * (F.lit(1.0) - du) + h(1, 1) * du
-    return h0 * (F.lit(1.0) - dv) + h1 * dv
+def _heights(met: DataFrame, grid: Grid, places: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Adds the bilinear height of each place from the tile that the row has; places lie at most one cell from the row's own.
+
+    Cells are columns of their own, so that generated code works them out once.
+    """
+    cells, heights = {}, {}
+    for name, (x, z) in places.items():
+        ci, ck, du, dv = _locate(x, z, grid)
+        at = (ci - F.col("ti") * TILE + 1) * _SIDE + ck - F.col("tk") * TILE + 1
+        cells |= {f"__at_{name}": at, f"__du_{name}": du, f"__dv_{name}": dv}
+        h = lambda a, b, name=name: F.col("heights")[F.col(f"__at_{name}") + a * _SIDE + b]
+        du, dv = F.col(f"__du_{name}"), F.col(f"__dv_{name}")
+        h0 = h(0, 0) * (F.lit(1.0) - du) + h(1, 0) * du
+        h1 = h(0, 1) * (F.lit(1.0) - du) + h(1, 1) * du
+        heights[name] = h0 * (F.lit(1.0) - dv) + h1 * dv
+    return met.withColumns(cells).withColumns(heights)
+
+
+def _sides(x: Column, z: Column, grid: Grid) -> dict[str, tuple[Column, Column]]:
+    """Places one cell to each side."""
+    return {"__l": (x - grid.dx, z), "__r": (x + grid.dx, z), "__d": (x, z - grid.dz), "__u": (x, z + grid.dz)}
 
 
-def _normal(x: Column, z: Column, grid: Grid) -> dict[str, Column]:
+def _normal(grid: Grid) -> dict[str, Column]:
     """Unit normal from central differences one cell away."""
-    rise_x = _height(x + grid.dx, z, grid) - _height(x - grid.dx, z, grid)
-    rise_z = _height(x, z + grid.dz, grid) - _height(x, z - grid.dz, grid)
+    rise_x, rise_z = F.col("__r") - F.col("__l"), F.col("__u") - F.col("__d")
     ex, ez = 2.0 * grid.dx, 2.0 * grid.dz
     nx, ny, nz = -rise_x * ez, F.lit(ex * ez), -rise_z * ex
     length = F.sqrt(nx * nx + ny * ny + nz * nz)
@@ -103,7 +113,7 @@ def raster_sample(
 ) -> DataFrame:
     """Bilinear height at (x, z), clamped to the bounds; null where a corner is missing."""
     met = _with_tile(points, raster, grid, keys, x, z)
-    return met.withColumn(out, _height(dbl(x), dbl(z), grid)).select(*points.columns, out)
+    return _heights(met, grid, {"__h": (dbl(x), dbl(z))}).select(*points.columns, F.col("__h").alias(out))
 
 
 def raster_normal(
@@ -111,10 +121,12 @@ def raster_normal(
 ) -> DataFrame:
     """point_keys and the unit normal (nx, ny, nz) of each point; null where a sample is missing."""
     met = _with_tile(points, raster, grid, keys, x, z)
-    return met.select(*point_keys, *[e.alias(n) for n, e in _normal(dbl(x), dbl(z), grid).items()])
+    sides = _heights(met, grid, _sides(dbl(x), dbl(z), grid))
+    return sides.select(*point_keys, *[e.alias(n) for n, e in _normal(grid).items()])
 
 
 def raster_surface(points: DataFrame, raster: DataFrame, grid: Grid, keys: Sequence[str] = (), x: str = "x", z: str = "z", out: str = "height") -> DataFrame:
     """Height and unit normal of each point at once."""
     met = _with_tile(points, raster, grid, keys, x, z)
-    return met.withColumns({out: _height(dbl(x), dbl(z), grid), **_normal(dbl(x), dbl(z), grid)}).select(*points.columns, out, "nx", "ny", "nz")
+    found = _heights(met, grid, {"__h": (dbl(x), dbl(z)), **_sides(dbl(x), dbl(z), grid)})
+    return found.select(*points.columns, F.col("__h").alias(out), *[e.alias(n) for n, e in _normal(grid).items()])
