@@ -80,7 +80,10 @@ def walk(nodes: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
     placed = done.select(
         *keys, "node_id", "depth", "path", "anchor_id", (F.col("__cx") + F.col("__sz")).alias("wx"), F.col("__y").alias("wy"), (F.col("__cz") - F.col("__sx")).alias("wz"), *WORLD[3:]
     )
-    return nodes.join(placed, [*keys, "node_id"]).select(*nodes.columns, "depth", "path", "anchor_id", *WORLD)
+    # Columns of the nodes that are named like a new one are replaced.
+    added = ["depth", "path", "anchor_id", *WORLD]
+    own = nodes.drop(*added)
+    return own.join(placed, [*keys, "node_id"]).select(*own.columns, *added)
 
 
 def unreached(nodes: DataFrame, walked: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:

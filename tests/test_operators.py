@@ -312,7 +312,7 @@ def test_walk_takes_logarithmic_rounds(spark, monkeypatch):
     data = [(0, i, i - 1 if i else None, 0, x, y, z, 1.0, ry, 0.0, sx, 1.0, sz, i % 100 == 7) for i, (x, y, z, ry, sx, sz) in enumerate(parts)]
     data += [(0, 5000 + i, 5000 + (i + 1) % 3, 0, *[0.0] * 6, *[1.0] * 3, False) for i in range(3)] + [(0, 6000, 7777, 0, *[0.0] * 6, *[1.0] * 3, False)]
     nodes = spark.createDataFrame(data, "scene_id int, node_id int, parent_id int, ord int, lx double, ly double, lz double, rx double, ry double, rz double, sx double, sy double, sz double, grounded boolean")
-    got = {r["node_id"]: r for r in tree.walk(nodes).collect()}
+    got = {r["node_id"]: r for r in tree.walk(nodes.withColumns({"path": F.lit("old"), "wx": F.lit(7)})).collect()}
     assert set(got) == set(range(n)) and len(rounds) <= 13
     x = y = z = yaw = 0.0
     sx = sz = 1.0
