@@ -231,3 +231,25 @@ def _(v):
     listing = v.files.select(F.lit("root").alias("root"), "split", F.explode(names).alias("name"), F.lit(1).cast("bigint").alias("length")).filter("name is not null")
     out = frames.loader_index(listing)
     return out.select("split", F.concat("stem", F.lit(".png")).alias("file_name"), "sample_index")
+
+
+@query("rule_png_ihdr", "select file_name, concat(split, '/', file_name) as path from $files as f where has_txt and size_bytes % 5 = 0")
+def _(v):
+    """Labelled images whose header could not be read."""
+    listed = v.files.withColumns({"path": F.concat_ws("/", "split", "file_name"), "hdr_w": F.when(F.col("size_bytes") % 5 != 0, F.lit(6))})
+    issues = V.pairing_rules(listed, v.img.withColumn("is_object", F.lit(True)))
+    return issues.filter("code = 'png_ihdr'").select(F.col("subject").alias("file_name"), "path")
+
+
+@query(
+    "rules_manifest",
+    """select c_custkey as id, case when c_custkey % 3 = 0 then 'manifest_io' else 'manifest_root_mismatch' end as code, case when c_custkey % 3 = 0 then 'error' else 'warning' end as severity
+       from @customer@ where c_custkey % 3 = 0 or c_custkey % 4 = 1""",
+)
+def _(v):
+    """A manifest per customer: some break off, some record another root."""
+    key = F.col("c_custkey")
+    whole = F.concat(F.lit('{"dataset_layout":{"dataset_root":"'), F.when(key % 4 == 1, "/elsewhere").otherwise("/data/x/"), F.lit('"}}'))
+    docs = v.spark.read.parquet(f"{v.sf_dir}/customer.parquet").select(F.format_string("/m/%d", key).alias("path"), F.when(key % 3 == 0, F.lit('{"dataset_layout":')).otherwise(whole).alias("text"))
+    issues = V.manifest_rules(docs, "/data/x")
+    return issues.select(F.regexp_extract("path", r"(\d+)$", 1).cast("bigint").alias("id"), "code", "severity")
