@@ -288,8 +288,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = placed.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     # Only buckets of three and more can hold a pair that the leader has not settled. Buckets of one leader overlap: one group.
     labelled = labelled.filter("n > 2")
-    mixed = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
-    rest = labelled.join(mixed, "band", "left_semi").filter("id <> leader").select("leader", "id", "comp").distinct()
+    mixed = stored(labelled.groupBy("band", "n").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band", "n"))
+    # The rows of a large bucket would meet in one task. Buckets so large are few, and are sent out while they are.
+    large = mixed.filter(F.col("n") > LARGE_GROUP).select("band")
+    large = F.broadcast(large) if large.count() <= FEW_GROUPS else large
+    rest = labelled.filter(F.col("n") > LARGE_GROUP).join(large, "band", "left_semi")
+    rest = rest.unionByName(labelled.filter(F.col("n") <= LARGE_GROUP).join(mixed.select("band"), "band", "left_semi"))
+    rest = rest.filter("id <> leader").select("leader", "id", "comp").distinct()
     rest = rest.join(full.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id")
     more = stored(_block_links(rest, one_sig, sets, percent))
     own = member.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
