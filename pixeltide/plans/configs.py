@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pixeltide.functions import jsonfn as J
 from pixeltide.functions.text import base_name
-from pixeltide.session import cut
+from pixeltide.session import cut, spread
 
 # Keys each object may carry (fixed values).
 ALLOWED_KEYS = {
@@ -63,7 +63,9 @@ def _doc() -> Column:
 
 
 def parsed(configs: DataFrame) -> DataFrame:
-    return configs.withColumn("__v", J.parse("doc"))
+    """Adds __v. Reading a document is work, and many fit into one split of a table: they are spread first, and shuffled once for all
+    that is read from them."""
+    return configs.repartition(spread(configs.sparkSession)).withColumn("__v", J.parse("doc"))
 
 
 def _obj(path: Column | str, kind: str, v: Column) -> Column:
@@ -115,7 +117,7 @@ def config_objects(configs: DataFrame) -> DataFrame:
         for kind, names in [*RANGE_FIELDS.items(), ("camera", ["lookfrom"])] for name in names
     ]
     own = F.struct("path", "kind", "v")
-    flat = flat.select("config_id", F.explode_outer(F.array(own, *spans)).alias("o")).filter(F.col("o").isNotNull()).select("config_id", "o.*")
+    flat = flat.select("config_id", F.explode_outer(F.filter(F.array(own, *spans), lambda o: o.isNotNull())).alias("o")).filter(F.col("o").isNotNull()).select("config_id", "o.*")
     level = cut(c.select("config_id", F.explode(roots).alias("o")).select("config_id", "o.*"))
     while not level.isEmpty():
         flat = flat.unionByName(level)
@@ -232,7 +234,8 @@ def _found(code: str, cond: Column, path: Column) -> Column:
 
 
 def _emit(df: DataFrame, found: list[Column]) -> DataFrame:
-    rows = df.select("config_id", F.explode_outer(F.array(*found)).alias("i")).filter(F.col("i").isNotNull())
+    # Nulls go before the explode, which else makes a row of every check; the outer one keeps the checks from being evaluated twice.
+    rows = df.select("config_id", F.explode_outer(F.filter(F.array(*found), lambda i: i.isNotNull())).alias("i")).filter(F.col("i").isNotNull())
     return rows.select("config_id", "i.*")
 
 
@@ -268,7 +271,9 @@ def semantic_lint(configs: DataFrame, objects: DataFrame, strict: bool = True) -
     def sub(name: str) -> Column:
         return F.concat_ws(".", F.nullif(path, F.lit("")), F.lit(name))
 
-    per_object = [_found("not_object", ~J.is_object(v), path)]
+    objects = objects.withColumn("__ok", J.is_object(v))
+    ok = F.col("__ok")
+    per_object = [_found("not_object", ~ok, path)]
     for k, names in RANGE_FIELDS.items():
         for n in names:
             per_object.append(_found("bad_range", (kind == k) & J.field(v, n).isNotNull() & J.scalar_range(J.field(v, n)).isNull(), sub(n)))
@@ -276,13 +281,13 @@ def semantic_lint(configs: DataFrame, objects: DataFrame, strict: bool = True) -
         per_object.append(_found("bad_range", (kind == "camera") & J.field(v, n).isNotNull() & read(J.field(v, n)).isNull(), sub(n)))
     for k, kinds in SCALAR_TYPES.items():
         for n, (what, good) in kinds.items():
-            per_object.append(_found("bad_type", (kind == k) & J.is_object(v) & J.field(v, n).isNotNull() & ~F.coalesce(good(J.field(v, n)), F.lit(False)), sub(n)))
+            per_object.append(_found("bad_type", (kind == k) & ok & J.field(v, n).isNotNull() & ~F.coalesce(good(J.field(v, n)), F.lit(False)), sub(n)))
     track = J.field(v, "trajectory")
     per_object.append(_found("bad_trajectory", (kind == "camera") & track.isNotNull() & ~J.is_array(track), sub("trajectory")))
     no_time = ~J.is_number(J.field(v, "t")) | J.vec3(J.field(v, "pos")).isNull()
-    per_object.append(_found("bad_trajectory", (kind == "keyframe") & J.is_object(v) & no_time, path))
+    per_object.append(_found("bad_trajectory", (kind == "keyframe") & ok & no_time, path))
     unnamed = F.coalesce(J.text_of(J.field(v, "name")), F.lit("")) == ""
-    per_object.append(_found("missing_name", (kind == "scenario") & J.is_object(v) & unnamed, sub("name")))
+    per_object.append(_found("missing_name", (kind == "scenario") & ok & unnamed, sub("name")))
 
     doc, hdr = _doc(), J.field(_doc(), "hdr")
     items = asset_items(doc)

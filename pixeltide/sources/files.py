@@ -18,7 +18,7 @@ from pixeltide.functions.geometry import intrinsics_mismatch, k_matrix, rows_of_
 from pixeltide.operators import ordered
 from pixeltide.operators.frames import frame_inventory
 from pixeltide.plans.validation import parse_label_tokens, split_label_text
-from pixeltide.session import cut
+from pixeltide.session import cut, spread
 from pixeltide.sinks.storage import locate, open_read
 from pixeltide.sources import bigjson
 
@@ -88,11 +88,6 @@ def list_files(spark: SparkSession, root: str, batch: int = 10_000) -> DataFrame
     )
 
 
-def spread(spark: SparkSession) -> int:
-    """Tasks for work that is bound by opening files: some per core, however few rows there are."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-
-
 def scan_frames(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
     """Frames below a root with their sidecars; flat layouts have split ''. strict takes names of exactly four digits only."""
     return frame_inventory(list_files(spark, root).filter(F.col("split").isin("", "train", "val")), strict)
