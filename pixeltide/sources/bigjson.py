@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.session import cut
+from pixeltide.session import cut, spread
 from pixeltide.sinks.storage import locate
 
 #: Bytes of a range, and the most ranges of a document: larger documents have larger ranges.
@@ -130,7 +130,7 @@ def array_elements(spark: SparkSession, paths: Sequence[str], sections: Sequence
 
     The last of several members of one name counts. A document whose root is no object, or whose brackets and quotes do not close, is
     not readable and has no elements; what is wrong inside an element is the element's own matter. shard_order is the place of the path
-    in ``paths``. A task holds one range; an element must fit into memory, a document need not.
+    in ``paths``. A task holds one range at a time; an element must fit into memory, a document need not.
     """
     rows = []
     for order, path in enumerate(paths):
@@ -139,7 +139,8 @@ def array_elements(spark: SparkSession, paths: Sequence[str], sections: Sequence
         step = max(range_bytes, -(-size // MOST_RANGES))
         rows += [(order, path, at, min(step, size - at)) for at in range(0, size, step)]
     ranges = spark.createDataFrame(rows, "shard_order int, path string, begin bigint, size bigint")
-    tasks = max(1, len(rows))
+    # Small ranges share a task, which holds one at a time: tasks follow the bytes, and what they report to the driver with them.
+    tasks = max(1, min(len(rows), max(spread(spark), sum(r[3] for r in rows) // RANGE_BYTES)))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +175,7 @@ def array_elements(spark: SparkSession, paths: Sequence[str], sections: Sequence
                 columns = [pa.array([r["shard_order"]] * len(found), pa.int32()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([f[2] for f in found], pa.string())], names=["shard_order", "kind", "place", "text"])
 
-    events = cut(placed.repartition(max(1, len(known)), "shard_order", "begin").mapInArrow(give, "shard_order int, kind string, place bigint, text string"))
+    events = cut(placed.repartition(tasks, "shard_order", "begin").mapInArrow(give, "shard_order int, kind string, place bigint, text string"))
     # Members of the root are few: those named here, the last of each name, with the end that follows.
     named = events.filter(F.col("kind").isin("[", "{") & F.col("text").isin(*sections)).groupBy("shard_order", F.col("text").alias("section"))
     named = named.agg(F.max(F.struct("place", "kind")).alias("m")).select("shard_order", "section", F.col("m.place").alias("first"), F.col("m.kind").alias("opens"))
