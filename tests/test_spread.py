@@ -35,8 +35,10 @@ def test_a_document_is_written_in_parts(spark, tmp_path, monkeypatch):
     rows = [(k, 1) for k in range(1, 200)]
     spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame([(k, k, 1) for k, _ in rows], "l_orderkey bigint, l_partkey bigint, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be one part
     got = {r["code"]: r["n"] for r in checks.QUERIES["rules_elements"](spark, str(tmp_path)).collect()}
     ks = range(1, 200)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sized = [k for k in ks if k % 41 != 1 and k % 43 != 2 and k % 47 != 3]
     boxed = [k for k in sized if k % 37 != 1]
     assert got == {
