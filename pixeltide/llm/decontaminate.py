@@ -323,13 +323,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         texts = keyed.select(F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), F.col(text_col).cast("string").alias("text"))
         gone = stored(_joined(texts, items, coverage).select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct())
         return keyed.join(gone, ["__h1", "__h2"], "left_anti").select(*docs.columns)
-    at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(_block(items))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = np.ones(batch.num_rows, bool)
-            kept[[h[0] for h in _hits(shared.value, batch.column(at), coverage)]] = False
-            yield batch.filter(pa.array(kept))
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            kept = np.ones(len(column), bool)
+            kept[[h[0] for h in _hits(shared.value, column, coverage)]] = False
+            yield pa.array(kept)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(clean)(batches)
 
-    return docs.mapInArrow(released(keep), docs.schema)
+    # Only the text goes to the workers; not called deterministic, so that no later filter is put before it.
+    keep = F.arrow_udf(run, "boolean").asNondeterministic()
+    return docs.withColumn("__clean", keep(F.col(text_col).cast("string"))).filter("__clean").drop("__clean")

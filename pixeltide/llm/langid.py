@@ -184,24 +184,26 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     keep = [c for c in (docs.columns if keep is None else keep) if c not in FOUND]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = "array<struct<begin:long,end:long,lang:string>>"
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    zero = F.lit(0.0)
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), zero.alias("score"), F.lit(None).cast(span).alias("spans"), zero.alias("known"), zero.alias("fit"), F.lit(0).cast("long").alias("letters")).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m: Model = shared.value
-        for batch in batches:
-            texts = pc.fill_null(batch.column(batch.num_columns - 1), "").to_pylist()
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+        for column in batches:
+            texts = pc.fill_null(column, "").to_pylist()
             lang, spans, told = [UNKNOWN] * len(texts), [[] for _ in texts], np.zeros((4, len(texts)))
             limit = max(1, STEP_BYTES * 4 // max(len(m.languages), 4))
             for rows in _groups(texts, limit) if m.languages else ():
                 _label(m, [texts[r] for r in rows], rows, switch, lang, told, spans)
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
             score, known, fit, letters = told
-            columns = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(spans, kind), pa.array(known), pa.array(fit), pa.array(letters.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *FOUND])
+            columns = [pa.array(lang, pa.string()), pa.array(score), pa.array(spans, kind), pa.array(known), pa.array(fit), pa.array(letters.astype(np.int64))]
+            yield pa.StructArray.from_arrays(columns, names=list(FOUND))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(judged)(batches)
 
-    return source.mapInArrow(released(run), schema)
+    # Only the text goes to the workers. Not called deterministic, since a filter on the columns would otherwise run it a second time.
+    found = F.arrow_udf(run, f"lang_pred string, score double, spans {span}, known double, fit double, letters long").asNondeterministic()
+    return docs.select(*keep, found(F.col(text_col).cast("string")).alias("__found")).select(*keep, *[f"__found.{c}" for c in FOUND])
 
 
 def _label(m: Model, texts: list[str], rows: np.ndarray, switch: float, lang: list, told: np.ndarray, spans: list) -> None:

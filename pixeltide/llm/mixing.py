@@ -32,6 +32,13 @@ class Classifier:
     weights: np.ndarray  # (buckets + shapes + 1, domains)
 
 
+def _counts(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Marks set between each two bounds."""
+    total = np.zeros(len(marks) + 1, np.int32 if len(marks) < 1 << 31 else np.int64)
+    np.cumsum(marks, dtype=total.dtype, out=total[1:])
+    return np.diff(total[bounds])
+
+
 def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bucket of each word, first word of each text, words per text, shape features) for runs of texts.
 
@@ -46,9 +53,9 @@ def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         capital, digit = (part >= 65) & (part <= 90), (part >= 48) & (part <= 57)
         small, high = (part >= 97) & (part <= 122), part >= 128
         mark = ~(capital | digit | small | high) & (part > 32)
-        share = [np.diff(np.r_[0, np.cumsum(x)][bounds]) / size for x in (capital, digit, mark, high)]
+        share = [_counts(x, bounds) / size for x in (capital, digit, mark, high)]
         again = np.r_[h[1:] == h[:-1], False] if len(h) else np.zeros(0, bool)
-        share.append(np.diff(np.r_[0, np.cumsum(again)][first]) / np.maximum(n, 1))
+        share.append(_counts(again, first) / np.maximum(n, 1))
         share.append(np.log1p(size / np.maximum(n, 1)) / 4)
         yield (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), first, n, np.stack(share, axis=1)
 
@@ -127,22 +134,28 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def memberships(docs: DataFrame, classifier: Classifier, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of docs, n_tokens (words between white space) and shares: the domain posteriors of the whole text."""
+    """Columns ``keep`` of docs, n_tokens (words between white space) and shares: the domain posteriors of the whole text.
+
+    Only the text goes to the workers, and nothing but its figures comes back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("array<double>").alias("shares")).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def figures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
             sizes, shares = [np.zeros(0, np.int64)], [np.zeros((0, len(DOMAINS)))]
-            for bucket, first, n, shapes in _features(batch.column(batch.num_columns - 1)):
+            for bucket, first, n, shapes in _features(texts):
                 sizes.append(n)
                 shares.append(_softmax(_logits(shared.value, bucket, first, n, shapes)))
             flat = np.concatenate(shares)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, len(DOMAINS)), pa.int32()), pa.array(flat.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(sizes)), lists], names=[*keep, "n_tokens", "shares"])
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(sizes)), lists], names=["n_tokens", "shares"])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(figures)(batches)
 
-    return source.mapInArrow(released(run), schema)
+    # Not called deterministic, since a filter on its columns would otherwise run it a second time.
+    told = F.arrow_udf(run, "n_tokens long, shares array<double>").asNondeterministic()
+    return docs.select(*keep, told(F.col(text_col).cast("string")).alias("__told")).select(*keep, "__told.n_tokens", "__told.shares")
 
 
 def _rate(turned: np.ndarray) -> Column:
