@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,18 +22,18 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from pixeltide.sinks.storage import exists, locate, open_read
 
-#: Moves that a commit has under way at once.
-MOVERS = 32
+#: Moves that a commit has under way at once, and file names that it holds.
+MOVERS, MOVES = 32, 10_000
 #: Archive entry extension and file suffix, in archive order (fixed values).
 ENTRIES = (("exr", "_spatial.exr"), ("json", "_meta.json"), ("png", ".png"), ("txt", ".txt"))
 
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """Files of one task below its staging folder."""
+    """How many files one task has staged; their names lie beside its folder, so that no list of files travels to the driver."""
 
     folder: str
-    files: list[str]
+    n: int
 
 
 class _Writer(DataSourceArrowWriter):
@@ -44,30 +45,43 @@ class _Writer(DataSourceArrowWriter):
         return f"{self.base}/_staging-{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
-        folder = f"{self.staging}/{uuid.uuid4().hex}"
-        return Staged(folder, list(self.written(iterator, folder)))
+        folder, n = f"{self.staging}/{uuid.uuid4().hex}", 0
+        system, p = locate(f"{folder}.names")
+        system.create_dir(p.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(p, compression=None, buffer_size=1 << 16) as out:
+            for name in self.written(iterator, folder):
+                out.write(json.dumps(name).encode() + b"\n")
+                n += 1
+        return Staged(folder, n)
 
     def written(self, batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[str]:
         raise NotImplementedError
 
     def commit(self, messages: list[Staged | None]) -> None:
         system, base = locate(self.base)
-        told = [(m.folder, f) for m in messages if m is not None for f in m.files]
-        for parent in {f"{base}/{f}".rpartition("/")[0] for _, f in told}:
-            system.create_dir(parent, recursive=True)
 
-        def place(item: tuple[str, str]) -> tuple[str, bool]:
-            folder, name = item
-            new = not exists(f"{self.base}/{name}")
-            system.move(locate(f"{folder}/{name}")[1], f"{base}/{name}")
-            return name, new
+        def place(folder: str, names: list[str]) -> list[str]:
+            """Moves staged files; gives back those that are new, if they are to be listed."""
+            new = [name for name in names if self.lists_new and not exists(f"{self.base}/{name}")]
+            for name in names:
+                system.move(f"{folder}/{name}", f"{base}/{name}")
+            return new
 
+        fresh = []
         with ThreadPoolExecutor(MOVERS) as pool:
-            placed = list(pool.map(place, told))
+            for m in (m for m in messages if m is not None and m.n):
+                folder = locate(m.folder)[1]
+                with open_read(f"{m.folder}.names") as f:
+                    names = (json.loads(line) for line in io.TextIOWrapper(io.BufferedReader(f), "utf-8"))
+                    while part := list(islice(names, MOVES)):
+                        for parent in {f"{base}/{name}".rpartition("/")[0] for name in part}:
+                            system.create_dir(parent, recursive=True)
+                        for new in pool.map(lambda k: place(folder, part[k::MOVERS]), range(MOVERS)):
+                            fresh += new
         _, staging = locate(self.staging)
         system.create_dir(staging, recursive=True)
         with system.open_output_stream(f"{staging}/done.json") as out:
-            out.write(json.dumps({"files": len(placed), "new": sorted(n for n, new in placed if new) if self.lists_new else []}).encode())
+            out.write(json.dumps({"files": sum(m.n for m in messages if m is not None), "new": sorted(fresh)}).encode())
 
     lists_new = False
 
