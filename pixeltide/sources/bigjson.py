@@ -22,8 +22,8 @@ from pixeltide.sinks.storage import locate
 
 #: Bytes of a range, and the most ranges of a document: larger documents have larger ranges.
 RANGE_BYTES, MOST_RANGES = 8 << 20, 100_000
-#: Bytes before an array within which its key must stand, and bytes by which an element is read on.
-KEY_BYTES, MORE_BYTES = 1 << 16, 1 << 20
+#: Bytes before an array within which its key must stand, and bytes by which an element is read on, at first and at most.
+KEY_BYTES, FIRST_BYTES, MORE_BYTES = 1 << 16, 1 << 10, 1 << 20
 #: How a range may begin: outside of texts, in one, in one after a backslash that escapes what follows.
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
 
@@ -72,8 +72,11 @@ def _ends(path: str, begin: int, data: bytes) -> str:
     """The element that follows a separator; ``data`` are the bytes after it, from ``begin``, and hold no end of it yet."""
     parts = [data]
     at, state, depth = begin + len(data), *_after(data)
+    # Most elements end soon: what is read on grows with what has been read.
+    step = FIRST_BYTES
     while True:
-        more = _read(path, at, MORE_BYTES)
+        more = _read(path, at, step)
+        step = min(2 * step, MORE_BYTES)
         if not more:
             return b"".join(parts).decode("utf-8", "replace")
         array = np.frombuffer(more, np.uint8)

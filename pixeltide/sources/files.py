@@ -18,7 +18,7 @@ from pixeltide.functions.geometry import intrinsics_mismatch, k_matrix, rows_of_
 from pixeltide.operators import ordered
 from pixeltide.operators.frames import frame_inventory
 from pixeltide.plans.validation import parse_label_tokens, split_label_text
-from pixeltide.session import cut, spread
+from pixeltide.session import cut, spread, stored
 from pixeltide.sinks.storage import locate, open_read
 from pixeltide.sources import bigjson
 
@@ -237,10 +237,12 @@ def coco_documents(spark: SparkSession, paths: str | Sequence[str], range_bytes:
 def read_coco(spark: SparkSession, paths: str | Sequence[str], range_bytes: int = bigjson.RANGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Image, annotation and category rows of documents of any size and layout, with shard_order by path order.
 
-    Documents are read by many tasks each (sources.bigjson); unreadable ones have no rows.
+    Documents are read by many tasks each (sources.bigjson); unreadable ones have no rows. The rows are kept in the checkpoint folder:
+    each rule on them would parse all elements again, and a filter on several columns several times.
     """
     _, elements = coco_documents(spark, paths, range_bytes)
-    return element_tables(elements.withColumn("t", J.quote_nonfinite("text")), ["shard_order"])
+    images, anns, cats = element_tables(elements.withColumn("t", J.quote_nonfinite("text")), ["shard_order"])
+    return stored(images), stored(anns), stored(cats)
 
 
 def element_tables(elements: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
