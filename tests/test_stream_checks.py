@@ -48,3 +48,16 @@ def test_pairs_of_many_short_runs_take_a_call_per_bucket(spark, tmp_path, monkey
     want = {(r, g): (p, g == 0) for r in (big, big + 1, big + 2, None) for g, p in before.items()}
     assert got == want | {(big, None): (7.0, True), (None, None): (8.0, True)}
     assert max(p["numRowsUpdated"] for b in q.recentProgress for p in b["stateOperators"]) <= 2 * 4
+
+
+def test_only_state_in_a_local_folder_is_written_by_way_of_the_file_system(spark):
+    key = "spark.sql.streaming.checkpointFileManagerClass"
+    for base, used in (("/a/b", True), ("file:///a/b", True), ("hdfs://a/b", False)):
+        with SC._local_files(spark, base):
+            assert (spark.conf.get(key, None) or "").endswith("FileSystemBasedCheckpointFileManager") == used
+        assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "given")
+    with SC._local_files(spark, "/a/b"):
+        assert spark.conf.get(key) == "given"
+    assert spark.conf.get(key) == "given"
+    spark.conf.unset(key)
